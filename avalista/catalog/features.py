@@ -60,23 +60,23 @@ def _(spark, sf):
 
 @query("clean_base", f", {CLEAN_SQL} SELECT LoanNr, GrAppv, NAFIN_Appv, Term, NoEmp, NewExist, State FROM clean")
 def _(spark, sf):
-    return f.clean_base(dirty(spark, sf)).select("LoanNr", "GrAppv", "NAFIN_Appv", "Term", "NoEmp", "NewExist", "State")
+    return f.clean_base(dirty(spark, sf, customer=True)).select("LoanNr", "GrAppv", "NAFIN_Appv", "Term", "NoEmp", "NewExist", "State")
 
 
 @query("is_new_business", f", {CLEAN_SQL} SELECT LoanNr, IsNewBusiness FROM feat")
 def _(spark, sf):
-    return f.is_new_business(f.clean_base(dirty(spark, sf))).select("LoanNr", "IsNewBusiness")
+    return f.is_new_business(f.clean_base(dirty(spark, sf, customer=True))).select("LoanNr", "IsNewBusiness")
 
 
 @query("clean_scian", f", {CLEAN_SQL} SELECT LoanNr, SCIAN FROM clean")
 def _(spark, sf):
-    return f.clean_base(dirty(spark, sf)).select("LoanNr", "SCIAN")
+    return f.clean_base(dirty(spark, sf, customer=True)).select("LoanNr", "SCIAN")
 
 
 def _ratio_query(name, column, digits=None):
     @query(name, f", {CLEAN_SQL} SELECT LoanNr, {column} FROM feat")
     def _(spark, sf):
-        out = f.with_ratios(f.clean_base(dirty(spark, sf))).select("LoanNr", column)
+        out = f.with_ratios(f.clean_base(dirty(spark, sf, customer=True))).select("LoanNr", column)
         return rounded(out, **{column: digits}) if digits else out
 
 
@@ -102,17 +102,17 @@ FEATURES = "GrAppv, NAFIN_Appv, Debt_to_NAFIN, Log_GrAppv, Term, Term_Years, NoE
 
 @query("feature_select", f", {CLEAN_SQL} SELECT LoanNr, {FEATURES} FROM feat")
 def _(spark, sf):
-    return rounded(f.feature_select(f.build_features(dirty(spark, sf)), "LoanNr"), Log_GrAppv=8)
+    return rounded(f.feature_select(f.build_features(dirty(spark, sf, customer=True)), "LoanNr"), Log_GrAppv=8)
 
 
 @query("build_features", f', {CLEAN_SQL} SELECT LoanNr, "Default", ChgOffPrinGr, {FEATURES} FROM feat')
 def _(spark, sf):
-    return rounded(f.feature_select(f.build_features(dirty(spark, sf)), "LoanNr", "Default", "ChgOffPrinGr"), Log_GrAppv=8)
+    return rounded(f.feature_select(f.build_features(dirty(spark, sf, customer=True)), "LoanNr", "Default", "ChgOffPrinGr"), Log_GrAppv=8)
 
 
 @query("build_features_legacy", """SELECT LoanNr, (ChgOffPrinGr > 0)::INTEGER AS "Default", NAFIN_Appv, SCIAN, 0 AS HasRealEstate, 0 AS InRecession, 1 AS IsUrban FROM loans""")
 def _(spark, sf):
-    return f.build_features(legacy(spark, sf)).select("LoanNr", "Default", "NAFIN_Appv", "SCIAN", "HasRealEstate", "InRecession", "IsUrban")
+    return f.build_features(legacy(spark, sf, customer=True)).select("LoanNr", "Default", "NAFIN_Appv", "SCIAN", "HasRealEstate", "InRecession", "IsUrban")
 
 
 AMOUNT_SQL = """CASE WHEN GrAppv <= 0 THEN NULL WHEN GrAppv <= 200000 THEN '<$200K' WHEN GrAppv <= 500000 THEN '$200K-500K'
@@ -204,7 +204,7 @@ def _(spark, sf):
   term_months::INTEGER AS term_months, is_new_business, substring(scian_code, 1, 2) AS scian_code, state_code FROM applications""")
 def _(spark, sf):
     yes = F.when(c("application_id") % 3 == 0, "Sí").when(c("application_id") % 3 == 1, "YES").otherwise("s")
-    raw = applications(spark, sf).select(
+    raw = applications(spark, sf, customer=True).select(
         "application_id",
         F.when(c("application_id") % 13 == 0, F.lit("n/d")).otherwise(
             F.concat(F.lit(" "), c("approved_amount").cast("string"))
@@ -239,14 +239,14 @@ def _(spark, sf):
   round((NAFIN_Portion - avg(NAFIN_Portion) OVER ()) / stddev_pop(NAFIN_Portion) OVER (), 8) + 0e0 AS "num__NAFIN_Portion", 0e0 AS num__constant FROM feat""")
 def _(spark, sf):
     columns = ["GrAppv", "Term", "NAFIN_Portion", "constant"]
-    features = f.build_features(dirty(spark, sf)).withColumn("constant", F.lit(3.0))
+    features = f.build_features(dirty(spark, sf, customer=True)).withColumn("constant", F.lit(3.0))
     out = standardize(features, columns).select("LoanNr", *[f"num__{x}" for x in columns])
     return rounded(out, num__GrAppv=8, num__Term=8, num__NAFIN_Portion=8)
 
 
 @query("scaler_stats", f", {CLEAN_SQL} SELECT round(avg(GrAppv), 4) AS GrAppv_mean, round(avg(NoEmp), 8) AS NoEmp_mean, round(stddev_pop(GrAppv), 4) AS GrAppv_std, round(stddev_pop(NoEmp), 8) AS NoEmp_std FROM feat")
 def _(spark, sf):
-    stats = scaler_stats(f.build_features(dirty(spark, sf)), ["GrAppv", "NoEmp"])
+    stats = scaler_stats(f.build_features(dirty(spark, sf, customer=True)), ["GrAppv", "NoEmp"])
     return rounded(stats, GrAppv_mean=4, NoEmp_mean=8, GrAppv_std=4, NoEmp_std=8)
 
 

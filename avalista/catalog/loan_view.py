@@ -1,8 +1,10 @@
 """Loan, application and scored-loan views derived from the test tables.
 
-``loans`` is orders with its customer and the summed line items of each order.
-Both joined sides are unique on their key, so Spark drops a join whose columns
-a query does not use.
+``loans`` is orders with the summed line items of each order and, when a query
+needs the borrower's name or age class, its customer. The line items are unique
+per order after the sum, so Spark drops that join where its columns are unused.
+The customer table is joined as it is: Spark broadcasts it while it is small and
+splits hot customers when it is not.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from avalista.functions.rules import rule_lgd_rate, rule_loss_given_default
 from avalista.operators.calibration import predict_el
-from avalista.sources.dims import BANKS, BANK_NAMES, SECTORS, SECTOR_CODES, STATES, STATE_CODES, TERMS
+from avalista.sources.dims import BANK_NAMES, BANKS, SECTOR_CODES, SECTORS, STATE_CODES, STATES, TERMS
 
 c = F.col
 
@@ -21,82 +23,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values, index):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
-
-
-def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _list(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + ")"
+
+
+# Spark SQL text of the base columns; m is the scratch number behind NoEmp.
+_BASE = f"""
+o_orderkey AS LoanNr
+element_at({_list(STATE_CODES)}, int(o_custkey % 32) + 1) AS State
+element_at({_list(SECTOR_CODES)}, int(floor(sqrt(double(o_orderkey % 441)))) + 1) AS SCIAN
+element_at({_list(BANK_NAMES)}, int(o_custkey % 14) + 1) AS Bank
+add_months(date(o_orderdate), 240) AS ApprovalDate
+element_at({_list(TERMS)}, int(o_orderkey % 9) + 1) AS Term
+(o_orderkey * 31 + o_custkey) % 1000 AS m
+CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 0 WHEN '5-LOW' THEN 2 ELSE 1 END AS UrbanRural
+double(floor(o_totalprice / 100D)) * 1000D AS GrAppv
+CASE WHEN o_orderkey % 20 < 7 THEN double(50 + o_orderkey % 31) / 100D ELSE 0D END AS Portion
+int(o_orderstatus = 'O') AS RealEstate
+8D + double(o_custkey % 271) / 10D AS InterestRate
+CASE WHEN o_orderkey % 4 = 0 THEN 'Y' ELSE 'N' END AS RevLineCr
+CASE WHEN o_orderkey % 10 < 3 THEN 'Y' ELSE 'N' END AS LowDoc
+coalesce(int(returned_qty / qty > 0.75D), 0) AS Default
+""".strip().split("\n")
+
+_CUSTOMER = ["c_name AS Name", "CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS NewExist"]
+
+_DERIVED = """
+int(CASE WHEN m < 700 THEN 1 + m % 10 WHEN m < 900 THEN 11 + m % 40 WHEN m < 980 THEN 51 + m % 200 ELSE 251 + m % 250 END) AS NoEmp
+year(ApprovalDate) AS ApprovalFY
+round(GrAppv * Portion, 2) AS NAFIN_Appv
+int(ApprovalDate >= DATE '2020-03-01' AND ApprovalDate < DATE '2021-07-01') AS Recession
+double((LoanNr * 7919) % 10000) / 100000D AS pd_fix
+""".strip().split("\n")
+
+
+def loans(spark: SparkSession, sf_dir: str, customer: bool = False) -> DataFrame:
+    """``customer`` adds the columns Name and NewExist, at the price of a join."""
     orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer").groupBy("c_custkey").agg(
-        F.max("c_name").alias("c_name"), F.max("c_mktsegment").alias("c_mktsegment")
-    )
     returned = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.sum(F.when(c("l_returnflag") == "R", c("l_quantity")).otherwise(0.0)).alias("returned_qty"),
+        F.expr("sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0D END)").alias("returned_qty"),
         F.sum("l_quantity").alias("qty"),
     )
-    joined = orders.join(returned, c("o_orderkey") == c("l_orderkey"), "left").join(
-        customers, c("o_custkey") == c("c_custkey"), "left"
+    joined = orders.join(returned, c("o_orderkey") == c("l_orderkey"), "left")
+    if customer:
+        joined = joined.join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"), "left")
+    loss = F.round(c("GrAppv") * rule_lgd_rate() * F.expr("double(40 + LoanNr % 41) / 100D"), 2)
+    return (
+        joined.selectExpr(*_BASE, *(_CUSTOMER if customer else []))
+        .selectExpr("*", *_DERIVED)
+        .withColumns({
+            "ChgOffPrinGr": F.when(c("Default") == 1, loss).otherwise(0.0),
+            "lgd_fix": rule_loss_given_default(),
+        })
+        .drop("m")
     )
-    key, cust = c("o_orderkey"), c("o_custkey")
-    m = (key * 31 + cust) % 1000
-    base = joined.select(
-        key.alias("LoanNr"),
-        c("c_name").alias("Name"),
-        _pick(STATE_CODES, cust % 32).alias("State"),
-        _pick(SECTOR_CODES, F.floor(F.sqrt((key % 441).cast("double")))).alias("SCIAN"),
-        _pick(BANK_NAMES, cust % 14).alias("Bank"),
-        F.add_months(c("o_orderdate").cast("date"), 240).alias("ApprovalDate"),
-        _pick(TERMS, key % 9).alias("Term"),
-        F.when(m < 700, 1 + m % 10).when(m < 900, 11 + m % 40).when(m < 980, 51 + m % 200)
-        .otherwise(251 + m % 250).cast("int").alias("NoEmp"),
-        F.when(c("c_mktsegment") == "BUILDING", 1).otherwise(2).alias("NewExist"),
-        F.when(c("o_orderpriority") == "4-NOT SPECIFIED", 0).when(c("o_orderpriority") == "5-LOW", 2)
-        .otherwise(1).alias("UrbanRural"),
-        (F.floor(c("o_totalprice") / 100.0).cast("double") * 1000.0).alias("GrAppv"),
-        F.when(key % 20 < 7, (50 + key % 31).cast("double") / 100.0).otherwise(0.0).alias("Portion"),
-        (c("o_orderstatus") == "O").cast("int").alias("RealEstate"),
-        (8.0 + (cust % 271).cast("double") / 10.0).alias("InterestRate"),
-        F.when(key % 4 == 0, "Y").otherwise("N").alias("RevLineCr"),
-        F.when(key % 10 < 3, "Y").otherwise("N").alias("LowDoc"),
-        F.coalesce((c("returned_qty") / c("qty") > 0.75).cast("int"), F.lit(0)).alias("Default"),
-    )
-    crisis = (c("ApprovalDate") >= F.lit("2020-03-01").cast("date")) & (c("ApprovalDate") < F.lit("2021-07-01").cast("date"))
-    loss = F.round(c("GrAppv") * rule_lgd_rate() * (40 + c("LoanNr") % 41).cast("double") / 100.0, 2)
-    return base.withColumns({
-        "ApprovalFY": F.year("ApprovalDate"),
-        "NAFIN_Appv": F.round(c("GrAppv") * c("Portion"), 2),
-        "Recession": crisis.cast("int"),
-        "ChgOffPrinGr": F.when(c("Default") == 1, loss).otherwise(0.0),
-        "pd_fix": ((c("LoanNr") * 7919) % 10000).cast("double") / 100000.0,
-        "lgd_fix": rule_loss_given_default(),
-    })
-
-
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+# Every n-th loan misses the column.
+_GAPS = {"GrAppv": 97, "State": 89, "SCIAN": 83, "RealEstate": 79, "NoEmp": 73, "NewExist": 71, "Term": 67, "ChgOffPrinGr": 61}
+
+
+def dirty(spark: SparkSession, sf_dir: str, customer: bool = False) -> DataFrame:
     """The loan view with missing values sprinkled in."""
-    gaps = {"GrAppv": 97, "State": 89, "SCIAN": 83, "RealEstate": 79, "NoEmp": 73, "NewExist": 71, "Term": 67, "ChgOffPrinGr": 61}
-    view = loans(spark, sf_dir)
-    return view.withColumns({x: F.when(c("LoanNr") % n != 0, c(x)) for x, n in gaps.items()})
+    view = loans(spark, sf_dir, customer)
+    return view.withColumns({x: F.when(c("LoanNr") % n != 0, c(x)) for x, n in _GAPS.items() if x in view.columns})
 
 
-def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loans(spark, sf_dir).withColumnsRenamed({"SCIAN": "NAICS", "NAFIN_Appv": "SBA_Appv"}).drop(
+def legacy(spark: SparkSession, sf_dir: str, customer: bool = False) -> DataFrame:
+    return loans(spark, sf_dir, customer).withColumnsRenamed({"SCIAN": "NAICS", "NAFIN_Appv": "SBA_Appv"}).drop(
         "Default", "RealEstate", "Recession", "UrbanRural"
     )
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans with the fixed test scores as model output."""
     view = loans(spark, sf_dir).withColumnsRenamed({"pd_fix": "pd", "lgd_fix": "lgd"})
     return predict_el(view)
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loans(spark, sf_dir).select(
+def applications(spark: SparkSession, sf_dir: str, customer: bool = False) -> DataFrame:
+    return loans(spark, sf_dir, customer).select(
         c("LoanNr").alias("application_id"),
         c("GrAppv").alias("approved_amount"),
         c("Term").alias("term_months"),
         c("NoEmp").alias("num_employees"),
-        (c("NewExist") == 1).alias("is_new_business"),
+        *([(c("NewExist") == 1).alias("is_new_business")] if customer else []),
         c("SCIAN").alias("scian_code"),
         c("State").alias("state_code"),
         c("InterestRate").alias("market_bank_rate"),
@@ -121,7 +132,6 @@ def _values(rows, names) -> str:
     return f"(VALUES {body}) AS t({names})"
 
 
-_GAPS = {"GrAppv": 97, "State": 89, "SCIAN": 83, "RealEstate": 79, "NoEmp": 73, "NewExist": 71, "Term": 67, "ChgOffPrinGr": 61}
 _LGD_SQL = (
     "CASE WHEN Portion > 0 AND RealEstate = 1 THEN 0.20e0 WHEN Portion > 0 THEN 0.25e0 "
     "WHEN RealEstate = 1 THEN 0.35e0 ELSE 0.75e0 END"

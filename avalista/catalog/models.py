@@ -17,12 +17,12 @@ FAST = m.TrainConfig(pd_params={"trees": 10, "step": 0.1}, lgd_params={"trees":
 
 
 def _trained(spark, sf):
-    return m.train_risk_model(loans(spark, sf), FAST)
+    return m.train_risk_model(loans(spark, sf, customer=True), FAST)
 
 
 @query("preprocessor")
 def _(spark, sf):
-    features = f.build_features(loans(spark, sf))
+    features = f.build_features(loans(spark, sf, customer=True))
     vectors = m.preprocessor(features).transform(features)
     from pyspark.ml.functions import vector_to_array
 
@@ -32,7 +32,7 @@ def _(spark, sf):
 def _pd_query(algo, **params):
     @query(f"train_pd_{algo}")
     def _(spark, sf):
-        features = f.build_features(loans(spark, sf))
+        features = f.build_features(loans(spark, sf, customer=True))
         vectors = m.preprocessor(features).transform(features).select("LoanNr", "features", "Default")
         model = m.train_pd(vectors, algo, **params)
         model.setPredictionCol("pd_class")
@@ -49,7 +49,7 @@ _pd_query("deep_forest", trees=5, depth=12)
 def _lgd_query(algo, **params):
     @query(f"train_lgd_{algo}")
     def _(spark, sf):
-        features = f.build_features(loans(spark, sf))
+        features = f.build_features(loans(spark, sf, customer=True))
         vectors = m.preprocessor(features).transform(features).select("LoanNr", "features", "Default", "ChgOffPrinGr")
         defaults = f.filter_defaults(vectors)
         return m.train_lgd(defaults, algo, **params).transform(defaults).select("LoanNr", "ChgOffPrinGr", "lgd")
@@ -63,18 +63,18 @@ _lgd_query("gradient_boosting", trees=10, step=0.1)
 @query("train_risk_model")
 def _(spark, sf):
     model = _trained(spark, sf)
-    scored = m.score_portfolio(with_fold(loans(spark, sf)), model).filter(c("fold") == "test")
+    scored = m.score_portfolio(with_fold(loans(spark, sf, customer=True)), model).filter(c("fold") == "test")
     return evaluate_pd(scored).withColumns({x: F.lit(v) for x, v in model.metadata.items()})
 
 
 @query("score_portfolio")
 def _(spark, sf):
-    return m.score_portfolio(loans(spark, sf), _trained(spark, sf)).select("LoanNr", "pd", "lgd", "el", "gps_category")
+    return m.score_portfolio(loans(spark, sf, customer=True), _trained(spark, sf)).select("LoanNr", "pd", "lgd", "el", "gps_category")
 
 
 @query("quote_with_model")
 def _(spark, sf):
-    unscored = applications(spark, sf).drop("pd", "lgd")
+    unscored = applications(spark, sf, customer=True).drop("pd", "lgd")
     return quote(unscored, _trained(spark, sf), keep=["application_id"])
 
 
@@ -82,12 +82,12 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark, "model")
     save_artifacts(_trained(spark, sf), path, spark)
-    return m.score_portfolio(loans(spark, sf), load_artifacts(spark, path)).select("LoanNr", "pd", "lgd", "el")
+    return m.score_portfolio(loans(spark, sf, customer=True), load_artifacts(spark, path)).select("LoanNr", "pd", "lgd", "el")
 
 
 @query("feature_importance")
 def _(spark, sf):
-    features = f.build_features(loans(spark, sf))
+    features = f.build_features(loans(spark, sf, customer=True))
     vectors = m.preprocessor(features).transform(features)
     model = m.train_pd(vectors.select("features", "Default"), "boosted", trees=10, step=0.1)
     return m.feature_importance(model, m.feature_names(vectors))
@@ -96,7 +96,7 @@ def _(spark, sf):
 @query("example_models")
 def _(spark, sf):
     """Both example classifiers on the same label-encoded features, with their test figures."""
-    vectors, _, _ = m.example_features(with_fold(loans(spark, sf)))
+    vectors, _, _ = m.example_features(with_fold(loans(spark, sf, customer=True)))
     train, test = vectors.filter(c("fold") == "train"), vectors.filter(c("fold") == "test")
     out = None
     for algo in ("example_forest", "example_boosted"):
@@ -112,6 +112,6 @@ def _(spark, sf):
 @query("example_loss_model")
 def _(spark, sf):
     """Loss forest on defaulted loans only, split without regard to class."""
-    vectors, _, _ = m.example_features(with_fold(f.filter_defaults(loans(spark, sf))))
+    vectors, _, _ = m.example_features(with_fold(f.filter_defaults(loans(spark, sf, customer=True))))
     model = m.train_lgd(vectors.filter(c("fold") == "train"), "example_forest", trees=10)
     return evaluate_lgd(model.transform(vectors.filter(c("fold") == "test")))

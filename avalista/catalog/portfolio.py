@@ -39,7 +39,7 @@ def _(spark, sf):
 
 @query("default_rate_by_business_age", f"SELECT CASE WHEN NewExist = 1 THEN 'Nuevo' ELSE 'Existente' END AS business, count(*) AS n, {RATE} FROM loans GROUP BY 1")
 def _(spark, sf):
-    view = loans(spark, sf).withColumn("IsNewBusiness", (c("NewExist") == 1).cast("int"))
+    view = loans(spark, sf, customer=True).withColumn("IsNewBusiness", (c("NewExist") == 1).cast("int"))
     return rounded(p.by_business_age(view), default_rate=6)
 
 
@@ -112,7 +112,7 @@ _SEGMENT_SQL = {
     f"""SELECT '{n}' AS dimension, {x} AS segment, count(*) AS n, round(avg("Default"), 8) AS default_rate, round(sum(ChgOffPrinGr), 2) AS total_loss FROM loans WHERE ({x}) IS NOT NULL GROUP BY 2"""
     for n, x in _SEGMENT_SQL.items()))
 def _(spark, sf):
-    return rounded(p.multi_segment_rates(loans(spark, sf)), default_rate=8, total_loss=2)
+    return rounded(p.multi_segment_rates(loans(spark, sf, customer=True)), default_rate=8, total_loss=2)
 
 
 @query("value_counts", "SELECT State, count(*) AS n, round(count(*) / (SELECT count(State) FROM dirty), 8) AS share FROM dirty WHERE State IS NOT NULL GROUP BY State")

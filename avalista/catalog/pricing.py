@@ -49,7 +49,7 @@ def _(spark, sf):
   approved_amount - g AS Debt_to_NAFIN, round(ln(1e0 + approved_amount), 8) AS Log_GrAppv, has_real_estate::INTEGER AS HasRealEstate, in_recession::INTEGER AS InRecession, 1 AS IsUrban
   FROM (SELECT *, CASE WHEN approved_amount <= 2000000 THEN approved_amount * 0.8e0 ELSE approved_amount * 0.7e0 END AS g FROM applications)""")
 def _(spark, sf):
-    source = applications(spark, sf)
+    source = applications(spark, sf, customer=True)
     out = q.application_features(source).drop(*[x for x in source.columns if x != "application_id"])
     return rounded(out, Log_GrAppv=8)
 

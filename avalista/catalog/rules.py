@@ -35,12 +35,12 @@ LGD_SQL = "CASE WHEN Portion > 0 AND RealEstate = 1 THEN 0.20e0 WHEN Portion > 0
 
 @query("risk_score", f", {SCORE_SQL} SELECT LoanNr, score AS risk_score FROM rule")
 def _(spark, sf):
-    return r.risk_score(loans(spark, sf)).select("LoanNr", "risk_score")
+    return r.risk_score(loans(spark, sf, customer=True)).select("LoanNr", "risk_score")
 
 
 @query("score_to_pd", f", {SCORE_SQL} SELECT LoanNr, rpd AS rule_pd FROM rule_pd")
 def _(spark, sf):
-    return r.score_to_pd(r.risk_score(loans(spark, sf))).select("LoanNr", "rule_pd")
+    return r.score_to_pd(r.risk_score(loans(spark, sf, customer=True))).select("LoanNr", "rule_pd")
 
 
 @query("rule_lgd_rate", f"SELECT LoanNr, {LGD_SQL} AS rule_lgd_rate FROM loans")
@@ -55,13 +55,13 @@ def _(spark, sf):
 
 @query("rule_expected_loss", f", {SCORE_SQL} SELECT LoanNr, rpd * round(GrAppv * ({LGD_SQL}) * 0.6e0, 2) AS rule_el FROM rule_pd")
 def rule_expected_loss(spark, sf):
-    return r.rule_expected_loss(loans(spark, sf)).select("LoanNr", "rule_el")
+    return r.rule_expected_loss(loans(spark, sf, customer=True)).select("LoanNr", "rule_el")
 
 
 @query("reference_rate", f"""SELECT LoanNr, least(greatest(12e0 + CASE {SIZE_SQL} WHEN 'Micro' THEN 4e0 WHEN 'Pequeña' THEN 2e0 ELSE 0e0 END
   + CASE WHEN NewExist = 1 THEN 3e0 ELSE 0e0 END + CASE WHEN volatility = 'alta' THEN 2e0 ELSE 0e0 END, 8e0), 28e0) AS reference_rate FROM loans LEFT JOIN sectors ON SCIAN = sector_code""")
 def _(spark, sf):
-    return r.reference_rate(loans(spark, sf)).select("LoanNr", "reference_rate")
+    return r.reference_rate(loans(spark, sf, customer=True)).select("LoanNr", "reference_rate")
 
 
 GUARANTEE_SQL = f"""least(CASE WHEN SCIAN IN ('31','32','33') THEN 0.5e0 WHEN SCIAN = '11' THEN 0.45e0 WHEN SCIAN IN ('54','51') THEN 0.4e0 WHEN SCIAN IN ('72','71') THEN 0.2e0 ELSE 0.35e0 END
@@ -107,7 +107,7 @@ def _observed(name, rule, segment_sql, segment, seen, expected):
     @query(f"observed_vs_rule_{name}", f"""SELECT {segment_sql} AS segment, count(*) AS n, round(avg(({seen})::INTEGER), 8) AS observed, round(avg({expected}), 8) AS expected,
       round(avg(({seen})::INTEGER) - avg({expected}), 8) + 0e0 AS gap FROM loans LEFT JOIN sectors ON SCIAN = sector_code WHERE ({segment_sql}) IS NOT NULL GROUP BY 1""")
     def _(spark, sf):
-        return rounded(r.observed_vs_rule(loans(spark, sf), rule, segment()), observed=8, expected=8, gap=8)
+        return rounded(r.observed_vs_rule(loans(spark, sf, customer=rule == "new_business"), rule, segment()), observed=8, expected=8, gap=8)
 
 
 _observed("guarantee", "guarantee", "SCIAN", lambda: c("SCIAN"), "Portion > 0", GUARANTEE_SQL)

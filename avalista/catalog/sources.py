@@ -26,14 +26,14 @@ SAME_ROWS = 'SELECT LoanNr::VARCHAR AS LoanNr, Name, State, SCIAN, ApprovalDate,
 @query("read_loans_csv", SAME_ROWS + "dirty")
 def _(spark, sf):
     path = scratch(spark, "csv")
-    write_loans(dirty(spark, sf).select(*FILE_COLUMNS), path, "csv")
+    write_loans(dirty(spark, sf, customer=True).select(*FILE_COLUMNS), path, "csv")
     return read_loans(spark, path, "csv")
 
 
 @query("write_loans_parquet", 'SELECT LoanNr, State, ApprovalDate, ApprovalFY, GrAppv, "Default", ChgOffPrinGr FROM loans')
 def _(spark, sf):
     path = scratch(spark, "parquet")
-    write_loans(loans(spark, sf), path, "parquet")
+    write_loans(loans(spark, sf, customer=True), path, "parquet")
     back = read_loans(spark, path, "parquet")
     return back.select("LoanNr", "State", "ApprovalDate", "ApprovalFY", "GrAppv", "Default", "ChgOffPrinGr")
 
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("profile_loans", "SELECT count(*) AS n_rows, 14::BIGINT AS n_columns, '" + ",".join(FILE_COLUMNS) + "' AS column_names FROM loans")
 def _(spark, sf):
-    return p.profile_loans(loans(spark, sf).select(*FILE_COLUMNS))
+    return p.profile_loans(loans(spark, sf, customer=True).select(*FILE_COLUMNS))
 
 
 @query("first_rows", "SELECT LoanNr, State, SCIAN, GrAppv FROM loans ORDER BY LoanNr LIMIT 5")

@@ -14,43 +14,40 @@ FIVE = ["Muy Bajo", "Bajo", "Medio", "Alto", "Muy Alto"]
 THREE = ["Bajo", "Medio", "Alto"]
 
 
-def _risk_edges(scored: DataFrame, column: str, accuracy=None) -> DataFrame:
+def risk_edges(scored: DataFrame, column="el", accuracy: int | None = None) -> dict[str, float]:
+    """Minimum, quintile and tercile edges and maximum of a score: eight numbers, fitted once."""
     points = {f"q{i}": i / 5 for i in range(6)} | {"t1": 1 / 3, "t2": 2 / 3}
-    return quantiles(scored, column, points, accuracy=accuracy)
+    return quantiles(scored, column, points, accuracy=accuracy).first().asDict()
 
 
-def risk_quintile(scored: DataFrame, column="el", name="risk_category", accuracy: int | None = None) -> DataFrame:
+def risk_quintile(
+    scored: DataFrame, column="el", name="risk_category", edges: dict[str, float] | None = None, accuracy: int | None = None
+) -> DataFrame:
     """Five classes by quantile edges, right-closed, the minimum in the first one.
 
-    Repeated edges fall back to three classes; if those repeat too, the job fails.
-    Equal values always share a class.
+    Repeated edges fall back to three classes; if those repeat too, it raises.
+    Equal values always share a class. Pass ``edges`` to reuse those of another table.
     """
-    edges = _risk_edges(scored, column, accuracy)
-    found = edges.select(F.struct(*edges.columns)).scalar()
-    at = found.getField
-    x = c(column)
-
-    def classes(cuts, results):
-        out = F
-        for cut, result in zip(cuts, results):
-            out = out.when(x <= cut, F.lit(result))
-        return out.otherwise(F.lit(results[-1]))
-
-    def rising(names):
-        ok = F.lit(True)
-        for a, b in zip(names, names[1:]):
-            ok = ok & (at(a) < at(b))
-        return ok
-
-    def pick(five, three):
-        return (
-            F.when(x.isNull(), F.lit(None))
-            .when(rising([f"q{i}" for i in range(6)]), classes([at(f"q{i}") for i in range(1, 5)], five))
-            .when(rising(["q0", "t1", "t2", "q5"]), classes([at("t1"), at("t2")], three))
-            .otherwise(F.raise_error(F.lit(f"{column} has too few distinct values for risk classes")))
-        )
-
-    return scored.withColumns({name: pick(FIVE, THREE), f"{name}_ord": pick([1, 2, 3, 4, 5], [1, 2, 3])})
+    at = edges or risk_edges(scored, column, accuracy)
+    five = [at[f"q{i}"] for i in range(6)]
+    three = [at["q0"], at["t1"], at["t2"], at["q5"]]
+    for cuts, labels in ((five, FIVE), (three, THREE)):
+        if None not in cuts and all(low < high for low, high in zip(cuts, cuts[1:])):
+            break
+    else:
+        raise ValueError(f"{column} has too few distinct values for risk classes")
+    bounds = [None, *cuts[1:-1], None]
+    return scored.withColumns({
+        name: _class_of(c(column), bounds, labels),
+        f"{name}_ord": _class_of(c(column), bounds, list(range(1, len(labels) + 1))),
+    })
+
+
+def _class_of(value, bounds, results):
+    out = F.when(value.isNull(), F.lit(None))
+    for upper, result in zip(bounds[1:-1], results):
+        out = out.when(value <= upper, F.lit(result))
+    return out.otherwise(F.lit(results[-1]))
 
 
 def risk_summary(classified: DataFrame, category="risk_category", el="el", loss="ChgOffPrinGr") -> DataFrame:

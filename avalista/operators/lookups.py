@@ -78,11 +78,7 @@ def complete_categories(summary: DataFrame, key: str, categories, count="n") ->
         [(label, i) for i, label in enumerate(categories, start=1)], f"{key} string, {key}_ord int"
     )
     rest = summary.drop(f"{key}_ord")
-    return (
-        F.broadcast(listed)
-        .join(rest, key, "left")
-        .withColumn(count, F.coalesce(F.col(count), F.lit(0).cast("long")))
-    )
+    return listed.join(rest, key, "left").withColumn(count, F.coalesce(F.col(count), F.lit(0).cast("long")))
 
 
 def restrict_to(summary: DataFrame, keys: DataFrame, key: str) -> DataFrame:

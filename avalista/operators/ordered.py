@@ -16,15 +16,17 @@ from avalista.session import cut_lineage
 PART = "_part"
 
 
-def running_totals(df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False, parts: int | None = None) -> DataFrame:
     """Add each measure's inclusive running total along ``order``, restarted per ``by`` group.
 
-    With ``totals`` the group total is added as ``<name>_total``.
+    With ``totals`` the group total is added as ``<name>_total``. ``parts`` fixes
+    the number of ranges; by default it is the session's shuffle partitions, which
+    adaptive execution coalesces when they are small.
     """
     order, by = list(order), list(by)
     narrow = df.withColumns({f"_{name}_in": expr for name, expr in measures.items()})
     placed = cut_lineage(
-        narrow.repartitionByRange(*[F.col(b) for b in by], *order).withColumn(PART, F.spark_partition_id())
+        narrow.repartitionByRange(*([parts] if parts else []), *[F.col(b) for b in by], *order).withColumn(PART, F.spark_partition_id())
     )
     inputs = {name: F.col(f"_{name}_in") for name in measures}
 

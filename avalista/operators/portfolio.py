@@ -204,22 +204,27 @@ def histogram(loans: DataFrame, value, bins: int, lo=None, hi=None) -> DataFrame
     """
     value = value if isinstance(value, Column) else c(value)
     data = loans.select(value.cast("double").alias("x")).filter(c("x").isNotNull())
-    limits = data.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))).scalar()
-    low = F.lit(float(lo)) if lo is not None else limits.getField("lo")
-    high = F.lit(float(hi)) if hi is not None else limits.getField("hi")
+    found = data.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))
+    low = F.lit(float(lo)) if lo is not None else c("lo")
+    high = F.lit(float(hi)) if hi is not None else c("hi")
     flat = low == high
-    low, high = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-    width = (high - low) / bins
-    inside = data if lo is None and hi is None else data.filter((c("x") >= low) & (c("x") <= high))
-    place = F.least(F.floor((c("x") - low) / width), F.lit(bins - 1).cast("long"))
-    counts = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    found = found.select(
+        F.when(flat, low - 0.5).otherwise(low).alias("lo"), F.when(flat, high + 0.5).otherwise(high).alias("hi"), "mean"
+    )
+    limits = found.select(F.struct("lo", ((c("hi") - c("lo")) / bins).alias("width"), "hi", "mean").alias("r")).scalar()
+    at = c("r").getField
+    ranged = data.withColumn("r", limits)
+    if lo is not None or hi is not None:
+        ranged = ranged.filter((c("x") >= at("lo")) & (c("x") <= at("hi")))
+    place = F.least(F.floor((c("x") - at("lo")) / at("width")), F.lit(bins - 1).cast("long"))
+    counts = ranged.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
     grid = loans.sparkSession.range(bins).withColumnRenamed("id", "bin")
-    return grid.join(counts, "bin", "left").select(
+    return grid.join(counts, "bin", "left").withColumn("r", limits).select(
         "bin",
-        (low + c("bin") * width).alias("bin_lo"),
-        (low + (c("bin") + 1) * width).alias("bin_hi"),
+        (at("lo") + c("bin") * at("width")).alias("bin_lo"),
+        (at("lo") + (c("bin") + 1) * at("width")).alias("bin_hi"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"),
-        limits.getField("mean").alias("mean"),
+        at("mean").alias("mean"),
     )
 
 
