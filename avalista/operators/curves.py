@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avalista.operators.ordered import quantiles, running_totals
@@ -95,7 +95,8 @@ def score_counts(scored: DataFrame, score="pd", label="Default") -> DataFrame:
     )
 
 
-def _ranked_scores(scored, score, label):
+def ranked_scores(scored: DataFrame, score="pd", label="Default") -> DataFrame:
+    """Distinct scores from the highest, with running and total positives and negatives."""
     return running_totals(
         score_counts(scored, score, label), [c("score").desc()], {"tp": c("pos"), "fp": c("neg")}, totals=True
     )
@@ -106,7 +107,7 @@ def roc_curve(scored: DataFrame, score="pd", label="Default", drop_collinear: bo
 
     ``drop_collinear`` leaves out points in the middle of equal steps.
     """
-    ranked = _ranked_scores(scored, score, label)
+    ranked = ranked_scores(scored, score, label)
     if drop_collinear:
         ranked = _corners(ranked)
     points = ranked.select(
@@ -132,13 +133,15 @@ def _corners(ranked: DataFrame) -> DataFrame:
     return numbered.join(following, "place", "left").filter(ends | turned)
 
 
-def auc(scored: DataFrame, score="pd", label="Default") -> DataFrame:
-    """Exact area under the ROC curve; ties count half; null when only one class is present."""
-    ranked = _ranked_scores(scored, score, label)
+def area() -> Column:
+    """Area under the ROC curve as an aggregate over ``ranked_scores``."""
     below = c("fp_total") - c("fp")
     wins = F.sum(c("pos").cast("double") * (below + c("neg") / 2.0))
-    return ranked.agg(
-        wins.alias("wins"), F.max("tp_total").alias("n_pos"), F.max("fp_total").alias("n_neg")
-    ).select(
-        F.try_divide(c("wins"), c("n_pos").cast("double") * c("n_neg")).alias("auc"), "n_pos", "n_neg"
+    return F.try_divide(wins, F.max("tp_total").cast("double") * F.max("fp_total"))
+
+
+def auc(scored: DataFrame, score="pd", label="Default") -> DataFrame:
+    """Exact area under the ROC curve; ties count half; null when only one class is present."""
+    return ranked_scores(scored, score, label).agg(
+        area().alias("auc"), F.max("tp_total").alias("n_pos"), F.max("fp_total").alias("n_neg")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avalista.operators.ordered import running_totals
-from avalista.session import broadcast_if_small
+from avalista.session import broadcast_if_small, with_totals
 
 c = F.col
 
@@ -47,13 +47,11 @@ def scaler_stats(loans: DataFrame, columns) -> DataFrame:
 def standardize(loans: DataFrame, columns, stats: DataFrame | None = None, prefix="num__") -> DataFrame:
     """(x - mean) / population deviation, zero for constant columns; stats default to the input's own."""
     stats = stats if stats is not None else scaler_stats(loans, columns)
-    found = stats.select(F.struct(*stats.columns)).scalar()
-    return loans.withColumns({
-        prefix + x: F.coalesce(
-            F.try_divide(c(x) - found.getField(f"{x}_mean"), found.getField(f"{x}_std")), F.lit(0.0) * c(x)
-        )
-        for x in columns
+    at = c("_stats").getField
+    scaled = loans.withColumn("_stats", stats.select(F.struct(*stats.columns)).scalar()).withColumns({
+        prefix + x: F.coalesce(F.try_divide(c(x) - at(f"{x}_mean"), at(f"{x}_std")), F.lit(0.0) * c(x)) for x in columns
     })
+    return scaled.drop("_stats")
 
 
 def one_hot(loans: DataFrame, column: str, categories) -> DataFrame:
@@ -88,12 +86,10 @@ def class_weights(loans: DataFrame, label="Default", mode="balanced", positive:
     """Weight per class: n / (2 n_class), or a fixed weight for the positive class."""
     counts = loans.groupBy(label).agg(F.count("*").alias("n"))
     if mode == "balanced":
-        weight = loans.agg(F.count("*")).scalar() / (2 * c("n"))
-    elif mode == "positive":
-        weight = F.when(c(label) == 1, F.lit(positive)).otherwise(F.lit(1.0))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return counts.withColumn("weight", weight)
+        return with_totals(counts, _n=F.sum("n")).withColumn("weight", c("_n") / (2 * c("n"))).drop("_n")
+    if mode == "positive":
+        return counts.withColumn("weight", F.when(c(label) == 1, F.lit(positive)).otherwise(F.lit(1.0)))
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def with_class_weight(loans: DataFrame, label="Default", mode="balanced", positive: float = 3.0, name="weight") -> DataFrame:
@@ -101,8 +97,9 @@ def with_class_weight(loans: DataFrame, label="Default", mode="balanced", positi
     y = c(label) == 1
     if mode == "balanced":
         sizes = loans.agg(F.struct(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))).scalar()
-        pos, neg = sizes.getField("pos"), sizes.getField("neg")
+        pos, neg = c("_sizes").getField("pos"), c("_sizes").getField("neg")
         weight = F.try_divide((pos + neg).cast("double"), 2 * F.when(y, pos).otherwise(neg))
-    else:
-        weight = F.when(y, F.lit(positive)).otherwise(F.lit(1.0))
-    return loans.withColumn(name, weight)
+        return loans.withColumn("_sizes", sizes).withColumn(name, weight).drop("_sizes")
+    if mode == "positive":
+        return loans.withColumn(name, F.when(y, F.lit(positive)).otherwise(F.lit(1.0)))
+    raise ValueError(f"unknown mode {mode!r}")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avalista.functions.segments import amount_bucket
-from avalista.operators.curves import auc
-from avalista.operators.portfolio import histogram
+from avalista.operators.curves import area, auc, ranked_scores
+from avalista.operators.portfolio import histogram, histogram_by_class
 
 c = F.col
 # Fixed value: smallest step of a double, as used to keep probabilities off 0 and 1.
@@ -18,8 +18,12 @@ def _brier(p, y):
     return F.avg(F.pow(p - y, F.lit(2.0)))
 
 
+def _off_the_ends(p):
+    return F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1.0 - EPSILON))
+
+
 def _log_loss(p, y):
-    safe = F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1.0 - EPSILON))
+    safe = _off_the_ends(p)
     return F.avg(F.when(y == 1, -F.log(safe)).otherwise(-F.log(F.lit(1.0) - safe)))
 
 
@@ -36,13 +40,17 @@ def default_rates(scored: DataFrame, score="pd", label="Default") -> DataFrame:
 
 
 def evaluate_pd(scored: DataFrame, score="pd", label="Default") -> DataFrame:
-    p, y = c(score), c(label)
-    return scored.agg(
-        _brier(p, y).alias("brier"),
-        _log_loss(p, y).alias("log_loss"),
-        F.avg(y).alias("default_rate_actual"),
-        F.avg(p).alias("default_rate_predicted"),
-    ).withColumn("auc", auc(scored, score, label).select("auc").scalar())
+    """All probability measures in one row, from the counts per distinct score: one pass over the loans."""
+    p, pos, neg = c("score"), c("pos").cast("double"), c("neg").cast("double")
+    safe = _off_the_ends(p)
+    n = F.sum(pos + neg)
+    return ranked_scores(scored, score, label).agg(
+        (F.sum(pos * F.pow(p - 1.0, F.lit(2.0)) + neg * F.pow(p, F.lit(2.0))) / n).alias("brier"),
+        (F.sum(-pos * F.log(safe) - neg * F.log(F.lit(1.0) - safe)) / n).alias("log_loss"),
+        (F.sum(pos) / n).alias("default_rate_actual"),
+        (F.sum(p * (pos + neg)) / n).alias("default_rate_predicted"),
+        area().alias("auc"),
+    )
 
 
 def _regression(y, p):
@@ -143,10 +151,7 @@ def reliability_table(scored: DataFrame, bins: int = 10, score="pd", label="Defa
 
 def score_by_outcome(scored: DataFrame, bins: int = 30, score="pd", label="Default") -> DataFrame:
     """One score histogram per actual class, each over its own range."""
-    def one(value):
-        return histogram(scored.filter(c(label) == value), score, bins).withColumn("actual", F.lit(value))
-
-    return one(0).unionByName(one(1))
+    return histogram_by_class(scored, score, bins, label, [0, 1])
 
 
 def model_report(scored: DataFrame, factor: float = 1.0, score="pd", lgd="lgd", el="el", loss="ChgOffPrinGr") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from avalista.functions import segments as seg
 from avalista.operators.lookups import complete_categories, with_sector_name, with_state_name
 from avalista.operators.ordered import quantiles
-from avalista.session import broadcast_if_small
+from avalista.session import broadcast_if_small, with_totals
 
 c = F.col
 
@@ -48,7 +48,7 @@ def default_rate_by(loans: DataFrame, key, name=None, overall=False, order=None,
     """Default rate and count per key; null keys are dropped.
 
     ``order`` is an integer column that sorts the keys; ``overall`` adds the
-    portfolio rate as a scalar subquery; ``measures`` are further aggregates.
+    portfolio rate; ``measures`` are further aggregates.
     """
     key = key if isinstance(key, Column) else c(key).alias(key)
     name = name or "segment"
@@ -57,11 +57,12 @@ def default_rate_by(loans: DataFrame, key, name=None, overall=False, order=None,
         F.count("*").alias("n"),
         F.avg("Default").alias("default_rate"),
         *[m.alias(n) for n, m in measures.items()],
+        *([F.sum("Default").alias("_defaults"), F.count("Default").alias("_known")] if overall else []),
     )
-    out = out.filter(c(name).isNotNull())
     if overall:
-        out = out.withColumn("overall_rate", loans.agg(F.avg("Default")).scalar())
-    return out
+        rate = F.try_divide(F.sum("_defaults"), F.sum("_known"))
+        out = with_totals(out, overall_rate=rate).drop("_defaults", "_known")
+    return out.filter(c(name).isNotNull())
 
 
 def _percent(summary: DataFrame, *columns: str) -> DataFrame:
@@ -162,13 +163,9 @@ def multi_segment_rates(loans: DataFrame, segments=None) -> DataFrame:
 
 def value_counts(loans: DataFrame, column: str) -> DataFrame:
     """Counts of non-null values, largest first, with their share."""
-    known = loans.filter(c(column).isNotNull())
-    return (
-        known.groupBy(column)
-        .agg(F.count("*").alias("n"))
-        .withColumn("share", c("n") / loans.agg(F.count(column)).scalar())
-        .orderBy(c("n").desc(), c(column))
-    )
+    counts = loans.filter(c(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    shares = with_totals(counts, _total=F.sum("n")).withColumn("share", c("n") / c("_total")).drop("_total")
+    return shares.orderBy(c("n").desc(), c(column))
 
 
 def describe(loans: DataFrame, columns, accuracy: int | None = None) -> DataFrame:
@@ -228,6 +225,34 @@ def histogram(loans: DataFrame, value, bins: int, lo=None, hi=None) -> DataFrame
     )
 
 
+def histogram_by_class(loans: DataFrame, value: str, bins: int, label: str, classes) -> DataFrame:
+    """One histogram per class, each over its own range; two passes for all classes together."""
+    data = loans.filter(c(label).isin(*classes) & c(value).isNotNull()).select(
+        c(label).alias("class"), c(value).cast("double").alias("x")
+    )
+    low, high = F.min("x"), F.max("x")
+    limits = data.groupBy("class").agg(
+        F.when(low == high, low - 0.5).otherwise(low).alias("lo"),
+        F.when(low == high, high + 0.5).otherwise(high).alias("hi"),
+        F.avg("x").alias("mean"),
+    ).withColumn("width", (c("hi") - c("lo")) / bins)
+    limits = F.broadcast(limits)  # one row per listed class
+    place = F.least(F.floor((c("x") - c("lo")) / c("width")), F.lit(bins - 1).cast("long"))
+    counts = data.join(limits, "class").groupBy("class", place.alias("bin")).agg(F.count("*").alias("n"))
+    grid = loans.sparkSession.range(bins * len(classes)).select(
+        F.element_at(F.array(*[F.lit(x) for x in classes]), F.floor(c("id") / bins).cast("int") + 1).alias("class"),
+        (c("id") % bins).alias("bin"),
+    )
+    return grid.join(counts, ["class", "bin"], "left").join(limits, "class").select(
+        c("class").alias("actual"),
+        "bin",
+        (c("lo") + c("bin") * c("width")).alias("bin_lo"),
+        (c("lo") + (c("bin") + 1) * c("width")).alias("bin_hi"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+        "mean",
+    )
+
+
 def box_stats(loans: DataFrame, value: str, by: Column, name="segment", accuracy: int | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest data within 1.5 quartile ranges) and outlier count per group.
 
@@ -273,7 +298,7 @@ def mix_vs_target(loans: DataFrame, key, target: DataFrame, within: str | None =
         total = F.sum("n").over(Window.partitionBy(*groups))
         weight_total = F.sum("weight").over(Window.partitionBy(*groups))
     else:
-        total = keyed.agg(F.count("*")).scalar()
+        counts, total = with_totals(counts, _total=F.sum("n")), c("_total")
         weight_total = target.agg(F.sum("weight")).scalar()
     actual = counts.select(*groups, "key", "n", (c("n") / total).alias("share"))
     wanted = target.select(*groups, "key", (c("weight") / weight_total).alias("target_share"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_totals(summary: DataFrame, **totals: Column) -> DataFrame:
+    """Add grand totals of a grouped table to each of its rows.
+
+    The grouped table is written out first, so the totals come from its few rows
+    and the loans behind it are read once.
+    """
+    fixed = cut_lineage(summary)
+    return fixed.withColumns({name: fixed.agg(total).scalar() for name, total in totals.items()})
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast only after counting it; otherwise leave it to AQE.
 
