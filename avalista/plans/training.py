@@ -12,7 +12,7 @@ from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from avalista.operators.calibration import calibration_factor, predict_el
@@ -73,7 +73,12 @@ class RiskModel:
         return predict_el(lgd, self.factor).select(*features.columns, "pd", "lgd", "el")
 
 
+# Further names the algorithms are known by.
+ALIASES = {"xgboost": "boosted", "randomforest": "random_forest"}
+
+
 def _settings(presets, algo, params):
+    algo = ALIASES.get(algo, algo)
     if algo not in presets:
         raise ValueError(f"unknown algorithm {algo!r}; known: {', '.join(presets)}")
     return {**presets[algo], **params}
@@ -102,10 +107,11 @@ def preprocessor(features: DataFrame) -> PipelineModel:
 
 
 def feature_names(vectors: DataFrame, column="features") -> list[str]:
-    """Names behind the vector positions, from the column's metadata."""
+    """Names behind the vector positions: ``num__<column>``, then ``cat__<column>_<value>``."""
     attrs = vectors.schema[column].metadata["ml_attr"]["attrs"]
-    found = sorted(((a["idx"], a.get("name", "")) for group in attrs.values() for a in group))
-    return [name for _, name in found]
+    found = sorted((a["idx"], a.get("name", "")) for group in attrs.values() for a in group)
+    scaled = [f"num__{x}" for x in NUMERIC_FEATURES]
+    return scaled + [name for _, name in found[len(scaled):]]
 
 
 def train_pd(vectors: DataFrame, algo: str = "boosted", label="Default", **params):
@@ -227,8 +233,6 @@ def score_portfolio(loans: DataFrame, model: RiskModel) -> DataFrame:
 
 def feature_importance(model, names) -> DataFrame:
     """Feature names with their importance, smallest first; one row per model feature."""
-    from pyspark.sql import SparkSession
-
     values = [float(x) for x in model.featureImportances.toArray()]
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(list(zip(names, values)), "feature string, importance double").orderBy(
