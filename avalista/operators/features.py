@@ -12,9 +12,11 @@ c = F.col
 
 
 def normalize_legacy(loans: DataFrame) -> DataFrame:
-    """Accept the older column names for the sector and the guaranteed amount."""
+    """Accept the older column names for the loan id, the sector and the guaranteed amount."""
     have = set(loans.columns)
     added = {}
+    if "LoanNr" not in have and "LoanNr_ChkDgt" in have:
+        added["LoanNr"] = c("LoanNr_ChkDgt")
     if "NAFIN_Appv" not in have:
         added["NAFIN_Appv"] = c("SBA_Appv").cast("double") if "SBA_Appv" in have else F.lit(0.0)
     if "SCIAN" not in have:

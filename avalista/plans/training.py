@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from avalista.operators.calibration import calibration_factor, predict_el
 from avalista.operators.curves import auc
 from avalista.operators.encoding import label_codes, label_encode, with_class_weight, with_fold
-from avalista.operators.features import build_features, filter_defaults
+from avalista.operators.features import build_features, feature_select, filter_defaults
 from avalista.operators.metrics import evaluate_lgd
 from avalista.functions.pricing import gps_category
 from avalista.functions.segments import revline_flag
@@ -29,7 +29,7 @@ c = F.col
 
 # Full-size model settings. ``trees`` can be lowered for trial runs.
 PD_PRESETS = {
-    "boosted": {"trees": 600, "step": 0.02, "depth": 4, "rows": 0.8, "columns": "0.6", "weights": "positive", "seed": 2024, "min_gain": 0.2},
+    "boosted": {"trees": 600, "step": 0.02, "depth": 4, "rows": 0.8, "columns": "0.6", "weights": "positive", "seed": 2024},
     "random_forest": {"trees": 200, "depth": 12, "leaf": 50, "weights": "balanced", "seed": 42},
     "logistic": {"c": 0.1, "iterations": 1000, "weights": "balanced"},
     "deep_forest": {"trees": 2500, "depth": 18, "leaf": 2, "columns": "sqrt", "weights": "balanced", "seed": 2024},
@@ -128,7 +128,7 @@ def train_pd(vectors: DataFrame, algo: str = "boosted", label="Default", **param
         ensure_checkpoint_dir(vectors.sparkSession)
         return GBTClassifier(
             **common, maxIter=p["trees"], stepSize=p["step"], maxDepth=p["depth"], subsamplingRate=p["rows"],
-            featureSubsetStrategy=p["columns"], minInfoGain=p.get("min_gain", 0.0), seed=p["seed"], checkpointInterval=10,
+            featureSubsetStrategy=p["columns"], seed=p["seed"], checkpointInterval=10,
         ).fit(rows)
     return RandomForestClassifier(
         **common, numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
@@ -176,12 +176,14 @@ def train_risk_model(loans: DataFrame, config: TrainConfig | None = None) -> Ris
     of the rows the classifier saw.
     """
     cfg = config or TrainConfig()
-    features = with_fold(build_features(loans), cfg.test_size, cfg.seed, cfg.key)
-    train, test = features.filter(c("fold") == "train"), features.filter(c("fold") == "test")
-    prep = preprocessor(train)
-    vectors = prep.transform(train).select(cfg.key, "features", "Default", "ChgOffPrinGr")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = with_fold(build_features(loans), cfg.test_size, cfg.seed, cfg.key)
+    features = feature_select(prepared, cfg.key, "fold", "Default", "ChgOffPrinGr")
+    # Training makes many passes, so spread the narrow rows evenly once and keep them.
+    features = features.repartition(c(cfg.key), c("GrAppv"), c("Term")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        train, test = features.filter(c("fold") == "train"), features.filter(c("fold") == "test")
+        prep = preprocessor(train)
+        vectors = prep.transform(train).select("features", "Default", "ChgOffPrinGr")
         pd_model = train_pd(vectors, cfg.pd_algo, **cfg.pd_params)
         pd_model.setPredictionCol("pd_class")
         if cfg.calibrate_on == "train":
@@ -196,9 +198,9 @@ def train_risk_model(loans: DataFrame, config: TrainConfig | None = None) -> Ris
 
         on_train = predict_el(lgd_model.transform(calibrator.transform(pd_model.transform(vectors))))
         model = replace(model, factor=float(calibration_factor(on_train).first()["factor"]))
+        return replace(model, metadata=_figures(model, features, test))
     finally:
-        vectors.unpersist()
-    return replace(model, metadata=_figures(model, features, test))
+        features.unpersist()
 
 
 def _figures(model, features, test):
