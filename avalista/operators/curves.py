@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from avalista.operators.ordered import quantiles, running_totals
+from avalista.operators.ordered import quantiles, running_totals, thin_out
+from avalista.session import cut_lineage
 
 c = F.col
 
@@ -65,20 +66,40 @@ def cumulative_loss_curve(scored: DataFrame, el="el", loss="ChgOffPrinGr", key="
     Ties are ordered by loan id. ``pct`` is the share of loans so far, in percent.
     """
     narrow = scored.select(key, c(el).alias("el"), c(loss).alias("loss"))
-    run = running_totals(
-        narrow,
-        [c("el").desc(), c(key).asc()],
-        {"position": F.lit(1), "cum_el": c("el"), "cum_loss": c("loss")},
-        totals=True,
-    )
+    run = _cumulative(narrow, [c("el").desc(), c(key).asc()], F.lit(1))
     return run.withColumn("pct", c("position") / c("position_total") * 100)
 
 
 def lift_by_percentile(scored: DataFrame, el="el", loss="ChgOffPrinGr", key="LoanNr") -> DataFrame:
-    """The cumulative curve read at 1, 2, ... 100 percent of the loans."""
-    curve = cumulative_loss_curve(scored, el, loss, key)
-    step = F.ceil(c("position") * 100 / c("position_total"))
-    return curve.groupBy(step.alias("pct")).agg(
+    """The cumulative curve read at 1, 2, ... 100 percent of the loans.
+
+    Only loans near a percent boundary are sorted one by one; those between two
+    boundaries are summed. If a sum turns out to span a boundary, all are sorted.
+    """
+    narrow = scored.select(c(key).alias("key"), c(el).alias("el"), c(loss).alias("loss"))
+    data = narrow.withColumn("_value", -c("el").cast("double"))
+    thin = thin_out(data.filter(c("_value").isNotNull()), [i / 100 for i in range(1, 100)])
+    if thin is not None and not data.filter(c("_value").isNull()).limit(1).count():
+        rows = thin.groupBy("_place", "_gap", F.when(~c("_gap"), c("key")).alias("key")).agg(
+            F.count("*").alias("n"), F.sum("el").alias("el"), F.sum("loss").alias("loss")
+        )
+        run = cut_lineage(_cumulative(rows, [c("_place").asc(), c("key").asc()], c("n")))
+        started = F.ceil((c("position") - c("n") + 1) * 100 / c("position_total"))
+        if not run.filter(c("_gap") & (started != _percent_of())).limit(1).count():
+            return _at_percents(run)
+    return _at_percents(_cumulative(narrow, [c("el").desc(), c("key").asc()], F.lit(1)))
+
+
+def _cumulative(rows, order, count):
+    return running_totals(rows, order, {"position": count, "cum_el": c("el"), "cum_loss": c("loss")}, totals=True)
+
+
+def _percent_of():
+    return F.ceil(c("position") * 100 / c("position_total"))
+
+
+def _at_percents(curve):
+    return curve.groupBy(_percent_of().alias("pct")).agg(
         F.max("position").alias("n_loans"),
         F.max("cum_el").alias("cum_el"),
         F.max("cum_loss").alias("cum_loss"),

@@ -1,19 +1,31 @@
 """Running totals and exact quantiles over a total order, without a one-task window.
 
-Rows are range-partitioned on the whole sort key, so rows that tie on the first
+Running totals: rows are range-partitioned on the whole sort key, so rows that tie on the first
 column still spread over tasks as long as a later key column tells them apart.
 The placement is written out, each part is summed on its own, and a small table
 of part totals (one row per part) gives every part its starting offset.
+
+Quantiles: a one-pass sketch brackets each wanted rank. A second pass keeps the
+values inside the brackets and counts the rest as one row per gap, so only a
+thin slice of the data is sorted. Every rank is then checked to lie inside a
+bracket; if one does not, all values are ranked.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import inf, nextafter
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from avalista.session import cut_lineage
 
 PART = "_part"
+SKETCH = 10_000  # rank error of the bracketing sketch: 1 / SKETCH
+FULL_BELOW = 5_000_000  # up to so many values, ranking all of them is cheaper than two passes
+MAX_GROUPS = 100_000  # up to so many groups, their brackets are broadcast
 
 
 def running_totals(df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False, parts: int | None = None) -> DataFrame:
@@ -55,45 +67,87 @@ def running_totals(df: DataFrame, order, measures: dict[str, Column], by=(), tot
     )
 
 
-def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by=()) -> DataFrame:
-    """Linearly interpolated quantiles, one column per name; one row per ``by`` group.
+def _bracket_table(data: DataFrame, probabilities, by, sketch: int) -> DataFrame:
+    """Low and high cut around each probability, twice the sketch's error apart, per group."""
+    slack = 2.0 / sketch
+    cuts = [edge for p in probabilities for edge in (max(0.0, p - slack), min(1.0, p + slack))]
+    return data.groupBy(*by).agg(F.percentile_approx("_value", cuts, sketch).alias("_cuts"))
+
+
+def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None) -> DataFrame | None:
+    """Add ``_place`` and ``_gap``: values near a wanted rank keep theirs, a gap between them shares one.
 
-    Equal values are counted before any shuffle, ranks come from running totals
-    over the distinct values, and only the rows around each quantile are kept.
+    ``_place`` sorts like ``_value``. None when thinning does not pay (few values)
+    or there are too many groups to broadcast their brackets.
     """
-    by = list(by)
-    value = value if isinstance(value, Column) else F.col(value)
-    counts = (
-        df.select(*by, value.cast("double").alias("_value"))
-        .filter(F.col("_value").isNotNull())
-        .groupBy(*by, "_value")
-        .agg(F.count("*").alias("_count"))
+    value = F.col("_value")
+    if data.count() <= FULL_BELOW:
+        return None
+    table = _bracket_table(data, probabilities, by, sketch or SKETCH)
+    if not by:
+        cuts = table.first()["_cuts"]
+        brackets = [(low, nextafter(high, inf)) for low, high in zip(cuts[::2], cuts[1::2])]
+        starts = [-inf, *sorted({edge for pair in brackets for edge in pair})]
+        kept = [any(low <= start < high for low, high in brackets) for start in starts]
+        cell = Bucketizer(splits=[*starts, inf], inputCol="_value", outputCol="_cell", handleInvalid="keep").transform(data)
+        at = F.col("_cell").cast("int") + 1
+        gap = ~F.element_at(F.array(*[F.lit(k) for k in [*kept, True]]), at)
+        start = F.element_at(F.array(*[F.lit(float(x)) for x in [*starts, inf]]), at)
+        return cell.withColumns({"_gap": gap, "_place": F.when(gap, start).otherwise(value)}).drop("_cell")
+
+    fixed = cut_lineage(table)
+    if fixed.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        return None
+    renamed = fixed.withColumnsRenamed({b: f"_by_{b}" for b in by})
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+    joined = data.join(F.broadcast(renamed), same).drop(*[f"_by_{b}" for b in by])
+    pairs = [(F.col("_cuts")[2 * i], F.col("_cuts")[2 * i + 1]) for i in range(len(probabilities))]
+    gap = ~reduce(lambda x, y: x | y, [(value >= low) & (value <= high) for low, high in pairs])
+    below = F.greatest(F.lit(-inf), *[F.when(high < value, high) for _, high in pairs])
+    return joined.withColumns({"_gap": gap, "_place": F.when(gap, below).otherwise(value)}).drop("_cuts")
+
+
+def _pick(counts: DataFrame, probabilities: dict[str, float], by) -> DataFrame:
+    """Interpolated quantiles from counted values; ``_unsure`` when a rank falls into a gap."""
+    ranked = running_totals(
+        counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True
     )
-    ranked = running_totals(counts, [F.col("_value").asc()], {"_upto": F.col("_count")}, by, totals=True)
     first = F.col("_upto") - F.col("_count")
-
-    def at(rank):
-        return F.max(F.when((first <= rank) & (rank < F.col("_upto")), F.col("_value")))
-
-    low, high, part = {}, {}, {}
+    covers = lambda rank: (first <= rank) & (rank < F.col("_upto"))
+    measures, unsure = [], F.lit(False)
     for name, p in probabilities.items():
-        place = F.lit(float(p)) * (F.col("_upto_total") - 1)
-        low[name], high[name] = at(F.floor(place)), at(F.ceil(place))
-        part[name] = F.max(place - F.floor(place))
-    found = ranked.groupBy(*by).agg(
-        *[x.alias(f"_low_{n}") for n, x in low.items()],
-        *[x.alias(f"_high_{n}") for n, x in high.items()],
-        *[x.alias(f"_part_{n}") for n, x in part.items()],
-    )
+        rank = F.lit(float(p)) * (F.col("_upto_total") - 1)
+        measures += [
+            F.max(F.when(covers(F.floor(rank)), F.col("_place"))).alias(f"_low_{name}"),
+            F.max(F.when(covers(F.ceil(rank)), F.col("_place"))).alias(f"_high_{name}"),
+            F.max(rank - F.floor(rank)).alias(f"_part_{name}"),
+        ]
+        unsure = unsure | covers(F.floor(rank)) | covers(F.ceil(rank))
+    found = ranked.groupBy(*by).agg(*measures, F.max(F.col("_gap") & unsure).alias("_unsure"))
+    low, high, part = (lambda n: F.col(f"_low_{n}")), (lambda n: F.col(f"_high_{n}")), (lambda n: F.col(f"_part_{n}"))
     return found.select(
-        *by,
-        *[
-            (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n)
-            for n in probabilities
-        ],
+        *by, *[(low(n) + (high(n) - low(n)) * part(n)).alias(n) for n in probabilities], "_unsure"
     )
 
 
+def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), sketch: int | None = None) -> DataFrame:
+    """Linearly interpolated quantiles, one column per name; one row per ``by`` group.
+
+    Equal values are counted before any shuffle, so a hot value costs one row.
+    """
+    by = list(by)
+    value = value if isinstance(value, Column) else F.col(value)
+    data = df.select(*by, value.cast("double").alias("_value")).filter(F.col("_value").isNotNull())
+    thin = thin_out(data, list(probabilities.values()), by, sketch)
+    if thin is not None:
+        counts = thin.groupBy(*by, "_place", "_gap").agg(F.count("*").alias("_count"))
+        found = cut_lineage(_pick(counts, probabilities, by))
+        if not found.filter("_unsure").limit(1).count():
+            return found.drop("_unsure")
+    counts = data.groupBy(*by, F.col("_value").alias("_place")).agg(F.count("*").alias("_count"))
+    return _pick(counts.withColumn("_gap", F.lit(False)), probabilities, by).drop("_unsure")
+
+
 def quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), accuracy: int | None = None) -> DataFrame:
     """Exact by default; with ``accuracy`` a one-pass sketch with rank error 1/accuracy."""
     if accuracy is None:

@@ -145,3 +145,61 @@ def test_box_stats_match_numpy(spark):
     assert (rows["x"].q1, rows["x"].median, rows["x"].q3) == (2, 3, 4)
     assert (rows["x"].whisker_lo, rows["x"].whisker_hi, rows["x"].n_outliers) == (1, 4, 1)
     assert (rows["y"].whisker_lo, rows["y"].n_outliers) == (5, 0)
+
+
+@pytest.mark.parametrize("by", [(), ("grp",)])
+@pytest.mark.parametrize("sketch", [20, 200])
+def test_thinned_quantiles_stay_exact(hot, monkeypatch, by, sketch):
+    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+    points = {"a": 0.0, "b": 0.2, "c": 1 / 3, "d": 0.5, "e": 0.99, "f": 1.0}
+    rows = ordered.exact_quantiles(hot, "LoanNr", points, by, sketch).collect()
+    frame = hot.toPandas()
+    for row in rows:
+        part = frame if not by else frame[frame["grp"].isna() if row.grp is None else frame["grp"] == row.grp]
+        for name, p in points.items():
+            assert row[name] == pytest.approx(np.quantile(part["LoanNr"], p))
+
+
+def test_thinning_leaves_few_rows(hot, monkeypatch):
+    assert ordered.thin_out(hot.select(c("el").alias("_value")), [0.5]) is None
+    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+    data = hot.select(c("LoanNr").cast("double").alias("_value"))
+    thin = ordered.thin_out(data, [0.5], sketch=200)
+    assert thin.filter("NOT _gap").count() < 200
+    assert thin.select("_place", "_gap").distinct().count() < 200
+    assert thin.filter("_gap AND _place > _value").count() == 0
+
+
+def test_wrong_brackets_fall_back_to_all_values(hot, monkeypatch):
+    wrong = lambda data, probabilities, by, sketch: data.groupBy(*by).agg(
+        F.array(F.lit(1.0), F.lit(2.0)).alias("_cuts")
+    )
+    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+    monkeypatch.setattr(ordered, "_bracket_table", wrong)
+    assert ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}).first().m == 1499.5
+    grouped = {r.grp: r.m for r in ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}, ["grp"]).collect()}
+    assert grouped["a"] == 1499.0
+
+
+def test_many_groups_are_ranked_in_full(hot, monkeypatch):
+    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+    monkeypatch.setattr(ordered, "MAX_GROUPS", 1)
+    assert {r.grp: r.m for r in ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}, ["grp"]).collect()}["a"] == 1499.0
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_lift_equals_the_full_curve(hot, monkeypatch, broken):
+    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+    if broken:
+        wrong = lambda data, probabilities, by, sketch: data.agg(
+            F.array(F.lit(-8.0), F.lit(-6.0)).alias("_cuts")
+        )
+        monkeypatch.setattr(ordered, "_bracket_table", wrong)
+    else:
+        monkeypatch.setattr(ordered, "SKETCH", 1000)
+    got = curves.lift_by_percentile(hot).orderBy("pct").toPandas()
+    frame = hot.toPandas().sort_values(["el", "LoanNr"], ascending=[False, True])
+    ends = [30 * k for k in range(1, 101)]
+    assert list(got["n_loans"]) == ends
+    assert list(got["cum_el"]) == pytest.approx([frame["el"].iloc[:e].sum() for e in ends])
+    assert list(got["cum_loss"]) == pytest.approx([frame["ChgOffPrinGr"].iloc[:e].sum() for e in ends])
