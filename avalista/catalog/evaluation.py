@@ -69,9 +69,11 @@ def risk_summary(spark, sf):
     return rounded(w.risk_summary(w.risk_quintile(scored(spark, sf))), mean_el=3, default_rate=8)
 
 
-@query("risk_table_labels")
+@query("risk_table_labels", f""", {QUINTILE_SQL} SELECT risk_category, count(*) AS n, format('${{:,.0f}}', avg(el)) AS mean_el_label,
+  format('{{:.1f}}%', avg((ChgOffPrinGr > 0)::INTEGER) * 100) AS default_rate_label FROM classed GROUP BY 1""")
 def _(spark, sf):
-    return risk_table_labels(w.risk_summary(w.risk_quintile(scored(spark, sf))))
+    summary = w.risk_summary(w.risk_quintile(scored(spark, sf)))
+    return risk_table_labels(summary).select("risk_category", "n", "mean_el_label", "default_rate_label")
 
 
 CURVE_SQL = """curve AS (SELECT LoanNr, row_number() OVER o AS position, count(*) OVER () AS n,

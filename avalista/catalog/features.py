@@ -217,7 +217,7 @@ def _(spark, sf):
     return quotes.parse_application_text(raw)
 
 
-@query("label_money_pct")
+@query("label_money_pct", "SELECT LoanNr, format('${:,.0f}', GrAppv) AS amount, format('{:.1f}%', pd_fix * 100) AS pd FROM loans")
 def _(spark, sf):
     return loans(spark, sf).select("LoanNr", text.money_label(c("GrAppv")).alias("amount"), text.percent_label(c("pd_fix")).alias("pd"))
 

@@ -1,16 +1,20 @@
 """Trained models. Tree counts are lowered here; the presets hold the full sizes."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from avalista.catalog.features import CLEAN_SQL
 from avalista.catalog.loan_view import applications, loans
-from avalista.catalog.registry import query
+from avalista.catalog.registry import query, rounded
 from avalista.catalog.sources import scratch
 from avalista.operators import features as f
 from avalista.operators.encoding import with_fold
 from avalista.operators.metrics import evaluate_lgd, evaluate_pd
 from avalista.operators.quotes import quote
 from avalista.plans import training as m
+from avalista.schema import NUMERIC_FEATURES
 from avalista.sources.artifacts import load_artifacts, save_artifacts
+from avalista.sources.dims import SECTOR_CODES, STATE_CODES
 
 c = F.col
 FAST = m.TrainConfig(pd_params={"trees": 10, "step": 0.1}, lgd_params={"trees": 10})
@@ -20,13 +24,22 @@ def _trained(spark, sf):
     return m.train_risk_model(loans(spark, sf, customer=True), FAST)
 
 
-@query("preprocessor")
+WHOLE_SQL = CLEAN_SQL.replace("FROM dirty", "FROM loans").replace("round(ln(1e0 + GrAppv), 8)", "ln(1e0 + GrAppv)")
+
+
+@query("preprocessor", f""", {WHOLE_SQL} SELECT LoanNr,
+  {", ".join(f"round(({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER (), 6) + 0e0 AS num__{x}" for x in NUMERIC_FEATURES)},
+  {", ".join(f"(SCIAN = '{x}')::DOUBLE AS cat__SCIAN_{x}" for x in SECTOR_CODES)},
+  {", ".join(f"(State = '{x}')::DOUBLE AS cat__State_{x}" for x in STATE_CODES)} FROM feat""")
 def _(spark, sf):
+    """The feature vector, one column per position, under the names its metadata gives."""
     features = f.build_features(loans(spark, sf, customer=True))
     vectors = m.preprocessor(features).transform(features)
-    from pyspark.ml.functions import vector_to_array
-
-    return vectors.select("LoanNr", vector_to_array("features").alias("features"))
+    names = m.feature_names(vectors)
+    flat = vectors.withColumn("v", vector_to_array("features")).select(
+        "LoanNr", *[c("v")[i].alias(name) for i, name in enumerate(names)]
+    )
+    return rounded(flat, **{x: 6 for x in names if x.startswith("num__")})
 
 
 def _pd_query(algo, **params):
@@ -102,8 +115,6 @@ def _(spark, sf):
     for algo in ("example_forest", "example_boosted"):
         model = m.train_pd(train.select("features", "Default"), algo, trees=10)
         raw = model.setPredictionCol("pd_class").transform(test)
-        from pyspark.ml.functions import vector_to_array
-
         found = evaluate_pd(raw.withColumn("pd", vector_to_array("probability")[1])).withColumn("algo", F.lit(algo))
         out = found if out is None else out.unionByName(found)
     return out

@@ -118,7 +118,16 @@ def quote_summary(spark, sf):
     return rounded(q.quote_summary(_quotes(spark, sf)), amount=2, guaranteed=2, fee=2, expected_loss=1, mean_rate_reduction=8, fee_minus_el=1, fee_over_el=8)
 
 
-@query("quote_json")
+@query("quote_json", f""", {QUOTE_SQL} SELECT application_id, json_object(
+  'Monto Aprobado', format('${{:,.2f}} MXN', approved_amount), 'Plazo', term_months || ' meses',
+  'Probabilidad de Default (PD)', format('{{:.4f}}%', pd * 100), 'Pérdida Esperada (EL)', format('${{:,.2f}} MXN', expected_loss),
+  'Categoría GPS', gps_category, 'Garantía GPS (%)', format('{{:.0f}}%', pct * 100),
+  'Garantía GPS (Monto)', format('${{:,.2f}} MXN', nafin_guaranteed), 'Comisión GPS', format('${{:,.2f}} MXN', guarantee_fee),
+  'Tasa Original', format('{{:.2f}}%', market_bank_rate), 'Tasa Ajustada', format('{{:.2f}}%', final_bank_rate),
+  'Reducción de Tasa', format('{{:.2f}} puntos porcentuales', market_bank_rate - final_bank_rate),
+  'Pago Mensual', CASE WHEN pd >= 0.03e0 THEN 'N/A' ELSE format('${{:,.2f}} MXN', monthly_payment) END,
+  'Sector', scian_code || ' - ' || coalesce(sector_name, 'No especificado'), 'Estado', state_code || ' - ' || coalesce(state_name, state_code))::VARCHAR AS quote
+  FROM quotes LEFT JOIN sectors ON scian_code = sector_code LEFT JOIN states USING (state_code)""")
 def _(spark, sf):
     return q.quote_json(_quotes(spark, sf), keep=["application_id"])
 

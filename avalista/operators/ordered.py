@@ -25,17 +25,29 @@ from avalista.session import cut_lineage
 PART = "_part"
 SKETCH = 10_000  # rank error of the bracketing sketch: 1 / SKETCH
 FULL_BELOW = 5_000_000  # up to so many values, ranking all of them is cheaper than two passes
+ONE_TASK = 1_000_000  # up to so many rows, one sorted task beats placing them first
 MAX_GROUPS = 100_000  # up to so many groups, their brackets are broadcast
 
 
-def running_totals(df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False, parts: int | None = None) -> DataFrame:
+def running_totals(
+    df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False, parts: int | None = None,
+    at_most: int | None = None,
+) -> DataFrame:
     """Add each measure's inclusive running total along ``order``, restarted per ``by`` group.
 
     With ``totals`` the group total is added as ``<name>_total``. ``parts`` fixes
     the number of ranges; by default it is the session's shuffle partitions, which
-    adaptive execution coalesces when they are small.
+    adaptive execution coalesces when they are small. ``at_most`` is a known bound
+    on the rows; a small one is sorted directly.
     """
     order, by = list(order), list(by)
+    if at_most is not None and at_most <= ONE_TASK:
+        along = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        group = Window.partitionBy(*by)
+        added = {name: F.sum(expr).over(along) for name, expr in measures.items()}
+        if totals:
+            added |= {f"{name}_total": F.sum(expr).over(group) for name, expr in measures.items()}
+        return df.withColumns(added)
     narrow = df.withColumns({f"_{name}_in": expr for name, expr in measures.items()})
     placed = cut_lineage(
         narrow.repartitionByRange(*([parts] if parts else []), *[F.col(b) for b in by], *order).withColumn(PART, F.spark_partition_id())
@@ -77,15 +89,15 @@ def _bracket_table(data: DataFrame, probabilities, by, sketch: int) -> DataFrame
 def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None) -> DataFrame | None:
     """Add ``_place`` and ``_gap``: values near a wanted rank keep theirs, a gap between them shares one.
 
-    ``_place`` sorts like ``_value``. None when thinning does not pay (few values)
-    or there are too many groups to broadcast their brackets.
+    ``_place`` sorts like ``_value``. None when there is nothing to bracket, or
+    there are too many groups to broadcast their brackets.
     """
     value = F.col("_value")
-    if data.count() <= FULL_BELOW:
-        return None
     table = _bracket_table(data, probabilities, by, sketch or SKETCH)
     if not by:
         cuts = table.first()["_cuts"]
+        if not cuts:
+            return None
         brackets = [(low, nextafter(high, inf)) for low, high in zip(cuts[::2], cuts[1::2])]
         starts = [-inf, *sorted({edge for pair in brackets for edge in pair})]
         kept = [any(low <= start < high for low, high in brackets) for start in starts]
@@ -107,10 +119,11 @@ def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None) -
     return joined.withColumns({"_gap": gap, "_place": F.when(gap, below).otherwise(value)}).drop("_cuts")
 
 
-def _pick(counts: DataFrame, probabilities: dict[str, float], by) -> DataFrame:
+def _pick(counts: DataFrame, probabilities: dict[str, float], by, at_most: int | None = None) -> DataFrame:
     """Interpolated quantiles from counted values; ``_unsure`` when a rank falls into a gap."""
     ranked = running_totals(
-        counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True
+        counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True,
+        at_most=at_most,
     )
     first = F.col("_upto") - F.col("_count")
     covers = lambda rank: (first <= rank) & (rank < F.col("_upto"))
@@ -138,14 +151,15 @@ def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by=()
     by = list(by)
     value = value if isinstance(value, Column) else F.col(value)
     data = df.select(*by, value.cast("double").alias("_value")).filter(F.col("_value").isNotNull())
-    thin = thin_out(data, list(probabilities.values()), by, sketch)
+    n = data.count()
+    thin = thin_out(data, list(probabilities.values()), by, sketch) if n > FULL_BELOW else None
     if thin is not None:
         counts = thin.groupBy(*by, "_place", "_gap").agg(F.count("*").alias("_count"))
         found = cut_lineage(_pick(counts, probabilities, by))
         if not found.filter("_unsure").limit(1).count():
             return found.drop("_unsure")
     counts = data.groupBy(*by, F.col("_value").alias("_place")).agg(F.count("*").alias("_count"))
-    return _pick(counts.withColumn("_gap", F.lit(False)), probabilities, by).drop("_unsure")
+    return _pick(counts.withColumn("_gap", F.lit(False)), probabilities, by, at_most=n).drop("_unsure")
 
 
 def quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), accuracy: int | None = None) -> DataFrame:

@@ -119,3 +119,21 @@ def test_feature_importance_is_sorted(table):
 
 def test_expected_loss(spark):
     assert predict_el(spark.createDataFrame([(0.1, 200.0)], "pd double, lgd double"), 1.5).first().el == pytest.approx(30)
+
+
+def test_isotonic_fit_matches_brute_force(spark):
+    """max-min formula over a small set with tied scores, unweighted."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    score = np.round(rng.uniform(0.05, 0.95, 60), 1)
+    y = (rng.uniform(size=60) < score).astype(int)
+    rows = [(Vectors.dense([1 - s, s]), int(t)) for s, t in zip(score.tolist(), y.tolist())]
+    raw = spark.createDataFrame(rows, ["probability", "Default"])
+    out = m.calibrate_isotonic(raw).transform(raw).select(vector_to_array("probability")[1].alias("s"), "pd").distinct()
+    got = {round(r.s, 1): r.pd for r in out.collect()}
+    levels = sorted(set(score.tolist()))
+    mean = lambda i, j: np.mean(np.concatenate([y[score == v] for v in levels[i:j + 1]]))
+    for k, level in enumerate(levels):
+        want = max(min(mean(i, j) for j in range(k, len(levels))) for i in range(k + 1))
+        assert got[round(level, 1)] == pytest.approx(want)

@@ -49,8 +49,10 @@ def test_running_totals_by_group_with_null_group(hot):
         assert set(part["place_total"]) == {len(part)}
 
 
+@pytest.mark.parametrize("one_task", [0, 10**6])
 @pytest.mark.parametrize("p", [0.0, 0.25, 1 / 3, 0.5, 0.8, 1.0])
-def test_quantiles_match_numpy(hot, p):
+def test_quantiles_match_numpy(hot, monkeypatch, p, one_task):
+    monkeypatch.setattr(ordered, "ONE_TASK", one_task)
     want = np.quantile([r.el for r in hot.select("el").collect()], p)
     assert ordered.exact_quantiles(hot, "el", {"q": p}).first().q == pytest.approx(want)
 
@@ -160,9 +162,7 @@ def test_thinned_quantiles_stay_exact(hot, monkeypatch, by, sketch):
             assert row[name] == pytest.approx(np.quantile(part["LoanNr"], p))
 
 
-def test_thinning_leaves_few_rows(hot, monkeypatch):
-    assert ordered.thin_out(hot.select(c("el").alias("_value")), [0.5]) is None
-    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+def test_thinning_leaves_few_rows(hot):
     data = hot.select(c("LoanNr").cast("double").alias("_value"))
     thin = ordered.thin_out(data, [0.5], sketch=200)
     assert thin.filter("NOT _gap").count() < 200
@@ -187,10 +187,13 @@ def test_many_groups_are_ranked_in_full(hot, monkeypatch):
     assert {r.grp: r.m for r in ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}, ["grp"]).collect()}["a"] == 1499.0
 
 
-@pytest.mark.parametrize("broken", [False, True])
-def test_lift_equals_the_full_curve(hot, monkeypatch, broken):
-    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
-    if broken:
+@pytest.mark.parametrize("mode", ["plain", "ranged", "thin", "broken"])
+def test_lift_equals_the_full_curve(hot, monkeypatch, mode):
+    if mode != "plain":
+        monkeypatch.setattr(ordered, "ONE_TASK", 0)
+    if mode in ("thin", "broken"):
+        monkeypatch.setattr(ordered, "FULL_BELOW", 0)
+    if mode == "broken":
         wrong = lambda data, probabilities, by, sketch: data.agg(
             F.array(F.lit(-8.0), F.lit(-6.0)).alias("_cuts")
         )
