@@ -11,13 +11,14 @@ from avalista.operators import features as f
 from avalista.operators.encoding import with_fold
 from avalista.operators.metrics import evaluate_lgd, evaluate_pd
 from avalista.operators.quotes import quote
+from avalista.plans import example as ex
 from avalista.plans import training as m
 from avalista.schema import NUMERIC_FEATURES
 from avalista.sources.artifacts import load_artifacts, save_artifacts
 from avalista.sources.dims import SECTOR_CODES, STATE_CODES
 
 c = F.col
-FAST = m.TrainConfig(pd_params={"trees": 10, "step": 0.1}, lgd_params={"trees": 10})
+FAST = m.TrainConfig(pd_params={"trees": 5, "step": 0.2}, lgd_params={"trees": 5})
 
 
 def _trained(spark, sf):
@@ -80,6 +81,29 @@ def _(spark, sf):
     return evaluate_pd(scored).withColumns({x: F.lit(v) for x, v in model.metadata.items()})
 
 
+@query("training_figures", """SELECT count(*) FILTER (WHERE fold = 'train') AS n_train, count(*) FILTER (WHERE fold = 'test') AS n_test,
+  round(avg("Default"), 8) AS default_rate, round(sum(ChgOffPrinGr), 2) AS total_loss, 'MXN' AS currency, 'Mexico' AS country
+  FROM (SELECT *, CASE WHEN substring(md5(LoanNr::VARCHAR || '|42'), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS fold FROM loans)""")
+def _(spark, sf):
+    """The saved figures of a trained model that do not depend on its trees."""
+    path = scratch(spark, "figures")
+    save_artifacts(_trained(spark, sf), path, spark)
+    figures = spark.read.parquet(f"{path}/metadata").select("n_train", "n_test", "default_rate", "total_loss", "currency", "country")
+    return rounded(figures, default_rate=8, total_loss=2)
+
+
+@query("training_balance", """SELECT fold, count(*) AS n, sum("Default")::BIGINT AS n_default, round(sum("Default") / count(*), 6) AS mean_pd, 1e0 AS el_over_loss
+  FROM (SELECT *, CASE WHEN substring(md5(LoanNr::VARCHAR || '|42'), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS fold FROM loans) WHERE fold = 'train' GROUP BY fold""")
+def _(spark, sf):
+    """On the fitted rows the mean calibrated PD is the default rate, and EL adds up to the booked loss."""
+    scored = m.score_portfolio(with_fold(loans(spark, sf, customer=True)), _trained(spark, sf))
+    sums = scored.filter(c("fold") == "train").groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum("Default").alias("n_default"), F.avg("pd").alias("mean_pd"),
+        (F.sum("el") / F.sum("ChgOffPrinGr")).alias("el_over_loss"),
+    )
+    return rounded(sums, mean_pd=6, el_over_loss=6)
+
+
 @query("score_portfolio")
 def _(spark, sf):
     return m.score_portfolio(loans(spark, sf, customer=True), _trained(spark, sf)).select("LoanNr", "pd", "lgd", "el", "gps_category")
@@ -109,20 +133,30 @@ def _(spark, sf):
 @query("example_models")
 def _(spark, sf):
     """Both example classifiers on the same label-encoded features, with their test figures."""
-    vectors, _, _ = m.example_features(with_fold(loans(spark, sf, customer=True)))
+    table = loans(spark, sf, customer=True)
+    vectors = ex.example_features(with_fold(table), ex.example_codes(table))
     train, test = vectors.filter(c("fold") == "train"), vectors.filter(c("fold") == "test")
-    out = None
-    for algo in ("example_forest", "example_boosted"):
-        model = m.train_pd(train.select("features", "Default"), algo, trees=10)
-        raw = model.setPredictionCol("pd_class").transform(test)
-        found = evaluate_pd(raw.withColumn("pd", vector_to_array("probability")[1])).withColumn("algo", F.lit(algo))
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def figures(algo):
+        raw = m.train_pd(train.select("features", "Default"), algo, trees=10).setPredictionCol("pd_class").transform(test)
+        return evaluate_pd(raw.withColumn("pd", vector_to_array("probability")[1])).withColumn("algo", F.lit(algo))
+
+    return figures("example_forest").unionByName(figures("example_boosted"))
 
 
 @query("example_loss_model")
 def _(spark, sf):
     """Loss forest on defaulted loans only, split without regard to class."""
-    vectors, _, _ = m.example_features(with_fold(f.filter_defaults(loans(spark, sf, customer=True))))
+    table = f.filter_defaults(loans(spark, sf, customer=True))
+    vectors = ex.example_features(with_fold(table), ex.example_codes(table))
     model = m.train_lgd(vectors.filter(c("fold") == "train"), "example_forest", trees=10)
     return evaluate_lgd(model.transform(vectors.filter(c("fold") == "test")))
+
+
+@query("example_decisions")
+def _(spark, sf):
+    """Saved, loaded again, and applied to every loan."""
+    path = scratch(spark, "example")
+    table = loans(spark, sf, customer=True)
+    ex.train_example_model(table, trees=10).save(path)
+    return ex.load_example_model(spark, path).decide(table).select("LoanNr", "pd", "lgd", "expected_loss", "decision")

@@ -140,7 +140,7 @@ def roc_curve(scored: DataFrame, score="pd", label="Default", drop_collinear: bo
         F.try_divide(c("fp").cast("double"), c("fp_total")).alias("fpr"),
         F.try_divide(c("tp").cast("double"), c("tp_total")).alias("tpr"),
     )
-    origin = scored.sparkSession.range(1).select(
+    origin = scored.sparkSession.range(0, 1, 1, 1).select(
         F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return origin.unionByName(points)

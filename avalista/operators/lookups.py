@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from avalista.functions.rules import DEFAULT_BASE_RATE, DEFAULT_VOLATILITY
 from avalista.session import broadcast_if_small
-from avalista.sources.dims import dim_sectors, dim_states
+from avalista.sources.dims import constant_table, dim_sectors, dim_states
 
 
 def _name_or(name, code, fallback, length):
@@ -74,9 +74,8 @@ def unknown_codes(loans: DataFrame) -> DataFrame:
 def complete_categories(summary: DataFrame, key: str, categories, count="n") -> DataFrame:
     """Every listed category, in order; absent ones with count 0 and null measures."""
     spark = summary.sparkSession
-    listed = spark.createDataFrame(
-        [(label, i) for i, label in enumerate(categories, start=1)], f"{key} string, {key}_ord int"
-    )
+    listed = constant_table(spark, [(label, i) for i, label in enumerate(categories, start=1)], [key, f"{key}_ord"])
+    listed = listed.withColumn(f"{key}_ord", F.col(f"{key}_ord").cast("int"))
     rest = summary.drop(f"{key}_ord")
     return listed.join(rest, key, "left").withColumn(count, F.coalesce(F.col(count), F.lit(0).cast("long")))
 

@@ -215,7 +215,7 @@ def histogram(loans: DataFrame, value, bins: int, lo=None, hi=None) -> DataFrame
         ranged = ranged.filter((c("x") >= at("lo")) & (c("x") <= at("hi")))
     place = F.least(F.floor((c("x") - at("lo")) / at("width")), F.lit(bins - 1).cast("long"))
     counts = ranged.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
-    grid = loans.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    grid = loans.sparkSession.range(0, bins, 1, 1).withColumnRenamed("id", "bin")
     return grid.join(counts, "bin", "left").withColumn("r", limits).select(
         "bin",
         (at("lo") + c("bin") * at("width")).alias("bin_lo"),
@@ -239,7 +239,7 @@ def histogram_by_class(loans: DataFrame, value: str, bins: int, label: str, clas
     limits = F.broadcast(limits)  # one row per listed class
     place = F.least(F.floor((c("x") - c("lo")) / c("width")), F.lit(bins - 1).cast("long"))
     counts = data.join(limits, "class").groupBy("class", place.alias("bin")).agg(F.count("*").alias("n"))
-    grid = loans.sparkSession.range(bins * len(classes)).select(
+    grid = loans.sparkSession.range(0, bins * len(classes), 1, 1).select(
         F.element_at(F.array(*[F.lit(x) for x in classes]), F.floor(c("id") / bins).cast("int") + 1).alias("class"),
         (c("id") % bins).alias("bin"),
     )

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from avalista.operators.calibration import calibration_factor, predict_el
 from avalista.operators.curves import auc
-from avalista.operators.encoding import label_codes, label_encode, with_class_weight, with_fold
+from avalista.operators.encoding import with_class_weight, with_fold
 from avalista.operators.features import build_features, feature_select, filter_defaults
 from avalista.operators.metrics import evaluate_lgd
 from avalista.functions.pricing import gps_category
-from avalista.functions.segments import revline_flag
-from avalista.schema import CATEGORICAL_FEATURES, EXAMPLE_CATEGORICAL, EXAMPLE_NUMERIC, NUMERIC_FEATURES
+from avalista.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from avalista.session import ensure_checkpoint_dir
+from avalista.sources.dims import constant_table
 
 c = F.col
 
@@ -236,22 +236,5 @@ def score_portfolio(loans: DataFrame, model: RiskModel) -> DataFrame:
 def feature_importance(model, names) -> DataFrame:
     """Feature names with their importance, smallest first; one row per model feature."""
     values = [float(x) for x in model.featureImportances.toArray()]
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(names, values)), "feature string, importance double").orderBy(
-        "importance", "feature"
-    )
-
-
-def example_features(loans: DataFrame, codes=None):
-    """Feature vector of the example models: label-encoded categories as plain numbers.
-
-    Returns the table and the code tables, for encoding later data the same way.
-    """
-    if "New" not in loans.columns:
-        loans = loans.withColumn("New", (c("NewExist") == 1).cast("int"))
-    codes = codes or {x: label_codes(loans, x) for x in EXAMPLE_CATEGORICAL}
-    encoded = label_encode(loans, EXAMPLE_CATEGORICAL, codes).withColumn("RevLineCr_num", revline_flag())
-    inputs = EXAMPLE_NUMERIC + [f"{x}_encoded" for x in EXAMPLE_CATEGORICAL] + ["RevLineCr_num"]
-    numbers = encoded.withColumns({f"_{x}": c(x).cast("double") for x in inputs})
-    vectors = VectorAssembler(inputCols=[f"_{x}" for x in inputs], outputCol="features").transform(numbers)
-    return vectors.drop(*[f"_{x}" for x in inputs]), codes, inputs
+    table = constant_table(SparkSession.getActiveSession(), list(zip(names, values)), ["feature", "importance"])
+    return table.orderBy("importance", "feature")

@@ -20,6 +20,8 @@ def get_session(app: str = "avalista", master: str | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
         **conf,
     }
     for key, value in settings.items():

@@ -103,21 +103,22 @@ STATE_CODES = [s[0] for s in STATES]
 BANK_NAMES = [b[0] for b in BANKS]
 
 
-def _table(spark: SparkSession, rows, names) -> DataFrame:
+def constant_table(spark: SparkSession, rows, names) -> DataFrame:
+    """A handful of literal rows; planned as a local relation, so its size is known."""
     columns = list(zip(*rows))
     return spark.createDataFrame(pa.table(dict(zip(names, [pa.array(c) for c in columns]))))
 
 
 def dim_sectors(spark: SparkSession) -> DataFrame:
-    return _table(spark, SECTORS, ["sector_code", "sector_name", "sector_share", "base_rate", "volatility"])
+    return constant_table(spark, SECTORS, ["sector_code", "sector_name", "sector_share", "base_rate", "volatility"])
 
 
 def dim_states(spark: SparkSession) -> DataFrame:
-    return _table(spark, STATES, ["state_code", "state_name", "state_share", "tier"])
+    return constant_table(spark, STATES, ["state_code", "state_name", "state_share", "tier"])
 
 
 def dim_banks(spark: SparkSession) -> DataFrame:
-    return _table(spark, BANKS, ["bank_name", "bank_share"])
+    return constant_table(spark, BANKS, ["bank_name", "bank_share"])
 
 
 def target_shares(spark: SparkSession, dimension: str) -> DataFrame:
@@ -126,7 +127,7 @@ def target_shares(spark: SparkSession, dimension: str) -> DataFrame:
     ``term`` has two keys: the amount band and the term within it.
     """
     if dimension == "term":
-        return _table(spark, TERM_SHARES, ["amount_band", "key", "weight"])
+        return constant_table(spark, TERM_SHARES, ["amount_band", "key", "weight"])
     rows = {
         "state": [(s[0], s[2]) for s in STATES],
         "sector": [(s[0], s[2]) for s in SECTORS if s[2] is not None],
@@ -136,4 +137,4 @@ def target_shares(spark: SparkSession, dimension: str) -> DataFrame:
     }
     if dimension not in rows:
         raise ValueError(f"unknown dimension {dimension!r}")
-    return _table(spark, rows[dimension], ["key", "weight"])
+    return constant_table(spark, rows[dimension], ["key", "weight"])

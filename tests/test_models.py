@@ -137,3 +137,16 @@ def test_isotonic_fit_matches_brute_force(spark):
     for k, level in enumerate(levels):
         want = max(min(mean(i, j) for j in range(k, len(levels))) for i in range(k + 1))
         assert got[round(level, 1)] == pytest.approx(want)
+
+
+def test_example_model_decides_like_its_saved_copy(spark, table, tmp_path):
+    from avalista.plans.example import load_example_model, train_example_model
+
+    fitted = train_example_model(table, trees=3)
+    fitted.save(str(tmp_path / "example"))
+    a = fitted.decide(table).select("LoanNr", "pd", "lgd", "decision")
+    b = load_example_model(spark, str(tmp_path / "example")).decide(table).select("LoanNr", "pd", "lgd", "decision")
+    assert a.exceptAll(b).count() == 0 and a.count() == table.count()
+    assert a.filter((c("pd") >= 0.15) & (c("decision") != "RECHAZAR - Riesgo alto")).count() == 0
+    with pytest.raises(Exception, match="unseen Bank"):
+        fitted.decide(table.withColumn("Bank", F.lit("Otro"))).collect()
