@@ -28,13 +28,22 @@ def with_fold(loans: DataFrame, test_size: float = 0.2, seed: int = 42, key="Loa
 
 
 def with_exact_fold(loans: DataFrame, test_size: float = 0.2, seed: int = 42, by="Default", key="LoanNr", name="fold") -> DataFrame:
-    """Test share fixed in every class: the loans with the lowest digests of each class."""
-    digest = loans.withColumn("_digest", split_hash(key, seed))
-    ranked = running_totals(digest, [c("_digest").asc(), c(key).asc()], {"_place": F.lit(1)}, [by], totals=True)
-    is_test = c("_place") <= F.round(c("_place_total") * test_size)
-    return ranked.withColumn(name, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_digest", "_place", "_place_total"
+    """Test share fixed in every class: the loans with the lowest digests of each class.
+
+    Only digests are ranked, to find the last test digest of each class; the
+    loans themselves are compared with it where they are.
+    """
+    digest = split_hash(key, seed)
+    narrow = loans.select(c(by).alias("_class"), digest.alias("_digest"), c(key).alias("_key"))
+    ranked = running_totals(narrow, [c("_digest").asc(), c("_key").asc()], {"_place": F.lit(1)}, ["_class"], totals=True)
+    cuts = (
+        ranked.filter(c("_place") <= F.round(c("_place_total") * test_size))
+        .groupBy("_class")
+        .agg(F.max(F.struct("_digest", "_key")).alias("_cut"))
     )
+    joined = loans.join(broadcast_if_small(cuts), c(by).eqNullSafe(c("_class")), "left")
+    is_test = F.struct(digest.alias("_digest"), c(key).alias("_key")) <= c("_cut")
+    return joined.withColumn(name, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_class", "_cut")
 
 
 def scaler_stats(loans: DataFrame, columns) -> DataFrame:
