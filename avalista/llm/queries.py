@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import chat, secrets, url_rules
+from avalista.llm import chat, secrets, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,14 @@ def op8(spark, sf_dir):
         F.col("id").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),
     )
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "threshold", "toxic",
+    )
