@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from avalista.session import cut_lineage  # noqa: F401  (used by the operators)
 
@@ -15,19 +18,55 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(texts, most_chars: int):
-    """Split a column of texts into runs of rows of at most ``most_chars`` characters (one row at least).
+BITS = 1 << 23
 
-    Yields ``(first, texts)`` so that the working memory of a task follows the
-    longest single text, not the size of an Arrow batch. Null counts as empty.
+
+def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bitmap of fixed size of the column ``h``; at most ``bits / 64`` rows reach the driver."""
+    bit = F.pmod(F.col("h"), F.lit(bits))
+    words = hashes.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("mask"))
+    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["mask"].to_numpy()
+    return out
+
+
+def passes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of the signed hashes may be in a bitmap; all that were put in are."""
+    bit = np.mod(hashes, len(words) * 64).astype(np.uint64)
+    return (words.view(np.uint64)[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], fn, schema: str, parts: int | None = None) -> DataFrame:
+    """Bring the rows of a key together and apply ``fn(table) -> iterator of record batches`` to each key's rows, in order.
+
+    A task streams its partition and holds one key's rows at a time, so keys must be bounded.
     """
-    first, held, chars = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if held and chars + len(text) > most_chars:
-            yield first, held
-            first, held, chars = i, [], 0
-        held.append(text)
-        chars += len(text)
-    if held:
-        yield first, held
+    spark = df.sparkSession
+    placed = df.repartition(parts or shuffle_partitions(spark), *keys).sortWithinPartitions(*keys, *order)
+
+    def tasks(batches):
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch])
+            new = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                column = batch.column(batch.schema.get_field_index(key))
+                codes = column.dictionary_encode()
+                codes = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                part = rows.slice(start, end - start)
+                if held is not None and start == 0 and all(held[k][0].as_py() == part[k][0].as_py() for k in keys):
+                    held = pa.concat_tables([held, part])
+                    continue
+                if held is not None:
+                    yield from fn(held)
+                held = part
+        if held is not None:
+            yield from fn(held)
+
+    return placed.mapInArrow(tasks, schema)

@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avalista.llm.common import cut_lineage
+from avalista.llm.common import bitmap, cut_lineage, passes
 from avalista.llm.shingles import WordHasher, distinct, shingle_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 FINE = 2  # bins per shingle, as a power of two
 SURVIVES = 0.78  # least probability that a shared shingle is the minimum of its bin in both sketches
-BITS = 1 << 23
 
 
 def partition_of(n: int) -> int:
@@ -77,32 +76,20 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(tasks, f"item_id {kind}, item_key bigint, shingles array<struct<h:bigint,p:int>>").filter(F.size("shingles") > 0)
 
 
-def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bitmap of fixed size of the column ``h``; at most ``bits / 64`` rows reach the driver."""
-    bit = F.pmod(F.col("h"), F.lit(bits))
-    words = hashes.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("mask"))
-    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["word"].to_numpy()] = rows["mask"].to_numpy()
-    return out
-
-
 def document_sketches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """Per document that may hold an item: id, text_key, partition, and of its values that pass the bitmap the sketch's and all."""
-    passing = docs.sparkSession.sparkContext.broadcast(bits)
-    n_bits = len(bits) * 64
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def tasks(batches):
-        hasher, words_of = WordHasher(plain=True), passing.value.view(np.uint64)
+        hasher = WordHasher(plain=True)
         for batch in batches:
             for first, words, offsets in hasher.groups(batch.column(2)):
                 values, at = distinct(*shingle_hashes(words, offsets, WORDS), len(offsets) - 1)
-                bit = np.mod(values.view(np.int64), n_bits).astype(np.uint64)
-                passes = (words_of[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                many = np.add.reduceat(np.append(passes, False), at[:-1]) if len(at) > 1 else np.zeros(0)
+                passing = passes(values.view(np.int64), sent.value)
+                many = np.add.reduceat(np.append(passing, False), at[:-1]) if len(at) > 1 else np.zeros(0)
                 rows, parts, sketch, every = [], [], [], []
                 for i in np.flatnonzero((many > 0) & (np.diff(at) > 0)):
-                    mine, ok = values[at[i] : at[i + 1]], passes[at[i] : at[i + 1]]
+                    mine, ok = values[at[i] : at[i + 1]], passing[at[i] : at[i + 1]]
                     p = partition_of(len(mine))
                     least = ok & is_minimum(mine, p)
                     if least.any():

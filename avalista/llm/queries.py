@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import chat, contamination, secrets, toxicity, url_rules
+from avalista.llm import chat, contamination, near_dups, secrets, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op9(spark, sf_dir):
 @query("op2_decontamination")
 def op2(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_near_duplicates")
+def op3(spark, sf_dir):
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=80)
+    return found.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id", "kept")
