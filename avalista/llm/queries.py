@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import chat, contamination, near_dups, secrets, toxicity, url_rules
+from avalista.llm import bpe, chat, contamination, near_dups, secrets, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,19 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=80)
     return found.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id", "kept")
+
+
+def public_tokenizer(name: str = "word_bpe_49k.json") -> dict:
+    import public_tokenizers
+
+    return bpe.read_tokenizer(public_tokenizers.path(name))
+
+
+@query("op10_bpe_round_trip")
+def op10(spark, sf_dir):
+    tokenizer = public_tokenizer()
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer)
+    decoded = bpe.decode_documents(encoded, tokenizer)
+    return decoded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
