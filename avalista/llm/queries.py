@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import bpe, chat, contamination, near_dups, secrets, toxicity, url_rules
+from avalista.llm import bpe, chat, contamination, imatch, near_dups, secrets, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,17 @@ def op10(spark, sf_dir):
     return decoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op4_imatch")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = imatch.lexicon(docs)
+    marked = imatch.with_next(imatch.with_fingerprint(docs, "text", known, "mark"), "doc_id", "text", {"text": "next_text", "mark": "next_mark"})
+    marked = marked.withColumn("edited", imatch.edited(F.col("text"), F.col("next_text")))
+    both = imatch.with_fingerprint(marked, "edited", known, "edited_mark")
+    return both.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.written(F.col("mark")).alias("fingerprint"), imatch.written(F.col("edited_mark")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"), imatch.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
+    )
