@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import bpe, chat, contamination, imatch, near_dups, secrets, toxicity, url_rules
+from avalista.llm import bpe, chat, contamination, html_main, imatch, near_dups, secrets, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,10 @@ def op4(spark, sf_dir):
         imatch.written(F.col("mark")).alias("fingerprint"), imatch.written(F.col("edited_mark")).alias("edited_fingerprint"),
         imatch.likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"), imatch.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
     )
+
+
+@query("op6_main_text")
+def op6(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_main.extract(pages, html_main.learn(pages))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
