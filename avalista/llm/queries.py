@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import bpe, chat, contamination, html_main, imatch, near_dups, secrets, toxicity, url_rules
+from avalista.llm import bpe, chat, contamination, html_main, imatch, near_dups, passages, secrets, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ def op6(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_main.extract(pages, html_main.learn(pages))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op1_repeated_passages")
+def op1(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
