@@ -72,12 +72,12 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), node (hash of the set), bands, odd; the last three null for a row without words."""
+    """doc_id, text_key, n (size of the set), node (hash of the set), bands, odd; the last three null for a row without words."""
 
     def tasks(batches):
         hasher = WordHasher()
         for batch in batches:
-            for first, hashes, offsets in hasher.groups(batch.column(1)):
+            for first, hashes, offsets in hasher.groups(batch.column(2)):
                 n_rows = len(offsets) - 1
                 values, at = distinct(*shingle_hashes(hashes, offsets, words), n_rows)
                 full = np.flatnonzero(np.diff(at))
@@ -88,12 +88,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         bands[i], odd[i] = b, o
                 empty = np.diff(at) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n_rows), pa.array(np.diff(at)), pa.array(_signed(keys), mask=empty),
+                    [batch.column(0).slice(first, n_rows), batch.column(1).slice(first, n_rows), pa.array(np.diff(at)), pa.array(_signed(keys), mask=empty),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "node", "bands", "odd"])
+                    ["doc_id", "text_key", "n", "node", "bands", "odd"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tasks, f"doc_id {kind}, n bigint, node bigint, bands array<bigint>, odd array<bigint>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(tasks, f"doc_id {kind}, text_key bigint, n bigint, node bigint, bands array<bigint>, odd array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -173,7 +174,7 @@ def _block_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """Per document row: doc_id, n_shingles, node, component_id (smallest id of the group) and kept (is that id). ``threshold`` is per hundred."""
+    """Per document row: doc_id, text_key, n_shingles, node, component_id (smallest id of the group) and kept (is that id). ``threshold`` is per hundred."""
     marks = cut_lineage(signatures(docs, words))
     known = marks.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     nodes = cut_lineage(known.groupBy("node").agg(
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1")
     groups = joined.join(ids.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id")
     return marks.join(groups, F.col("node") == F.col("_node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node",
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), "node",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -226,3 +227,15 @@ def _best(sides: DataFrame, take: int) -> DataFrame:
     """Of the pairs between the same two components, about ``take`` per side with the best estimates (all pairs once ``take`` is large)."""
     rank = F.row_number().over(Window.partitionBy("lo", "hi", "ca", "a").orderBy(F.desc("est"), "b"))
     return sides.withColumn("rank", rank).filter(F.col("rank") <= take).select("a", "b")
+
+
+def without_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """One row of each group of ``docs``: of its smallest id, and of rows equal in id and text the first by the other columns. Rows without words all stay."""
+    marks = near_duplicates(docs, words, threshold).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_shingles").alias("_n"), F.col("kept").alias("_kept")).distinct()
+    rows = docs.withColumn("_at", F.xxhash64("text"))
+    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = F.row_number().over(Window.partitionBy("doc_id", "_at").orderBy(*others or [F.lit(0)]))
+    single = joined.withColumn("_again", F.when(F.col("doc_id").isNotNull() & (F.col("_n") > 0), again).otherwise(1))
+    return single.filter(F.col("_kept") & (F.col("_again") == 1)).select(*docs.columns)
