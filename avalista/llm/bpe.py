@@ -30,11 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from avalista.llm.common import shuffle_partitions
 
 DISTINCT = 60_000
 BLOCK_CHARS = 1 << 23
+BLOCK, PLACES, WORDS = "_bpe_block", "_bpe_numbers", "_bpe_words"
 # fixed values: the tokenizer's pattern; below U+0250 the classes of letters, numbers and white space can be written out
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -98,7 +100,7 @@ def byte_letters() -> dict[int, str]:
 
 def split_blocks(docs: DataFrame, keep: list[str], special: dict[str, int], parts: int) -> DataFrame:
     """Rows of two kinds by block: a row per document with its words' numbers, and a row with the block's words, dealt in ``parts``."""
-    names = [*keep, "block", "numbers", "words"]
+    names = [*keep, BLOCK, PLACES, WORDS]
 
     def tasks(batches):
         split, held, numbers, chars = Splitter(special), [], _Numbers(), 0
@@ -136,9 +138,9 @@ def split_blocks(docs: DataFrame, keep: list[str], special: dict[str, int], part
         if held:
             yield flush()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(tasks, f"{kinds}{', ' if kinds else ''}block bigint, numbers binary, words array<binary>")
+    rows = docs.select(*keep, "text")
+    fields = [StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(tasks, StructType([*fields, StructField(BLOCK, LongType()), StructField(PLACES, BinaryType()), StructField(WORDS, ArrayType(BinaryType()))]))
 
 
 def encode_words(blocks: DataFrame, source: str, special: dict[str, int], parts: int) -> DataFrame:
@@ -198,9 +200,8 @@ def unpack(data: bytes) -> bytes:
 def encode_documents(docs: DataFrame, tokenizer: dict, keep=("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``ids`` of every row of ``docs``. ``tokenizer`` comes from ``read_tokenizer``."""
     keep, parts = list(keep), shuffle_partitions(docs.sparkSession)
-    blocks = split_blocks(docs, keep, tokenizer["special"], parts).repartition(parts, "block")
+    blocks = split_blocks(docs, keep, tokenizer["special"], parts).repartition(parts, BLOCK)
     words = encode_words(blocks, tokenizer["text"], tokenizer["special"], parts)
-    kinds = [(f.name, f.dataType.simpleString()) for f in docs.select(*keep).schema.fields]
 
     def join(left, right):
         right = right.sort_by("part")
@@ -217,9 +218,9 @@ def encode_documents(docs: DataFrame, tokenizer: dict, keep=("doc_id",)) -> Data
         lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        rows = left.filter(left["words"].is_null())
+        rows = left.filter(left[WORDS].is_null())
         out = []
-        for data in rows["numbers"].to_pylist():
+        for data in rows[PLACES].to_pylist():
             n, item = np.frombuffer(data[-8:], "<u4")
             at = np.frombuffer(pa.decompress(data[:-8], int(n) * int(item), "zstd"), "<u2" if item == 2 else "<u4") if n else np.zeros(0, np.int64)
             many = lengths[at]
@@ -228,8 +229,8 @@ def encode_documents(docs: DataFrame, tokenizer: dict, keep=("doc_id",)) -> Data
             out.append(ids[take].tobytes())
         return pa.Table.from_arrays([*(rows[k] for k in keep), pa.array(out, pa.binary())], [*keep, "ids"])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kinds), "ids binary"])
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
+    schema = StructType([*blocks.schema.fields[: len(keep)], StructField("ids", BinaryType())])
+    return blocks.groupBy(BLOCK).cogroup(words.groupBy("block")).applyInArrow(join, schema)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: dict, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -247,5 +248,5 @@ def decode_documents(encoded: DataFrame, tokenizer: dict, ids_col: str = "ids",
                 texts = [" ".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*kept).schema.fields)
-    return encoded.select(*kept).mapInArrow(tasks, f"{kinds}, `{text_col}` string")
+    rows = encoded.select(*kept)
+    return rows.mapInArrow(tasks, StructType([*rows.schema.fields, StructField(text_col, StringType())]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avalista.llm.common import bitmap, cut_lineage, passes
+from avalista.llm.common import bitmap, cut_lineage, free_names, passes
 from avalista.llm.shingles import WordHasher, distinct, shingle_hashes
 
 WORDS = 5
@@ -143,6 +143,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text contains no item."""
-    hit = search(docs, items, threshold).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_at", F.xxhash64("text"))
-    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left_anti").select(*docs.columns)
+    id_, key, at = free_names(docs, "_id", "_key", "_at")
+    hit = search(docs, items, threshold).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    rows = docs.withColumn(at, F.xxhash64("text"))
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(at) == F.col(key)), "left_anti").select(*docs.columns)

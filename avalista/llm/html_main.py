@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -457,7 +458,7 @@ def dress(main: list[Block], rest: list[str], lines: list[str], rng: random.Rand
 
 def learn(pages: DataFrame, settings: Settings = Settings(), html_col: str = "html") -> dict[str, np.ndarray]:
     """Weights learned from a bounded sample of the pages. The driver holds at most ``pages`` pages of ``page_chars``."""
-    draw = pages.filter((F.length(html_col) > 0) & (F.length(html_col) <= settings.page_chars)).select(html_col, F.xxhash64(html_col, F.lit(settings.seed)).alias("draw"))
+    draw = pages.select(html_col).filter((F.length(html_col) > 0) & (F.length(html_col) <= settings.page_chars)).select(html_col, F.xxhash64(html_col, F.lit(settings.seed)).alias("draw"))
     rows = draw.orderBy("draw").limit(settings.pages).toArrow().to_pylist()
     rng = random.Random(settings.seed)
     taught = [(blocks, y) for r in rows if (blocks := read_blocks(r[html_col])) and (y := teach(blocks)) is not None and y.any()]
@@ -495,5 +496,5 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], settings: Settings
             out += texts(held, w, features)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, pa.string())], [*kept, "text"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema.fields]
-    return pages.select(*kept, html_col).mapInArrow(tasks, ", ".join([*kinds, "text string"]))
+    rows = pages.select(*kept, html_col)
+    return rows.mapInArrow(tasks, StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))

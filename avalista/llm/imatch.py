@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from avalista.llm.common import shuffle_partitions
+from avalista.llm.common import free_names, shuffle_partitions
 
 BAND = (0.0005, 0.03)
 BUCKET_BITS = 19
@@ -57,14 +57,15 @@ def with_fingerprint(df: DataFrame, text_col: str, known: Column, into: str) ->
     mask = (1 << BUCKET_BITS) - 1
     word = lambda h: F.get(known, F.shiftright(h.bitwiseAND(F.lit(mask)), 6).cast("int"))
     inside = lambda h: F.bit_get(word(h), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    out = df.withColumn("_all", F.transform(F.filter(_terms(F.col(text_col)), lambda t: t != ""), lambda t: F.xxhash64(t)))
-    out = out.withColumn("_in", F.filter("_all", inside))
-    out = out.withColumn("_kept", F.array_sort(F.transform(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")), lambda h: F.shiftrightunsigned(h, 2))))
-    nearest = lambda c: F.array_min(F.transform("_kept", lambda h: h.bitwiseXOR(c)))
+    all_, in_, kept_, cuts_ = free_names(df, "_all", "_in", "_kept", "_cuts")
+    out = df.withColumn(all_, F.transform(F.filter(_terms(F.col(text_col)), lambda t: t != ""), lambda t: F.xxhash64(t)))
+    out = out.withColumn(in_, F.filter(all_, inside))
+    out = out.withColumn(kept_, F.array_sort(F.transform(F.when(F.size(in_) > 0, F.col(in_)).otherwise(F.col(all_)), lambda h: F.shiftrightunsigned(h, 2))))
+    nearest = lambda c: F.array_min(F.transform(kept_, lambda h: h.bitwiseXOR(c)))
     power = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
-    out = out.withColumn("_cuts", F.transform(F.array(*map(F.lit, PATTERNS)), lambda c: F.struct(c.alias("c"), power(F.length(F.bin(nearest(c)))).alias("below"))))
-    digest = lambda s: F.xxhash64(F.filter("_kept", lambda h: h.bitwiseXOR(s["c"]) < s["below"])).bitwiseAND(F.lit(0xFFFFFFFF))
-    return out.withColumn(into, F.transform("_cuts", digest)).drop("_all", "_in", "_kept", "_cuts")
+    out = out.withColumn(cuts_, F.transform(F.array(*map(F.lit, PATTERNS)), lambda c: F.struct(c.alias("c"), power(F.length(F.bin(nearest(c)))).alias("below"))))
+    digest = lambda s: F.xxhash64(F.filter(kept_, lambda h: h.bitwiseXOR(s["c"]) < s["below"])).bitwiseAND(F.lit(0xFFFFFFFF))
+    return out.withColumn(into, F.transform(cuts_, digest)).drop(all_, in_, kept_, cuts_)
 
 
 def written(digests: Column) -> Column:
@@ -84,23 +85,24 @@ def with_next(df: DataFrame, id_col: str, text_col: str, columns: dict[str, str]
     range is also sent, as a marked copy, to the end of the range before it; so no window spans more than a range.
     The driver sees the cuts and the ranges' first ids, as many as ranges.
     """
+    key_, part_, spot_ = free_names(df, "_key", "_part", "_spot")
     parts = parts or min(2000, 2 * shuffle_partitions(df.sparkSession))
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
     cuts = sorted(set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_key"))) if cuts else F.lit(0)
-    placed = df.withColumn("_key", key).withColumn("_part", part)
-    heads = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.min("_key")).collect())
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key_))) if cuts else F.lit(0)
+    placed = df.withColumn(key_, key).withColumn(part_, part)
+    heads = sorted(tuple(r) for r in placed.groupBy(part_).agg(F.min(key_)).collect())
     if not heads:
         return df.select("*", *[F.col(c).alias(n) for c, n in columns.items()])
     firsts, before = [h[1] for h in heads], [heads[i - 1][0] for i in range(len(heads))]
-    at = F.array_position(F.array(*map(F.lit, firsts)), F.col("_key"))
+    at = F.array_position(F.array(*map(F.lit, firsts)), F.col(key_))
     spot = lambda part, copy: F.struct(part.cast("int").alias("part"), F.lit(copy).alias("copy"))
-    own = spot(F.col("_part"), 0)
+    own = spot(F.col(part_), 0)
     spots = F.when(at > 0, F.array(own, spot(F.get(F.array(*map(F.lit, before)), (at - 1).cast("int")), 1))).otherwise(F.array(own))
-    dealt = placed.withColumn("_spot", F.explode(spots))
-    order = Window.partitionBy("_spot.part").orderBy("_spot.copy", "_key", F.xxhash64(text_col), text_col)
-    out = dealt.withColumns({n: F.lead(c).over(order) for c, n in columns.items()}).filter("_spot.copy = 0")
-    return out.drop("_key", "_part", "_spot")
+    dealt = placed.withColumn(spot_, F.explode(spots))
+    order = Window.partitionBy(F.col(spot_)["part"]).orderBy(F.col(spot_)["copy"], key_, F.xxhash64(text_col), text_col)
+    out = dealt.withColumns({n: F.lead(c).over(order) for c, n in columns.items()}).filter(F.col(spot_)["copy"] == 0)
+    return out.drop(key_, part_, spot_)
 
 
 def edited(text: Column, following: Column) -> Column:

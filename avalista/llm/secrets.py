@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from avalista.llm.common import cut_lineage
+from avalista.llm.common import cut_lineage, free_names
 
 KINDS = ("assign", "access", "hex", "identifier", "weak", "endpoint")
 BASE = KINDS[:3]
@@ -156,20 +158,38 @@ def written(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` and ``n_chars`` set anew where a text changed."""
+    """``docs`` with every span replaced by ``mark`` and ``n_chars``, if there is such a column, set anew where a text changed."""
+    id_, key, spans, at = free_names(docs, "_id", "_key", "_spans", "_at")
     found = find_secrets(docs, scope=scope).filter(F.size("spans") > 0)
-    cuts = found.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    joined = docs.withColumn("_at", F.xxhash64("text")).join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
-    # the pieces between spans: each ends where a span starts; overlapping spans leave an empty piece
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(
-            F.expr("''"), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    whole = F.aggregate(
-        "_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
-    )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole)
-    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("bigint"))
-    return joined.withColumns({"n_chars": n_chars, "text": text}).select(*docs.columns)
+    cuts = found.select(F.col("id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spans)).dropDuplicates([id_, key])
+    joined = docs.withColumn(at, F.xxhash64("text")).join(cuts, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(at) == F.col(key)), "left")
+    rows = joined.select(*docs.columns, spans)
+    names = docs.columns
+    at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def tasks(batches):
+        for batch in batches:
+            columns, cuts = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            if len(hit := np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))):
+                texts = columns[at_text].to_pylist()
+                for i in hit:
+                    texts[i] = masked(texts[i], [(s["start"], s["end"]) for s in cuts[int(i)].as_py()], mark)
+                columns[at_text] = pa.array(texts, columns[at_text].type)
+                if at_chars is not None:
+                    chars = columns[at_chars].to_pylist()
+                    for i in hit:
+                        chars[i] = len(texts[i])
+                    columns[at_chars] = pa.array(chars, columns[at_chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(tasks, StructType(rows.schema.fields[:-1]))
+
+
+def masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """A text with every span, by start, replaced; what overlaps an earlier span lengthens it."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from avalista.llm.common import free_names
+
 SHORT = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*).*$"
@@ -69,6 +71,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         F.max(F.size(F.split("r_host", r"\.", -1))), F.max(F.size(F.split("r_path", "/", -1)) - 1)
     ).first()
     labels, slashes = deepest[0] or 1, deepest[1] or 0
+    key, won, said = free_names(pages, "_url", "_rule", "_verdict")
     urls = pages.select(F.col(url_col).alias("u_url")).filter(F.col("u_url").isNotNull()).distinct()
     urls = urls.select("u_url", host_of(F.col("u_url")).alias("host"), path_of(F.col("u_url")).alias("path"))
     hashed = expand(urls, labels, slashes).withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, SHORT))
@@ -77,10 +80,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     best = F.max(F.struct(
         F.length(rule).alias("n"), F.length("r_host").alias("n_host"), (F.col("r_verdict") == "block").alias("blocks"),
         rule.alias("rule"), F.col("r_verdict").alias("verdict")))
-    verdicts = hashed.join(compiled, fits).groupBy("u_url").agg(best.alias("best")).select("u_url", F.col("best.rule").alias("_rule"), F.col("best.verdict").alias("_verdict"))
+    verdicts = hashed.join(compiled, fits).groupBy("u_url").agg(best.alias("best")).select(F.col("u_url").alias(key), F.col("best.rule").alias(won), F.col("best.verdict").alias(said))
     url = F.col(url_col)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.select(*kept).join(verdicts, url == F.col("u_url"), "left").select(
+    return pages.select(*kept).join(verdicts, url == F.col(key), "left").select(
         *kept, F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"),
-        F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"),
+        F.col(won).alias("rule"), F.coalesce(said, F.lit(default)).alias("verdict"),
     )
