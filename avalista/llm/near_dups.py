@@ -6,10 +6,11 @@
 2. Documents with equal sets are one class (exact copies and whitespace variants never pair up). Only class representatives go on.
 3. In each band bucket every member is paired with one centre, not with each other. A pair goes on if its set sizes and its odd
    sketches allow the threshold (six standard deviations of slack), and is linked if the full sets confirm it.
-4. Links give components. A bucket whose members have all come together needs nothing more. In the others, members
-   of different components are compared by odd sketch in blocks of ``BLOCK`` rows, dealt over tasks, until nothing new links; so
-   no link between different sets is lost to the star. Of the pairs that a round could confirm between the same two
-   components, the best go first, twice as many each round, and pairs that have come together meanwhile are dropped.
+4. Links give components. A bucket whose members have all come together needs nothing more. The members of the others are grouped (buckets that share a
+   member form one group, so a pair meets once and not once per band) and dealt in blocks of about ``BLOCK`` shingles; each pair of blocks
+   is one task's work. There, rows of different components that share a band and whose sketches allow it are compared on their full
+   sets, and rows that a link has joined are not compared again; a task returns fewer links than it has rows. So no
+   link between components is lost to the star, and a group of thousands of near copies gives thousands of links, not their square.
 
 With four rows and 32 bands a pair at the threshold of 0.8 shares no bucket with a probability of 5e-8.
 
@@ -23,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from avalista.llm.common import bitmap, by_group, cut_lineage, passes
+from avalista.llm.common import bitmap, by_group, cut_lineage, free_names, passes
 from avalista.llm.components import connected_components
 from avalista.llm.shingles import WordHasher, distinct, mix, shingle_hashes
 
 HASHES, ROWS, SKETCH = 128, 4, 512
 SLACK = 0.21  # six standard deviations of the estimate at 0.8
-BLOCK = 1024
+BLOCK = 1 << 20
 _rng = np.random.default_rng(8)
 FACTORS = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SALTS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
@@ -141,36 +143,52 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.filter(100 * shared >= threshold * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
 
 
-def _block_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of members of a bucket, of different components, that the sketches allow: a, b and the estimate. ``members`` has key, node, comp, centre, count, n, odd."""
-    n_blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+def _block_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links a, b that join rows of different components. ``rows`` has grp, node, comp, n, bands, odd and values."""
+    blocks = rows.groupBy(F.col("grp").alias("_grp")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, F.col("grp") == F.col("_grp")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
     def compare(rows):
-        node, comp, centre, mine = (rows[c].to_numpy() for c in ("node", "comp", "centre", "mine"))
+        node, comp, mine = (rows[c].to_numpy() for c in ("node", "comp", "mine"))
+        comp = comp.copy()
         low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-        size = rows["n"].to_numpy()
-        odd = np.stack(rows["odd"].to_numpy()).view(np.uint64)
+        if (comp == comp[0]).all():
+            return
+        bands, odd = np.stack(rows["bands"].to_numpy()), np.stack(rows["odd"].to_numpy()).view(np.uint64)
+        sets = rows["values"].to_numpy()
+        size = np.array([len(x) for x in sets])
+        at = np.concatenate([[0], np.cumsum(size)])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        held = np.zeros(codes.max() + 1, bool)
         left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
         cut, found = threshold / 100 - SLACK, []
         for i in left:
-            js = right[(comp[right] != comp[i]) & (centre[right] != node[right])] if node[i] != centre[i] else right[:0]
+            js = right[comp[right] != comp[i]]
             if low == high:
                 js = js[js > i]
             js = js[100 * np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i])]
-            if len(js):
-                differ = np.bitwise_count(odd[js] ^ odd[i]).sum(1)
-                est = 1 + np.log(np.maximum(1 - 2 * differ / SKETCH, 1e-6)) * SKETCH / (4 * HASHES)
-                for j, e in zip(js[est >= cut], est[est >= cut]):
-                    found.append((min(node[i], node[j]), max(node[i], node[j]), e))
+            js = js[(bands[js] == bands[i]).any(1)]
+            differ = np.bitwise_count(odd[js] ^ odd[i]).sum(1)  # of unsigned words
+            js = js[1 + np.log(np.maximum(1 - 2 * differ / SKETCH, 1e-6)) * SKETCH / (4 * HASHES) >= cut]
+            if not len(js):
+                continue
+            own = codes[at[i] : at[i + 1]]
+            held[own] = True
+            each = np.concatenate([codes[at[j] : at[j + 1]] for j in js])
+            shared = np.add.reduceat(held[each].astype(np.int64), np.concatenate([[0], np.cumsum(size[js])[:-1]]))
+            held[own] = False
+            for j in js[100 * shared >= threshold * (size[js] + size[i] - shared)]:
+                if comp[j] != comp[i]:
+                    found.append((node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
         if found:
-            a, b, e = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], ["a", "b", "est"])
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    columns = ["key", "low", "high", "node", "comp", "centre", "mine", "n", "odd"]
-    return by_group(dealt.select(*columns), ["key", "low", "high"], [], compare, "a bigint, b bigint, est double").distinct()
+    columns = ["grp", "low", "high", "node", "comp", "mine", "bands", "odd", "values"]
+    return by_group(dealt.select(*columns), ["grp", "low", "high"], ["node"], compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -188,31 +206,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     allowed, _ = _allowed(threshold)
     pairs = cut_lineage(_with_sides(stars, nodes, {"n": "n", "odd": "odd"}).filter(allowed).select("a", "b"))
 
-    def sets_of(pairs):
-        used = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    def sets_of(used):
         return cut_lineage(full_sets(docs, nodes.join(used, F.col("node") == F.col("w")).select("node", F.col("rep").alias("doc_id")), words))
 
-    links = cut_lineage(confirm(pairs, sets_of(pairs), threshold))
-    labels = cut_lineage(connected_components(links))
+    links = cut_lineage(confirm(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()), threshold))
+    labels = connected_components(links)
 
     def comps(df, node, to):
         side = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         return df.join(side, F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_l", node)).drop("_n", "_l")
 
-    crowded = comps(members.filter("count > 2"), "node", "comp")
-    split = crowded.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    split = crowded.join(split, "key").join(nodes.select(F.col("node").alias("_n"), "n", "odd"), F.col("node") == F.col("_n"))
-    left = cut_lineage(_block_pairs(split, threshold))
-    take = 4
-    while left.limit(1).count():
-        sides = comps(comps(left, "a", "ca"), "b", "cb").filter("ca <> cb").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
-        best = cut_lineage(_best(sides, take))
-        if not best.limit(1).count():
-            break
-        links = cut_lineage(links.unionByName(confirm(best, sets_of(best), threshold)))
-        labels = cut_lineage(connected_components(links))
-        left = cut_lineage(left.join(best.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"))
-        take *= 4
+    crowded = comps(members.filter("count > 2").select("key", "centre", "node"), "node", "comp")
+    split = crowded.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("_key")
+    apart = cut_lineage(crowded.join(split, F.col("key") == F.col("_key")).select(F.col("centre").alias("a"), F.col("node").alias("b"), "comp").distinct())
+    if apart.limit(1).count():
+        groups = connected_components(apart).select(F.col("node").alias("g_node"), F.col("label").alias("grp"))
+        rows = apart.select(F.col("b").alias("w"), "comp").distinct()
+        sets = sets_of(rows.select("w")).withColumnRenamed("node", "s_node")
+        rows = rows.join(groups, F.col("w") == F.col("g_node")).join(sets, F.col("w") == F.col("s_node"))
+        rows = rows.join(nodes.select("node", "n", "bands", "odd"), F.col("w") == F.col("node"))
+        links = links.unionByName(cut_lineage(_block_links(rows.select("grp", "node", "comp", "n", "bands", "odd", "values"), threshold)))
+        labels = connected_components(links)
 
     joined = comps(nodes.select("node", "rep", "copies"), "node", "root")
     ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1")
@@ -223,19 +237,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _best(sides: DataFrame, take: int) -> DataFrame:
-    """Of the pairs between the same two components, about ``take`` per side with the best estimates (all pairs once ``take`` is large)."""
-    rank = F.row_number().over(Window.partitionBy("lo", "hi", "ca", "a").orderBy(F.desc("est"), "b"))
-    return sides.withColumn("rank", rank).filter(F.col("rank") <= take).select("a", "b")
-
-
 def without_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """One row of each group of ``docs``: of its smallest id, and of rows equal in id and text the first by the other columns. Rows without words all stay."""
+    id_, key, n, kept, at, nth = free_names(docs, "_id", "_key", "_n", "_kept", "_at", "_nth")
     marks = near_duplicates(docs, words, threshold).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_shingles").alias("_n"), F.col("kept").alias("_kept")).distinct()
-    rows = docs.withColumn("_at", F.xxhash64("text"))
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    again = F.row_number().over(Window.partitionBy("doc_id", "_at").orderBy(*others or [F.lit(0)]))
-    single = joined.withColumn("_again", F.when(F.col("doc_id").isNotNull() & (F.col("_n") > 0), again).otherwise(1))
-    return single.filter(F.col("_kept") & (F.col("_again") == 1)).select(*docs.columns)
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("n_shingles").alias(n), F.col("kept").alias(kept)).distinct()
+    rows = docs.withColumn(at, F.xxhash64("text"))
+    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(at) == F.col(key)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text") and not isinstance(docs.schema[c].dataType, MapType)]
+    again = F.row_number().over(Window.partitionBy("doc_id", at).orderBy(*others or [F.lit(0)]))
+    single = joined.withColumn(nth, F.when(F.col("doc_id").isNotNull() & (F.col(n) > 0), again).otherwise(1))
+    return single.filter(F.col(kept) & (F.col(nth) == 1)).select(*docs.columns)
