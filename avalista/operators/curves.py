@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from avalista.operators import ordered
 from avalista.operators.ordered import quantiles, running_totals, thin_out
 from avalista.session import cut_lineage
 
@@ -79,10 +78,8 @@ def lift_by_percentile(scored: DataFrame, el="el", loss="ChgOffPrinGr", key="Loa
     """
     narrow = scored.select(c(key).alias("key"), c(el).alias("el"), c(loss).alias("loss"))
     data = narrow.withColumn("_value", -c("el").cast("double"))
-    size = data.agg(F.count("*").alias("all"), F.count("_value").alias("known")).first()
-    large = size["all"] > ordered.FULL_BELOW and size["all"] == size["known"]
-    thin = thin_out(data, [i / 100 for i in range(1, 100)]) if large else None
-    if thin is not None:
+    thin = thin_out(data, [i / 100 for i in range(1, 100)])
+    if thin is not None and not data.filter(c("_value").isNull()).limit(1).count():
         rows = thin.groupBy("_place", "_gap", F.when(~c("_gap"), c("key")).alias("key")).agg(
             F.count("*").alias("n"), F.sum("el").alias("el"), F.sum("loss").alias("loss")
         )
@@ -90,12 +87,12 @@ def lift_by_percentile(scored: DataFrame, el="el", loss="ChgOffPrinGr", key="Loa
         started = F.ceil((c("position") - c("n") + 1) * 100 / c("position_total"))
         if not run.filter(c("_gap") & (started != _percent_of())).limit(1).count():
             return _at_percents(run)
-    return _at_percents(_cumulative(narrow, [c("el").desc(), c("key").asc()], F.lit(1), size["all"]))
+    return _at_percents(_cumulative(narrow, [c("el").desc(), c("key").asc()], F.lit(1)))
 
 
-def _cumulative(rows, order, count, at_most=None):
+def _cumulative(rows, order, count):
     measures = {"position": count, "cum_el": c("el"), "cum_loss": c("loss")}
-    return running_totals(rows, order, measures, totals=True, at_most=at_most)
+    return running_totals(rows, order, measures, totals=True)
 
 
 def _percent_of():

@@ -1,20 +1,21 @@
 """Running totals and exact quantiles over a total order, without a one-task window.
 
-Running totals: rows are range-partitioned on the whole sort key, so rows that tie on the first
-column still spread over tasks as long as a later key column tells them apart.
-The placement is written out, each part is summed on its own, and a small table
-of part totals (one row per part) gives every part its starting offset.
+Running totals: a bounded sample of the rows, drawn by hash, gives cut points over the *whole* sort key, so rows that tie on the
+first column still spread as long as a later key column tells them apart. A row's part is a function of its key and the cuts,
+not of where it happens to lie, so a recomputed task sees the same parts. Each part is summed before the shuffle and on its own
+behind it; a small table of part totals gives every part its starting offset. The rows are shuffled once.
 
 Quantiles: a one-pass sketch brackets each wanted rank. A second pass keeps the
 values inside the brackets and counts the rest as one row per gap, so only a
 thin slice of the data is sorted. Every rank is then checked to lie inside a
-bracket; if one does not, all values are ranked.
+bracket; if one does not, all values are ranked. The plan is the same at every size.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from math import inf, nextafter
+from math import ceil, inf, nextafter, sqrt
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -24,34 +25,69 @@ from avalista.session import cut_lineage
 
 PART = "_part"
 SKETCH = 10_000  # rank error of the bracketing sketch: 1 / SKETCH
-FULL_BELOW = 5_000_000  # up to so many values, ranking all of them is cheaper than two passes
-ONE_TASK = 1_000_000  # up to so many rows, one sorted task beats placing them first
+DRAWN = 32  # sampled rows per part
+MOST_PARTS = 2_000  # bound on the parts, and with it on the cut points and part totals
 MAX_GROUPS = 100_000  # up to so many groups, their brackets are broadcast
 
 
+def _sort_keys(order) -> list[tuple[Column, bool, bool]]:
+    """Expression, descending, nulls first of each sort key."""
+    keys = []
+    for item in order:
+        text = item._jc.toString()
+        found = re.fullmatch(r"(.*) (ASC|DESC) NULLS (FIRST|LAST)", text)
+        name, way, nulls = found.groups() if found else (text, "ASC", "FIRST")
+        keys.append((F.col(name), way == "DESC", nulls == "FIRST"))
+    return keys
+
+
+def _reached(cut: Column, keys) -> Column:
+    """Whether a row's sort key is that of ``cut`` or comes after it."""
+    out = F.lit(True)
+    for i, (key, down, nulls_first) in reversed(list(enumerate(keys))):
+        mark = cut[f"k{i}"]
+        beyond = (mark > key) if down else (mark < key)
+        null_before = mark.isNull() & key.isNotNull() if nulls_first else mark.isNotNull() & key.isNull()
+        out = null_before | F.coalesce(beyond, F.lit(False)) | (mark.eqNullSafe(key) & out)
+    return out
+
+
+def part_of(df: DataFrame, order, parts: int) -> Column:
+    """The part of each row along ``order``: the number of cut points it has reached, found in two steps.
+
+    The cut points come from the ``DRAWN * parts`` rows of the smallest hash, sorted.
+    """
+    keys = _sort_keys(order)
+    named = df.select(*[key.alias(f"k{i}") for i, (key, _, _) in enumerate(keys)])
+    drawn = named.orderBy(F.xxhash64(*named.columns)).limit(DRAWN * parts)
+    along = [(c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last())
+             for c, down, first in ((F.col(f"k{i}"), down, first) for i, (_, down, first) in enumerate(keys))]
+    rows = drawn.orderBy(*along).collect()
+    cuts = [rows[len(rows) * i // parts] for i in range(1, parts)] if rows else []
+    if not cuts:
+        return F.lit(0)
+    types = dict(named.dtypes)
+    mark = lambda row: F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in named.columns])
+    reached = lambda marks: F.size(F.filter(marks, lambda cut: _reached(cut, keys)))
+    step = ceil(sqrt(len(cuts)))
+    groups = [[mark(row) for row in cuts[i : i + step]] for i in range(0, len(cuts), step)]
+    coarse = reached(F.array(*[group[0] for group in groups]))
+    fine = reached(F.get(F.array(*[F.array(*group) for group in groups]), coarse - 1))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine)
+
+
 def running_totals(
-    df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False, parts: int | None = None,
-    at_most: int | None = None,
+    df: DataFrame, order, measures: dict[str, Column], by=(), totals: bool = False, parts: int | None = None
 ) -> DataFrame:
     """Add each measure's inclusive running total along ``order``, restarted per ``by`` group.
 
     With ``totals`` the group total is added as ``<name>_total``. ``parts`` fixes
-    the number of ranges; by default it is the session's shuffle partitions, which
-    adaptive execution coalesces when they are small. ``at_most`` is a known bound
-    on the rows; a small one is sorted directly.
+    the number of ranges; by default it follows the session's shuffle partitions.
     """
     order, by = list(order), list(by)
-    if at_most is not None and at_most <= ONE_TASK:
-        along = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        group = Window.partitionBy(*by)
-        added = {name: F.sum(expr).over(along) for name, expr in measures.items()}
-        if totals:
-            added |= {f"{name}_total": F.sum(expr).over(group) for name, expr in measures.items()}
-        return df.withColumns(added)
+    parts = parts or min(MOST_PARTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     narrow = df.withColumns({f"_{name}_in": expr for name, expr in measures.items()})
-    placed = cut_lineage(
-        narrow.repartitionByRange(*([parts] if parts else []), *[F.col(b) for b in by], *order).withColumn(PART, F.spark_partition_id())
-    )
+    placed = narrow.withColumn(PART, part_of(df, order, parts))
     inputs = {name: F.col(f"_{name}_in") for name in measures}
 
     part_totals = placed.groupBy(*by, PART).agg(*[F.sum(x).alias(n) for n, x in inputs.items()])
@@ -63,6 +99,8 @@ def running_totals(
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_before") for n in measures],
         *([F.sum(n).over(group).alias(f"{n}_total") for n in measures] if totals else []),
     )
+    if not by:
+        offsets = F.broadcast(offsets)  # one row per part
 
     within = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed.withColumns({name: F.sum(x).over(within) for name, x in inputs.items()})
@@ -119,11 +157,10 @@ def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None) -
     return joined.withColumns({"_gap": gap, "_place": F.when(gap, below).otherwise(value)}).drop("_cuts")
 
 
-def _pick(counts: DataFrame, probabilities: dict[str, float], by, at_most: int | None = None) -> DataFrame:
+def _pick(counts: DataFrame, probabilities: dict[str, float], by) -> DataFrame:
     """Interpolated quantiles from counted values; ``_unsure`` when a rank falls into a gap."""
     ranked = running_totals(
-        counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True,
-        at_most=at_most,
+        counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True
     )
     first = F.col("_upto") - F.col("_count")
     covers = lambda rank: (first <= rank) & (rank < F.col("_upto"))
@@ -151,15 +188,14 @@ def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by=()
     by = list(by)
     value = value if isinstance(value, Column) else F.col(value)
     data = df.select(*by, value.cast("double").alias("_value")).filter(F.col("_value").isNotNull())
-    n = data.count()
-    thin = thin_out(data, list(probabilities.values()), by, sketch) if n > FULL_BELOW else None
+    thin = thin_out(data, list(probabilities.values()), by, sketch)
     if thin is not None:
         counts = thin.groupBy(*by, "_place", "_gap").agg(F.count("*").alias("_count"))
         found = cut_lineage(_pick(counts, probabilities, by))
         if not found.filter("_unsure").limit(1).count():
             return found.drop("_unsure")
     counts = data.groupBy(*by, F.col("_value").alias("_place")).agg(F.count("*").alias("_count"))
-    return _pick(counts.withColumn("_gap", F.lit(False)), probabilities, by, at_most=n).drop("_unsure")
+    return _pick(counts.withColumn("_gap", F.lit(False)), probabilities, by).drop("_unsure")
 
 
 def quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), accuracy: int | None = None) -> DataFrame:

@@ -60,8 +60,8 @@ def default_rate_by(loans: DataFrame, key, name=None, overall=False, order=None,
         *([F.sum("Default").alias("_defaults"), F.count("Default").alias("_known")] if overall else []),
     )
     if overall:
-        rate = F.try_divide(F.sum("_defaults"), F.sum("_known"))
-        out = with_totals(out, overall_rate=rate).drop("_defaults", "_known")
+        out = with_totals(out, _all=F.sum("_defaults"), _of=F.sum("_known"))
+        out = out.withColumn("overall_rate", F.try_divide("_all", "_of")).drop("_defaults", "_known", "_all", "_of")
     return out.filter(c(name).isNotNull())
 
 
@@ -164,7 +164,7 @@ def multi_segment_rates(loans: DataFrame, segments=None) -> DataFrame:
 def value_counts(loans: DataFrame, column: str) -> DataFrame:
     """Counts of non-null values, largest first, with their share."""
     counts = loans.filter(c(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    shares = with_totals(counts, _total=F.sum("n")).withColumn("share", c("n") / c("_total")).drop("_total")
+    shares = counts.withColumn("share", c("n") / loans.agg(F.count(column)).scalar())  # a column of any number of values
     return shares.orderBy(c("n").desc(), c(column))
 
 

@@ -36,11 +36,22 @@ def test_running_totals_match_a_window(hot):
 
 
 def test_hot_value_spreads_over_parts(hot):
-    placed = hot.filter("el = 7.0").repartitionByRange(8, c("el").desc(), c("LoanNr").asc())
-    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    ties = hot.filter("el = 7.0")
+    parts = ties.withColumn("part", ordered.part_of(ties, [c("el").desc(), c("LoanNr").asc()], 8))
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
     assert len(sizes) >= 6 and max(sizes) < 400
 
 
+def test_running_totals_with_nulls_in_the_order(spark):
+    rows = [(i, None if i % 4 == 0 else float(i % 9)) for i in range(300)]
+    table = spark.createDataFrame(rows, "k long, x double")
+    for order in ([c("x").desc(), c("k").asc()], [c("x").asc(), c("k").desc()], [c("x").desc_nulls_first(), c("k").asc()]):
+        along = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        want = {r.k: r.n for r in table.withColumn("n", F.count("*").over(along)).collect()}
+        got = {r.k: r.n for r in ordered.running_totals(table, order, {"n": F.lit(1)}, parts=11).collect()}
+        assert got == want
+
+
 def test_running_totals_by_group_with_null_group(hot):
     got = ordered.running_totals(hot, [c("LoanNr").asc()], {"place": F.lit(1)}, ["grp"], totals=True, parts=5)
     frame = got.toPandas().sort_values("LoanNr")
@@ -49,10 +60,8 @@ def test_running_totals_by_group_with_null_group(hot):
         assert set(part["place_total"]) == {len(part)}
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
 @pytest.mark.parametrize("p", [0.0, 0.25, 1 / 3, 0.5, 0.8, 1.0])
-def test_quantiles_match_numpy(hot, monkeypatch, p, one_task):
-    monkeypatch.setattr(ordered, "ONE_TASK", one_task)
+def test_quantiles_match_numpy(hot, p):
     want = np.quantile([r.el for r in hot.select("el").collect()], p)
     assert ordered.exact_quantiles(hot, "el", {"q": p}).first().q == pytest.approx(want)
 
@@ -152,7 +161,6 @@ def test_box_stats_match_numpy(spark):
 @pytest.mark.parametrize("by", [(), ("grp",)])
 @pytest.mark.parametrize("sketch", [20, 200])
 def test_thinned_quantiles_stay_exact(hot, monkeypatch, by, sketch):
-    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
     points = {"a": 0.0, "b": 0.2, "c": 1 / 3, "d": 0.5, "e": 0.99, "f": 1.0}
     rows = ordered.exact_quantiles(hot, "LoanNr", points, by, sketch).collect()
     frame = hot.toPandas()
@@ -174,7 +182,6 @@ def test_wrong_brackets_fall_back_to_all_values(hot, monkeypatch):
     wrong = lambda data, probabilities, by, sketch: data.groupBy(*by).agg(
         F.array(F.lit(1.0), F.lit(2.0)).alias("_cuts")
     )
-    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
     monkeypatch.setattr(ordered, "_bracket_table", wrong)
     assert ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}).first().m == 1499.5
     grouped = {r.grp: r.m for r in ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}, ["grp"]).collect()}
@@ -182,17 +189,12 @@ def test_wrong_brackets_fall_back_to_all_values(hot, monkeypatch):
 
 
 def test_many_groups_are_ranked_in_full(hot, monkeypatch):
-    monkeypatch.setattr(ordered, "FULL_BELOW", 0)
     monkeypatch.setattr(ordered, "MAX_GROUPS", 1)
     assert {r.grp: r.m for r in ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}, ["grp"]).collect()}["a"] == 1499.0
 
 
-@pytest.mark.parametrize("mode", ["plain", "ranged", "thin", "broken"])
+@pytest.mark.parametrize("mode", ["thin", "broken"])
 def test_lift_equals_the_full_curve(hot, monkeypatch, mode):
-    if mode != "plain":
-        monkeypatch.setattr(ordered, "ONE_TASK", 0)
-    if mode in ("thin", "broken"):
-        monkeypatch.setattr(ordered, "FULL_BELOW", 0)
     if mode == "broken":
         wrong = lambda data, probabilities, by, sketch: data.agg(
             F.array(F.lit(-8.0), F.lit(-6.0)).alias("_cuts")
