@@ -6,10 +6,10 @@ import argparse
 
 from pyspark import StorageLevel
 
-from avalista.operators.encoding import with_fold
+from avalista.operators.features import build_features
 from avalista.operators.quotes import parse_application_text, quote, validate_applications
 from avalista.plans.reports import model_analysis, portfolio_report
-from avalista.plans.training import TrainConfig, score_portfolio, train_risk_model
+from avalista.plans.training import TrainConfig, score_portfolio, train_risk_model, training_fold
 from avalista.session import get_session
 from avalista.sources.artifacts import load_artifacts, save_artifacts
 from avalista.sources.loans import read_loans, write_loans
@@ -47,7 +47,7 @@ def portfolio(spark, a):
 
 def analyze(spark, a):
     model = load_artifacts(spark, a.model)
-    held_out = with_fold(read_loans(spark, a.loans, a.format)).filter("fold = 'test'")
+    held_out = training_fold(build_features(read_loans(spark, a.loans, a.format)), model.metadata).filter("fold = 'test'")
     scored = score_portfolio(held_out, model).persist(StorageLevel.MEMORY_AND_DISK)
     _write_tables(model_analysis(scored, model.factor), a.output)
 

@@ -250,11 +250,11 @@ def _(spark, sf):
     return rounded(stats, GrAppv_mean=4, NoEmp_mean=8, GrAppv_std=4, NoEmp_std=8)
 
 
-@query("one_hot", "SELECT LoanNr, " + ", ".join(f"coalesce((SCIAN = '{x}')::INTEGER, 0) AS \"cat__SCIAN_{x}\"" for x in SECTOR_CODES[1:])
+@query("one_hot", "SELECT LoanNr, " + ", ".join(f"coalesce((SCIAN = '{x}')::INTEGER, 0) AS \"cat__SCIAN_{x}\"" for x in SECTOR_CODES)
        + ", " + ", ".join(f"coalesce((State = '{x}')::INTEGER, 0) AS \"cat__State_{x}\"" for x in STATE_CODES) + " FROM dirty")
 def _(spark, sf):
-    hot = one_hot(one_hot(dirty(spark, sf), "SCIAN", SECTOR_CODES[1:]), "State", STATE_CODES)
-    return hot.select("LoanNr", *[f"cat__SCIAN_{x}" for x in SECTOR_CODES[1:]], *[f"cat__State_{x}" for x in STATE_CODES])
+    hot = one_hot(one_hot(dirty(spark, sf), "SCIAN", SECTOR_CODES), "State", STATE_CODES)
+    return hot.select("LoanNr", *[f"cat__SCIAN_{x}" for x in SECTOR_CODES], *[f"cat__State_{x}" for x in STATE_CODES])
 
 
 @query("label_encode", """SELECT LoanNr, (dense_rank() OVER (ORDER BY encode(State)) - 1)::INTEGER AS State_encoded, (dense_rank() OVER (ORDER BY encode(SCIAN)) - 1)::INTEGER AS SCIAN_encoded,

@@ -1,13 +1,11 @@
 """Readers, writers, dimension tables and profiles, driven by the loan view."""
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from avalista.catalog.loan_view import dirty, loans
 from avalista.catalog.registry import query, rounded
 from avalista.operators import portfolio as p
-from avalista.session import ensure_checkpoint_dir
+from avalista.session import scratch_dir as scratch
 from avalista.sources import dims
 from avalista.sources.loans import read_loans, write_loans
 
@@ -15,11 +13,6 @@ c = F.col
 FILE_COLUMNS = ["LoanNr", "Name", "State", "SCIAN", "ApprovalDate", "Term", "NoEmp", "NewExist", "GrAppv", "NAFIN_Appv", "Portion", "RealEstate", "Default", "ChgOffPrinGr"]
 
 
-def scratch(spark, name):
-    """A fresh folder beside the session's checkpoints, on storage every executor sees."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
-
-
 SAME_ROWS = 'SELECT LoanNr::VARCHAR AS LoanNr, Name, State, SCIAN, ApprovalDate, Term, NoEmp, NewExist, GrAppv, NAFIN_Appv, Portion, RealEstate, "Default", ChgOffPrinGr FROM '
 
 

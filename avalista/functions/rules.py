@@ -151,6 +151,7 @@ def new_business_propensity() -> Column:
 
 
 def typical_amount() -> Column:
+    """Null for a loan of unknown size."""
     size = size_class("NoEmp")
-    by_size = _case([(size == s, a) for s, a in TYPICAL_AMOUNTS.items() if s != "Grande"], TYPICAL_AMOUNTS["Grande"])
+    by_size = _case([(size == s, a) for s, a in TYPICAL_AMOUNTS.items()], None)
     return by_size * _case([(c("SCIAN").isin(CAPITAL_SECTORS), CAPITAL_FACTOR)], 1.0)

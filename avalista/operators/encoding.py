@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from avalista.operators.ordered import running_totals
 from avalista.session import broadcast_if_small, with_totals
 
 c = F.col
+DIGITS = 4  # 65,536 buckets per class
 
 
 def split_hash(key, seed: int = 42) -> Column:
@@ -30,18 +31,22 @@ def with_fold(loans: DataFrame, test_size: float = 0.2, seed: int = 42, key="Loa
 def with_exact_fold(loans: DataFrame, test_size: float = 0.2, seed: int = 42, by="Default", key="LoanNr", name="fold") -> DataFrame:
     """Test share fixed in every class: the loans with the lowest digests of each class.
 
-    Only digests are ranked, to find the last test digest of each class; the
-    loans themselves are compared with it where they are.
+    Digests are uniform, so counting them by their first ``DIGITS`` digits finds the bucket in which
+    a class reaches its share; only that bucket's digests are ranked. The loans
+    themselves are compared with the cut where they are.
     """
     digest = split_hash(key, seed)
-    narrow = loans.select(c(by).alias("_class"), digest.alias("_digest"), c(key).alias("_key"))
-    ranked = running_totals(narrow, [c("_digest").asc(), c("_key").asc()], {"_place": F.lit(1)}, ["_class"], totals=True)
-    cuts = (
-        ranked.filter(c("_place") <= F.round(c("_place_total") * test_size))
-        .groupBy("_class")
-        .agg(F.max(F.struct("_digest", "_key")).alias("_cut"))
-    )
-    joined = loans.join(broadcast_if_small(cuts), c(by).eqNullSafe(c("_class")), "left")
+    narrow = loans.select(c(by).alias("_class"), digest.alias("_digest"), c(key).alias("_key")).withColumn("_bucket", F.substring("_digest", 1, DIGITS))
+    along = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = narrow.groupBy("_class", "_bucket").agg(F.count("*").alias("_n")).withColumns(
+        {"_upto": F.sum("_n").over(along), "_total": F.sum("_n").over(Window.partitionBy("_class"))})
+    wanted = F.round(c("_total") * test_size)
+    reached = counts.filter((c("_upto") >= wanted) & (c("_upto") - c("_n") < wanted)).select(
+        c("_class").alias("_in"), c("_bucket").alias("_at"), (wanted - c("_upto") + c("_n")).alias("_rest"))
+    near = narrow.join(reached, c("_class").eqNullSafe(c("_in")) & (c("_bucket") == c("_at")))
+    place = F.row_number().over(Window.partitionBy("_class").orderBy("_digest", "_key"))
+    last = near.withColumn("_place", place).filter(c("_place") == c("_rest")).select("_class", F.struct("_digest", "_key").alias("_cut"))
+    joined = loans.join(broadcast_if_small(last), c(by).eqNullSafe(c("_class")), "left")
     is_test = F.struct(digest.alias("_digest"), c(key).alias("_key")) <= c("_cut")
     return joined.withColumn(name, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_class", "_cut")
 

@@ -81,7 +81,7 @@ def price_applications(scored: DataFrame, factor: float = 1.0, fee_mode: str = "
     require(scored, ["approved_amount", "term_months", "market_bank_rate", "pd", "lgd"], "applications")
     amount, pd_ = c("approved_amount"), c("pd")
     step1 = scored.withColumns({
-        "expected_loss": pd_ * c("lgd") * F.lit(float(factor)),
+        "expected_loss": pd_ * c("lgd") * F.lit(float(factor)) * (c("segment_factor") if "segment_factor" in scored.columns else F.lit(1.0)),
         "original_rate": c("market_bank_rate"),
         "state": c("state_code"),
         "gps_category": price.gps_category(pd_),
@@ -100,11 +100,11 @@ def price_applications(scored: DataFrame, factor: float = 1.0, fee_mode: str = "
     return priced.select(*keep, *QUOTE_FIELDS)
 
 
-def quote(applications: DataFrame, model=None, factor: float = 1.0, fee_mode: str = "flat", keep=()) -> DataFrame:
-    """Price applications, scoring them first when a trained model is given."""
+def quote(applications: DataFrame, model=None, factor: float = 1.0, fee_mode: str = "flat", keep=(), segment: str | None = None) -> DataFrame:
+    """Price applications, scoring them first when a trained model is given; ``segment`` then names the calibration by segment to use."""
     if model is None:
         return price_applications(applications, factor, fee_mode, keep)
-    scored = model.score(application_features(applications))
+    scored = model.score(application_features(applications), segment)
     return price_applications(scored, model.factor, fee_mode, keep)
 
 

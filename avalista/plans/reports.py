@@ -49,7 +49,13 @@ def model_analysis(scored: DataFrame, factor: float = 1.0) -> dict[str, DataFram
         "pd_by_outcome": metrics.score_by_outcome(scored),
         "reliability": metrics.reliability_table(scored),
         "lgd_quality": metrics.evaluate_lgd(scored),
+        "pd_quality": metrics.evaluate_pd(scored),
         "lgd_residuals": metrics.residual_histogram(scored),
+        "lgd_residual_summary": metrics.residual_summary(scored),
+        "lgd_pairs": metrics.actual_vs_predicted(defaults, "lgd"),
+        "el_pairs": metrics.actual_vs_predicted(scored, "el"),
+        "cumulative_loss": curves.cumulative_loss_curve(scored),
+        "accuracy_by_state": metrics.segment_accuracy(scored, c("State")),
         "loss_distribution": portfolio.histogram(defaults, "ChgOffPrinGr", 50),
         "lgd_distribution": portfolio.histogram(defaults, "lgd", 50),
         "el_distribution": portfolio.histogram(scored, "el", 50),

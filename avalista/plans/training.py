@@ -15,9 +15,10 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.operators.calibration import calibration_factor, predict_el
+from avalista.functions import segments as seg
+from avalista.operators.calibration import calibration_factor, predict_el, segment_calibration
 from avalista.operators.curves import auc
-from avalista.operators.encoding import with_class_weight, with_fold
+from avalista.operators.encoding import with_class_weight, with_exact_fold, with_fold
 from avalista.operators.features import build_features, feature_select, filter_defaults
 from avalista.operators.metrics import evaluate_lgd
 from avalista.functions.pricing import gps_category
@@ -26,10 +27,11 @@ from avalista.session import ensure_checkpoint_dir
 from avalista.sources.dims import constant_table
 
 c = F.col
+MODEL_INPUTS = ["GrAppv", "Term"]
 
 # Full-size model settings. ``trees`` can be lowered for trial runs.
 PD_PRESETS = {
-    "boosted": {"trees": 600, "step": 0.02, "depth": 4, "rows": 0.8, "columns": "0.6", "weights": "positive", "seed": 2024},
+    "boosted": {"trees": 600, "step": 0.02, "depth": 4, "rows": 0.8, "columns": "0.6", "gain": 0.2, "leaf": 5, "weights": "positive", "seed": 2024},
     "random_forest": {"trees": 200, "depth": 12, "leaf": 50, "weights": "balanced", "seed": 42},
     "logistic": {"c": 0.1, "iterations": 1000, "weights": "balanced"},
     "deep_forest": {"trees": 2500, "depth": 18, "leaf": 2, "columns": "sqrt", "weights": "balanced", "seed": 2024},
@@ -54,6 +56,7 @@ class TrainConfig:
     seed: int = 42
     key: str = "LoanNr"
     calibrate_on: str = "train"
+    stratify: bool = True  # the same share of defaults in both folds
 
 
 @dataclass
@@ -64,14 +67,27 @@ class RiskModel:
     lgd_model: object
     factor: float = 1.0
     metadata: dict = field(default_factory=dict)
+    segment_factors: dict[str, dict[str, float]] = field(default_factory=dict)
 
-    def score(self, features: DataFrame) -> DataFrame:
-        """Add ``pd``, ``lgd`` and ``el``; every other column stays."""
+    def score(self, features: DataFrame, segment: str | None = None) -> DataFrame:
+        """Add ``pd``, ``lgd`` and ``el``; every other column stays.
+
+        With ``segment`` ("amount" or "term") also ``segment_factor`` and ``el_segment``, the loss
+        calibrated within the loan's segment; a segment that training did not see keeps the overall factor.
+        """
         vectors = self.preprocessor.transform(features)
         raw = self.calibrator.transform(self.pd_model.transform(vectors))
         lgd = self.lgd_model.transform(raw)
-        return predict_el(lgd, self.factor).select(*features.columns, "pd", "lgd", "el")
+        scored = predict_el(lgd, self.factor).select(*features.columns, "pd", "lgd", "el")
+        if segment is None:
+            return scored
+        known = [F.lit(x) for pair in self.segment_factors[segment].items() for x in pair]
+        factor = F.element_at(F.create_map(*known), SEGMENTS[segment]()) if known else F.lit(None).cast("double")
+        scored = scored.withColumn("segment_factor", F.coalesce(factor, F.lit(1.0)))
+        return scored.withColumn("el_segment", c("el") * c("segment_factor"))
+
 
+SEGMENTS = {"amount": seg.amount_bucket, "term": seg.term_bucket}
 
 # Further names the algorithms are known by.
 ALIASES = {"xgboost": "boosted", "randomforest": "random_forest"}
@@ -126,9 +142,12 @@ def train_pd(vectors: DataFrame, algo: str = "boosted", label="Default", **param
         ).fit(rows)
     if "step" in p:
         ensure_checkpoint_dir(vectors.sparkSession)
+        # the preset's gain is a sum over rows, the library's a mean
+        least_gain = p["gain"] / max(1, rows.count()) if p.get("gain") else 0.0
         return GBTClassifier(
             **common, maxIter=p["trees"], stepSize=p["step"], maxDepth=p["depth"], subsamplingRate=p["rows"],
-            featureSubsetStrategy=p["columns"], seed=p["seed"], checkpointInterval=10,
+            featureSubsetStrategy=p["columns"], minInfoGain=least_gain, minInstancesPerNode=p.get("leaf", 1), seed=p["seed"],
+            checkpointInterval=10,
         ).fit(rows)
     return RandomForestClassifier(
         **common, numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
@@ -176,7 +195,7 @@ def train_risk_model(loans: DataFrame, config: TrainConfig | None = None) -> Ris
     of the rows the classifier saw.
     """
     cfg = config or TrainConfig()
-    prepared = with_fold(build_features(loans), cfg.test_size, cfg.seed, cfg.key)
+    prepared = training_fold(build_features(loans), vars(cfg))
     features = feature_select(prepared, cfg.key, "fold", "Default", "ChgOffPrinGr")
     # Training makes many passes, so spread the narrow rows evenly once and keep them.
     features = features.repartition(c(cfg.key), c("GrAppv"), c("Term")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -196,15 +215,36 @@ def train_risk_model(loans: DataFrame, config: TrainConfig | None = None) -> Ris
         lgd_model = train_lgd(filter_defaults(vectors), cfg.lgd_algo, **cfg.lgd_params)
         model = RiskModel(prep, pd_model, calibrator, lgd_model)
 
-        on_train = predict_el(lgd_model.transform(calibrator.transform(pd_model.transform(vectors))))
+        on_train = model.score(train).select(*MODEL_INPUTS, "ChgOffPrinGr", "el")
         model = replace(model, factor=float(calibration_factor(on_train).first()["factor"]))
-        return replace(model, metadata=_figures(model, features, test))
+        model = replace(model, segment_factors={x: _segment_factors(on_train, x, model.factor) for x in SEGMENTS})
+        split = {"test_size": cfg.test_size, "seed": cfg.seed, "key": cfg.key, "stratify": cfg.stratify}
+        return replace(model, metadata=_figures(model, features, test) | split)
     finally:
         features.unpersist()
 
 
+def training_fold(loans: DataFrame, split: dict) -> DataFrame:
+    """Mark each loan as the training did; ``split`` is the configuration, or the figures saved with a model."""
+    fold = with_exact_fold if split["stratify"] else with_fold
+    return fold(loans, split["test_size"], split["seed"], key=split["key"])
+
+
+def _segment_factors(scored, segment, factor) -> dict[str, float]:
+    """Booked over predicted loss per segment, on top of the overall factor; a handful of labels."""
+    table = segment_calibration(scored.withColumn("el", c("el") * factor).withColumn("_segment", SEGMENTS[segment]()), "_segment")
+    return {row["_segment"]: row["factor"] for row in table.collect() if row["_segment"] is not None}
+
+
 def _figures(model, features, test):
-    scored = model.score(test).select("Default", "ChgOffPrinGr", "pd", "lgd")
+    scored = model.score(test).select("Default", "ChgOffPrinGr", "pd", "lgd").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _figures_of(scored, features)
+    finally:
+        scored.unpersist()
+
+
+def _figures_of(scored, features):
     whole = fold_counts(features)
     quality = evaluate_lgd(scored).first()
     return {
@@ -228,9 +268,9 @@ def fold_counts(features: DataFrame) -> dict:
     ).first().asDict()
 
 
-def score_portfolio(loans: DataFrame, model: RiskModel) -> DataFrame:
-    """Default probability, loss, expected loss and price category of every loan."""
-    return model.score(build_features(loans)).withColumn("gps_category", gps_category(c("pd")))
+def score_portfolio(loans: DataFrame, model: RiskModel, segment: str | None = None) -> DataFrame:
+    """Default probability, loss, expected loss and price category of every loan; with ``segment`` also the loss calibrated in it."""
+    return model.score(build_features(loans), segment).withColumn("gps_category", gps_category(c("pd")))
 
 
 def feature_importance(model, names) -> DataFrame:

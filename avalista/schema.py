@@ -22,7 +22,6 @@ DICTIONARY_ONLY = [
     ("BalanceGross", _D), ("MIS_Status", _S), ("New", _I), ("daysterm", _I),
 ]
 
-LOAN_SCHEMA = T.StructType([T.StructField(n, t) for n, t in CANONICAL])
 COLUMN_TYPES = dict(CANONICAL + DICTIONARY_ONLY)
 
 REQUIRED = ["ChgOffPrinGr", "GrAppv", "Term", "NoEmp", "NewExist"]

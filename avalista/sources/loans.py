@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avalista.schema import APPLICATION_SCHEMA, COLUMN_TYPES, MISSING_TEXTS, REQUIRED, require
+from avalista.schema import COLUMN_TYPES, MISSING_TEXTS, REQUIRED, require
 
 SCRATCH_COLUMNS = ["TamanoEmpresa", "score_riesgo"]
 
@@ -22,22 +22,32 @@ def _typed(text, dtype, strict: bool):
     return cast(known, dtype.simpleString())
 
 
+def _cast(field: T.StructField, dtype, strict: bool):
+    """A column that already has a type, as the type its name stands for."""
+    if dtype is None or field.dataType == dtype:
+        return F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return _typed(F.col(field.name), dtype, strict).alias(field.name)
+    column = F.col(field.name)
+    return (column.cast(dtype) if strict else column.try_cast(dtype)).alias(field.name)
+
+
 def read_loans(spark: SparkSession, path: str, fmt: str = "csv", on_bad_value: str = "raise") -> DataFrame:
     """A loan table with the known columns typed by name; column order does not matter.
 
-    CSV columns are read as text, so sector codes keep their leading zero and all
+    Columns of typed formats are cast where their type differs. CSV columns are read as text, so sector codes keep their leading zero and all
     the usual texts for a missing value become null. ``on_bad_value='null'``
     nulls values that do not parse instead of failing the job.
     """
     if on_bad_value not in ("raise", "null"):
         raise ValueError(f"unknown on_bad_value {on_bad_value!r}")
+    strict = on_bad_value == "raise"
     if fmt != "csv":
         loans = spark.read.format(fmt).load(path)
         require(loans, REQUIRED, path)
-        return loans
+        return loans.select(*[_cast(x, COLUMN_TYPES.get(x.name), strict) for x in loans.schema.fields])
     raw = spark.read.option("header", True).csv(path)
     require(raw, REQUIRED, path)
-    strict = on_bad_value == "raise"
     return raw.select(*[_typed(F.col(x), COLUMN_TYPES.get(x, T.StringType()), strict).alias(x) for x in raw.columns])
 
 
@@ -59,8 +69,3 @@ def write_loans(loans: DataFrame, path: str, fmt: str = "csv", mode: str = "over
         loans.hint("rebalance", F.col("ApprovalFY")).write.mode(mode).partitionBy("ApprovalFY").format(fmt).save(path)
     else:
         loans.write.mode(mode).format(fmt).save(path)
-
-
-def read_applications(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(APPLICATION_SCHEMA)
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from avalista.catalog.loan_view import applications, loans
 from avalista.operators import features as f
 from avalista.operators.calibration import predict_el
-from avalista.operators.encoding import standardize, with_fold
+from avalista.operators.encoding import standardize
 from avalista.operators.quotes import quote
 from avalista.plans import training as m
 from avalista.sources.artifacts import load_artifacts, save_artifacts
@@ -35,7 +35,7 @@ def test_figures(model, table):
 
 
 def test_calibrated_loss_matches_on_the_training_rows(model, table):
-    train = m.score_portfolio(with_fold(table), model).filter("fold = 'train'")
+    train = m.score_portfolio(m.training_fold(f.build_features(table), model.metadata), model).filter("fold = 'train'")
     sums = train.agg(F.sum("el"), F.sum("ChgOffPrinGr")).first()
     assert sums[0] == pytest.approx(sums[1])
 
@@ -61,6 +61,18 @@ def test_preprocessor_uses_population_deviation(table):
     assert sum("SCIAN" in n for n in names) == 21 and sum("State" in n for n in names) == 32
 
 
+def test_segment_factors_balance_each_segment(model, table):
+    train = m.training_fold(f.build_features(table), model.metadata).filter("fold = 'train'")
+    for segment, bucket in m.SEGMENTS.items():
+        rows = m.score_portfolio(train, model, segment).groupBy(bucket().alias("b")).agg(F.sum("el_segment").alias("el"), F.sum("ChgOffPrinGr").alias("loss")).collect()
+        assert all(r.el == pytest.approx(r.loss) for r in rows if r.loss > 0)
+
+
+def test_folds_have_the_same_share_of_defaults(model, table):
+    shares = {r.fold: r.y for r in m.training_fold(f.build_features(table), model.metadata).groupBy("fold").agg(F.avg("Default").alias("y")).collect()}
+    assert shares["train"] == pytest.approx(shares["test"], abs=0.002)
+
+
 def test_unseen_category_scores(model, table):
     odd = table.limit(5).withColumn("State", F.lit("ZZ"))
     assert m.score_portfolio(odd, model).filter("pd is null").count() == 0
@@ -83,7 +95,7 @@ def test_logistic_solves_the_penalised_problem(table):
 def test_save_and_load(spark, model, table, tmp_path):
     save_artifacts(model, str(tmp_path / "model"), spark)
     again = load_artifacts(spark, str(tmp_path / "model"))
-    assert again.factor == model.factor and again.metadata == model.metadata
+    assert again.factor == model.factor and again.metadata == model.metadata and again.segment_factors == model.segment_factors
     a, b = m.score_portfolio(table, model), m.score_portfolio(table, again)
     assert a.select("LoanNr", "pd", "lgd", "el").exceptAll(b.select("LoanNr", "pd", "lgd", "el")).count() == 0
     with pytest.raises(Exception):
