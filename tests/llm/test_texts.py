@@ -98,7 +98,7 @@ def test_reading_blocks():
     assert [b.text for b in blocks] == ["one bold two & 3 < 4", "next", "a", "b link", "tail < end"]
     assert blocks[2].path[-2:] == ("/ul", "/li") and blocks[2].parent == blocks[3].parent and blocks[3].linked > 0.5 > blocks[2].linked
     assert html_main.read_blocks("") == [] and html_main.read_blocks("<p>&#x20;</p>") == []
-    assert [b.text for b in html_main.read_blocks("<a 'x" * 3 + "<p>k")] == ["k"] or True
+    assert "k" in " ".join(b.text for b in html_main.read_blocks("<a 'x" * 3 + "<p>k</p>"))  # quotes that never close
 
 
 def test_other_layouts(spark, sf):
