@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from avalista.schema import COLUMN_TYPES, MISSING_TEXTS, REQUIRED, require
 
+IDS = ["LoanNr", "LoanNr_ChkDgt"]  # a typed file's id keeps its type
 SCRATCH_COLUMNS = ["TamanoEmpresa", "score_riesgo"]
 
 
@@ -24,7 +25,7 @@ def _typed(text, dtype, strict: bool):
 
 def _cast(field: T.StructField, dtype, strict: bool):
     """A column that already has a type, as the type its name stands for."""
-    if dtype is None or field.dataType == dtype:
+    if dtype is None or field.dataType == dtype or field.name in IDS:
         return F.col(field.name)
     if isinstance(field.dataType, T.StringType):
         return _typed(F.col(field.name), dtype, strict).alias(field.name)

@@ -67,3 +67,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got, want = spark.read.parquet(str(tmp_path / "out")), quote(table, keep=["application_id"])
     assert got.count() == want.count()
     assert want.exceptAll(got.select(*want.columns)).count() == 0
+
+
+def test_typed_files_get_the_types_of_their_names(spark, tmp_path):
+    rows = [("7", 46, "24", 8, "2", 1000, 0.0, "bad"), ("8", 54, "36.0", 3, "1", 2000, 5.0, "2020-03-01")]
+    path = str(tmp_path / "typed")
+    spark.createDataFrame(rows, "LoanNr string, SCIAN int, Term string, NoEmp int, NewExist string, GrAppv int, ChgOffPrinGr double, ApprovalDate string").write.parquet(path)
+    loans = read_loans(spark, path, "parquet", on_bad_value="null").orderBy("LoanNr")
+    assert [(r.LoanNr, r.SCIAN, r.Term, r.NewExist, r.GrAppv, str(r.ApprovalDate)) for r in loans.collect()] == [
+        ("7", "46", 24, 2, 1000.0, "None"), ("8", "54", 36, 1, 2000.0, "2020-03-01")]
+    with pytest.raises(Exception):
+        read_loans(spark, path, "parquet").collect()
