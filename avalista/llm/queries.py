@@ -106,12 +106,40 @@ def op9(spark, sf_dir):
     )
 
 
-@query("op2_decontamination")
+SHINGLES_SQL = r"""
+    SELECT DISTINCT {id}, array_to_string(list_slice(w, i, i + {k} - 1), ' ') AS s
+    FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM {table}),
+        unnest(range(1, greatest(len(w) - {k} + 1, 1) + 1)) AS t(i)
+    WHERE len(w) > 0"""
+PLAIN_WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+
+CONTAINED_SQL = f"""
+WITH d AS ({SHINGLES_SQL.format(id="doc_id", k=5, word=PLAIN_WORD, table="documents")}),
+b AS ({SHINGLES_SQL.format(id="item_id", k=5, word=PLAIN_WORD, table="benchmark")}),
+sizes AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM d JOIN b USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) / n_item >= 0.8
+"""
+
+
+@query("op2_decontamination", CONTAINED_SQL)
 def op2(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_near_duplicates")
+NEAR_SQL = f"""
+WITH RECURSIVE sh AS ({SHINGLES_SQL.format(id="doc_id", k=4, word=r"[^\x20\x09-\x0D]+", table="documents")}),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 80 * (x.n + y.n - pairs.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.r = ways.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op3_near_duplicates", NEAR_SQL)
 def op3(spark, sf_dir):
     found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=80)
     return found.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id", "kept")
