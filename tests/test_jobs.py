@@ -9,7 +9,8 @@ from avalista.operators import rules
 from avalista.operators.curves import auc
 from avalista.operators.encoding import split_hash, with_fold
 from avalista.plans import training as m
-from avalista.sources.loans import write_loans
+from avalista.operators.features import to_legacy_format
+from avalista.sources.loans import read_loans, write_loans
 
 c = F.col
 
@@ -61,6 +62,14 @@ def test_analyze(spark, folder):
     assert spark.read.parquet(str(folder / "analysis" / "report")).first().auc > 0.5
 
 
+def test_analyze_reads_the_older_layout(spark, folder):
+    older = to_legacy_format(read_loans(spark, str(folder / "loans.csv"))).withColumnRenamed("LoanNr", "LoanNr_ChkDgt")
+    write_loans(older, str(folder / "older.csv"))
+    main(["analyze", str(folder / "older.csv"), str(folder / "model"), str(folder / "older")])
+    assert spark.read.parquet(str(folder / "older" / "lift")).count() == 100
+    assert spark.read.parquet(str(folder / "older" / "lgd_residual_summary")).first().n > 0
+
+
 def test_quotes_and_stream(spark, sf, folder):
     table = applications(spark, sf, customer=True).drop("pd", "lgd")
     texts = table.withColumns({x: F.when(c(x), "sí").otherwise("no") for x in ("is_new_business", "has_real_estate", "in_recession")})
