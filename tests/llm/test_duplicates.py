@@ -211,3 +211,22 @@ def test_alignment_parts():
     chains = passages.chain(np.array([1, 10, 20, 500, 510]), np.array([5, 14, 24, 90, 100]))
     assert [c.tolist() for c in chains] == [[0, 1, 2], [3, 4]]
     assert passages.chain(np.array([5, 5]), np.array([1, 9])) == []
+
+
+@pytest.mark.parametrize("apart", [100, 200, 300])
+def test_exact_passages_apart_are_both_found(frame, apart):
+    rows = []
+    for i in range(2):
+        rows.append((i, " ".join(prose(10 + i, 40) + prose(1, 100) + prose(20 + i, apart) + prose(2, 100) + prose(30 + i, 40))))
+    found = passages.repeated_passages(frame([(*r, "en", 1, "k", 2) for r in rows], DOCS)).collect()
+    for start in (40, 140 + apart):
+        assert any(r.start <= start and r.end >= start + 100 and r.other_start <= start and r.other_end >= start + 100 for r in found)
+    assert all(r.identity >= 0.8 and r.end - r.start >= 50 for r in found)
+
+
+def test_parts_of_an_alignment():
+    apart = np.concatenate([np.arange(100), np.arange(300, 400)])
+    assert sorted(passages.parts(apart, apart, 50, 0.8)) == [(0, 100, 0, 100, 100), (300, 400, 300, 400, 100)]
+    assert passages.parts(apart[:49], apart[:49], 50, 0.8) == []
+    x, y = np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 9, 4, 5])
+    assert [p.tolist() for p in passages.common_places(x, y)] == [[0, 1, 3, 4]] * 2
