@@ -12,7 +12,9 @@ scope, at most ``scope`` code points away:
 
 The parts of all documents meet in one interval join: parts are dealt to bins of the
 scope's width, equi-joined on document and bin, and kept when their gap is small
-enough. A bin holds at most ``scope`` start positions, so a very long document
+enough. A part that may be reported stands in the bins of its start and of its end, a partner in all
+bins that it reaches, so a part of any length meets what comes before and behind it.
+A bin holds at most ``scope`` start and end positions, so a very long document
 spreads over many keys and no key can grow with the data.
 
 Null text counts as empty; a null id is kept; repeated rows are each returned; columns
@@ -119,9 +121,10 @@ def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     part = F.explode(F.concat("strong", "parts")).alias("part")
     parts = scanned.filter(F.size("parts") > 0).select("id", "text_key", part).select("id", "text_key", "part.*").distinct()
     side = F.when(F.col("kind").isin("identifier", "access"), "id").when(F.col("kind") == "endpoint", "at").otherwise("secret")
-    here = parts.withColumns({"side": side, "bin": F.floor(F.col("start") / scope)})
-    other = here.select(
-        F.col("id").alias("o_id"), F.col("text_key").alias("o_key"), F.col("side").alias("o_side"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
+    bins = F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))
+    here = parts.withColumns({"side": side, "bin": F.explode(bins)})
+    other = parts.select(
+        F.col("id").alias("o_id"), F.col("text_key").alias("o_key"), side.alias("o_side"), F.col("start").alias("o_start"), F.col("end").alias("o_end"),
         F.explode(F.sequence(F.floor((F.col("start") - scope) / scope) - 1, F.floor((F.col("end") + scope) / scope))).alias("o_bin"),
     )
     gap = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"))

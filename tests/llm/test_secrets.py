@@ -73,3 +73,16 @@ def test_masking(frame):
 def test_empty_table(frame):
     empty = frame([], "doc_id long, text string, lang string, n_chars long")
     assert secrets.find_secrets(empty).collect() == [] and secrets.mask_secrets(empty).collect() == []
+
+
+def test_long_parts_meet_what_stands_on_either_side(frame):
+    user, secret, token = "user=alice", "pass=hunter2", "Ab1" * 600
+    pairs = [("private_key=" + token, user), (token, user), ("user=" + "qz" * 750, secret), ("https://x.example/" + "p/" * 900, f"{user} {secret}")]
+    texts = [gap.join(two) for a, b in pairs for two in ((a, b), (b, a)) for gap in (" ", " " + ", " * 110)]
+    rows = secrets.find_secrets(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == 16
+    for r in rows:
+        got = {(s.kind, s.end - s.start) for s in r.spans}
+        at = r.id // 4
+        assert [("weak", 1812), ("weak", 1800), ("identifier", 1505), ("endpoint", 1818)][at] in got, (r.id, got)
+        assert len(got) == (3 if at == 3 else 2)
