@@ -8,7 +8,8 @@ probability of 0.88 at least, whatever the document's size. An item is sketched
 nested, so it is enough to note for each shingle the first partition in which it is a minimum.
 
 Candidates share more sketch values than six standard deviations below what a containment of ``threshold`` leads to;
-each is verified on full sets. A bitmap of fixed size over the hashes of all items lets a task drop, at the scan, document values that no item
+each is verified on full sets. For an item so short that this leaves no more than one value, a sketch may miss all it shares, so
+its candidates come from all of a document's shingles that it may have, not from the sketch. A bitmap of fixed size over the hashes of all items lets a task drop, at the scan, document values that no item
 has; where it fills up, more values pass and are dropped in the join instead.
 
 An item or document of fewer than five words has its whole sequence as its one shingle; without words it matches nothing. Repeated
@@ -76,9 +77,9 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(tasks, f"item_id {kind}, item_key bigint, shingles array<struct<h:bigint,p:int>>").filter(F.size("shingles") > 0)
 
 
-def document_sketches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Per document that may hold an item: id, text_key, partition, and of its values that pass the bitmap the sketch's and all."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def document_sketches(docs: DataFrame, bits: np.ndarray, short_bits: np.ndarray) -> DataFrame:
+    """Per document that may hold an item: id, text_key, partition, and of its values that pass the bitmap the sketch's, all, and those of short items."""
+    sent, sent_short = docs.sparkSession.sparkContext.broadcast(bits), docs.sparkSession.sparkContext.broadcast(short_bits)
 
     def tasks(batches):
         hasher = WordHasher(plain=True)
@@ -87,41 +88,47 @@ def document_sketches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 values, at = distinct(*shingle_hashes(words, offsets, WORDS), len(offsets) - 1)
                 passing = passes(values.view(np.int64), sent.value)
                 many = np.add.reduceat(np.append(passing, False), at[:-1]) if len(at) > 1 else np.zeros(0)
-                rows, parts, sketch, every = [], [], [], []
+                rows, parts, sketch, every, short = [], [], [], [], []
                 for i in np.flatnonzero((many > 0) & (np.diff(at) > 0)):
                     mine, ok = values[at[i] : at[i + 1]], passing[at[i] : at[i + 1]]
                     p = partition_of(len(mine))
                     least = ok & is_minimum(mine, p)
-                    if least.any():
+                    few = mine[ok]
+                    few = few[passes(few.view(np.int64), sent_short.value)]
+                    if least.any() or len(few):
                         rows.append(first + int(i))
                         parts.append(p)
                         sketch.append(_signed(mine[least]))
                         every.append(_signed(mine[ok]))
+                        short.append(_signed(few))
                 if rows:
                     took = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(took), batch.column(1).take(took), pa.array(parts, pa.int32()),
-                         pa.array(sketch, pa.list_(pa.int64())), pa.array(every, pa.list_(pa.int64()))],
-                        ["doc_id", "text_key", "part", "sketch", "every"])
+                         pa.array(sketch, pa.list_(pa.int64())), pa.array(every, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))],
+                        ["doc_id", "text_key", "part", "sketch", "every", "short"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(tasks, f"doc_id {kind}, text_key bigint, part int, sketch array<bigint>, every array<bigint>")
+    return rows.mapInArrow(tasks, f"doc_id {kind}, text_key bigint, part int, sketch array<bigint>, every array<bigint>, short array<bigint>")
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document and an item it contains: doc_id, text_key, item_id, n_shared, n_item, containment."""
     sets = cut_lineage(item_shingles(items))
     item_rows = sets.select("item_id", "item_key", F.size("shingles").alias("n_item"), F.explode("shingles").alias("s")).select("item_id", "item_key", "n_item", "s.*")
-    found = cut_lineage(document_sketches(docs, bitmap(item_rows.select("h"))).dropDuplicates(["doc_id", "text_key"]))
+    expected = F.col("n_item") * threshold * SURVIVES
+    cutoff = expected - 6 * F.sqrt(expected * (1 - SURVIVES))
+    short_rows, long_rows = item_rows.filter(cutoff <= 1), item_rows.filter(cutoff > 1)
+    found = cut_lineage(document_sketches(docs, bitmap(item_rows.select("h")), bitmap(short_rows.select("h"))).dropDuplicates(["doc_id", "text_key"]))
 
     values = found.select("doc_id", "text_key", "part", F.explode("sketch").alias("h"))
-    expected = F.col("n_item") * threshold * SURVIVES
-    cutoff = F.greatest(F.lit(1.0), expected - 6 * F.sqrt(expected * (1 - SURVIVES)))
-    candidates = (
-        values.join(item_rows, "h").filter(F.col("part") >= F.col("p"))
-        .groupBy("doc_id", "text_key", "item_id", "item_key", "n_item").agg(F.count("*").alias("met")).filter(F.col("met") >= cutoff)
-    )
+    every = found.select("doc_id", "text_key", F.explode("short").alias("h"))
+    pair = ["doc_id", "text_key", "item_id", "item_key", "n_item"]
+    met = F.count("*").alias("met")
+    by_sketch = values.join(long_rows, "h").filter(F.col("part") >= F.col("p")).groupBy(*pair).agg(met).filter(F.col("met") >= cutoff)
+    by_all = every.join(short_rows, "h").groupBy(*pair).agg(met).filter(F.col("met") / F.col("n_item") >= threshold)
+    candidates = by_sketch.unionByName(by_all)
     theirs = found.select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), "every")
     full = sets.select(F.col("item_id").alias("i_id"), F.col("item_key").alias("i_key"), F.col("shingles.h").alias("full"))
     verified = (

@@ -230,3 +230,12 @@ def test_parts_of_an_alignment():
     assert passages.parts(apart[:49], apart[:49], 50, 0.8) == []
     x, y = np.array([1, 2, 3, 4, 5, 6]), np.array([1, 2, 9, 4, 5])
     assert [p.tolist() for p in passages.common_places(x, y)] == [[0, 1, 3, 4]] * 2
+
+
+def test_many_items_of_five_and_six_words(frame):
+    items = [(i, " ".join(prose(3000 + i, 5 + i % 2))) for i in range(300)]
+    docs = [(d, " ".join(" ".join(prose(7000 + 300 * d + i, 20)) + " " + t for i, t in items)) for d in range(3)]
+    want = contained(docs, items)
+    items_df = frame([(*r, "p") for r in items], "item_id long, text string, part string")
+    rows = contamination.contaminated(frame([(*r, "en", 1, "k", 2) for r in docs], DOCS), items_df).collect()
+    assert {(r.doc_id, r.item_id): (r.containment, r.n_shared, r.n_item) for r in rows} == want and len(rows) == len(want) == 900
