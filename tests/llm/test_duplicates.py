@@ -239,3 +239,15 @@ def test_many_items_of_five_and_six_words(frame):
     items_df = frame([(*r, "p") for r in items], "item_id long, text string, part string")
     rows = contamination.contaminated(frame([(*r, "en", 1, "k", 2) for r in docs], DOCS), items_df).collect()
     assert {(r.doc_id, r.item_id): (r.containment, r.n_shared, r.n_item) for r in rows} == want and len(rows) == len(want) == 900
+
+
+@pytest.mark.parametrize("many", [0, 1])
+def test_every_copy_of_a_passage_is_found(frame, many):
+    passage = prose(1, 80)
+    once = prose(10, 40) + passage + prose(11, 40)
+    thrice = sum((prose(20 + i, 40) + passage for i in range(3)), []) + prose(30, 40)
+    rows = [(many, " ".join(thrice)), (1 - many, " ".join(once))]
+    found = passages.repeated_passages(frame([(*r, "en", 1, "k", 2) for r in rows], DOCS)).collect()
+    spans = [(r.start, r.end) for r in found if r.doc_id == many] + [(r.other_start, r.other_end) for r in found if r.other_id == many]
+    for start in (40, 160, 280):
+        assert any(a <= start and b >= start + 80 for a, b in spans), (start, spans)
