@@ -251,3 +251,31 @@ def test_every_copy_of_a_passage_is_found(frame, many):
     spans = [(r.start, r.end) for r in found if r.doc_id == many] + [(r.other_start, r.other_end) for r in found if r.other_id == many]
     for start in (40, 160, 280):
         assert any(a <= start and b >= start + 80 for a, b in spans), (start, spans)
+
+
+def test_recall_of_fuzzy_passages(frame):
+    rows, planted = [], {}
+    for i, (n, identity) in enumerate([(n, identity) for n in (50, 80, 120) for identity in (0.8, 0.85, 0.9)] * 20):
+        draw = random.Random(i)
+        passage = prose(10_000 + i, n)
+        other = list(passage)
+        for at in draw.sample(range(1, n - 1), round(n * (1 - identity))):
+            other[at] = f"changed{at}"
+        rows += [(2 * i, " ".join(prose(20_000 + i, 60) + passage + prose(30_000 + i, 60))), (2 * i + 1, " ".join(prose(40_000 + i, 90) + other + prose(50_000 + i, 60)))]
+        planted[2 * i + 1] = (n, identity)
+    found = defaultdict(int)
+    for r in passages.repeated_passages(frame([(*r, "en", 1, "k", 2) for r in rows], DOCS)).collect():
+        if r.other_id == r.doc_id - 1 and r.doc_id in planted:
+            n, identity = planted[r.doc_id]
+            found[r.doc_id] = max(found[r.doc_id], min(r.end, 90 + n) - max(r.start, 90))
+    for kind in set(planted.values()):
+        hits = [found[d] >= kind[0] / 2 for d in planted if planted[d] == kind]
+        assert sum(hits) >= (0.85 if kind == (50, 0.8) else 1) * len(hits), (kind, sum(hits))
+
+
+def test_passage_of_two_frequent_pieces(frame):
+    one, two = prose(1, 30), prose(2, 30)
+    docs = [prose(100 + i, 40) + (one if i % 2 else two) + prose(200 + i, 40) for i in range(60)]
+    docs += [prose(300 + i, 40) + one + two + prose(400 + i, 40) for i in range(2)]
+    found = passages.repeated_passages(frame([(i, " ".join(words), "en", 1, "k", 2) for i, words in enumerate(docs)], DOCS)).collect()
+    assert [(r.other_id, r.doc_id) for r in found if r.start <= 40 and r.end >= 100 and r.doc_id > r.other_id] == [(60, 61)]
