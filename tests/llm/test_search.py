@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from check import compare, connect
 
-from avalista.llm import ranked
+from avalista.llm import negatives, ranked
 from avalista.llm.queries import QUERIES, SQL
 
 rng = random.Random(11)
@@ -41,7 +41,7 @@ def ranking(docs, queries, k=10):
     return out
 
 
-@pytest.mark.parametrize("name", ["op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op13_ranked_search"])
 def test_same_as_sql(spark, sf, name):
     assert compare(QUERIES[name](spark, sf), connect(sf), SQL[name]) == ""
 
@@ -64,3 +64,58 @@ def test_ranked_search_without_rows(frame):
     docs, none = frame([(1, "a b")], "doc_id long, text string"), frame([], "doc_id long, text string")
     asked, nothing = frame([(1, "a")], "item_id long, text string"), frame([], "item_id long, text string")
     assert ranked.search(none, asked).collect() == ranked.search(docs, nothing).collect() == []
+
+
+def mined(rows, every, k, n, low=30, high=90):
+    rows = [(i, c, [math.floor(256 * x) for x in v]) for i, c, v in rows if None not in (i, c, v) and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, c, v in {(i, c, tuple(v)) for i, c, v in rows if i % every == 0}:
+        score = lambda r: sum(map(int.__mul__, v, r[2]))  # noqa: B023, E731
+        best = lambda rs, m: sorted((-s, j) for s, j in rs)[:m]
+        for p, pid in best([(score(r), r[0]) for r in rows if r[1] == c and r[0] != i], k):
+            p = -p
+            fits = [(score(r), r[0]) for r in rows if r[1] != c and r[0] != i and low * p <= 100 * score(r) <= high * p]
+            out += [(i, pid, rank + 1, j, p, -s) for rank, (s, j) in enumerate(best(fits, n))]
+    return sorted(out)
+
+
+def odd_vectors():
+    r = random.Random(2)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(5)]
+    rows = []
+    for i in range(420):
+        c = r.randrange(5)
+        rows.append((i, c if r.random() < 0.6 else r.randrange(5), [x + r.gauss(0, 0.4) for x in centres[c]], "x"))
+    rows += [(500 + i, 1, rows[3][2], "y") for i in range(40)]  # equal scores
+    rows += [(600, 2, [0.0] * 12, ""), (610, 2, [1.0] * 5, ""), (620, 2, [], ""), (630, 9, [1.0] * 12, "")]  # zero, short, empty, alone with its label
+    rows += [(640, None, [1.0] * 12, ""), (650, 1, None, ""), (None, 1, [1.0] * 12, ""), (660, 1, [None] + [1.0] * 11, ""), (670, 1, [float("nan")] * 12, ""), (680, 1, [float("inf")] * 12, "")]
+    return rows + [rows[20], rows[20], rows[7]]  # an anchor and another row again
+
+
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 50, "GROUP": 7, "SAMPLE": 30, "ANCHORS": 15}, {"SAMPLE": 400, "DEPTHS": 1, "DIMS": 5}])
+def test_hard_negatives(frame, monkeypatch, sizes):
+    """Small chunks, groups, blocks and samples change no row."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(negatives, name, value)
+    rows = odd_vectors()
+    got = negatives.hard_negatives(frame(rows, "vec_id long, label int, embedding array<double>, id string"), every=10, positives=4, negatives=6)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(tuple(r) for r in got.collect()) == mined([r[:3] for r in rows], 10, 4, 6)
+
+
+def test_hard_negatives_without_rows(frame):
+    schema = "vec_id long, label int, embedding array<float>"
+    for rows in ([], [(1, 1, [1.0])], [(0, None, [1.0])], [(0, 1, [])], [(0, 1, [1.0])]):
+        assert negatives.hard_negatives(frame(rows, schema)).collect() == []
+
+
+def test_index_leaves_out_only_what_cannot_reach():
+    """The index finds every pair at or above the threshold, and far from all pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    q, x = (np.floor(256 * r.normal(0, 1, (n, 32)) * np.linspace(2, 0.1, 32)).astype(np.int64) for n in (20, 3000))
+    scores = q @ x.T
+    least = np.quantile(scores, 0.995, axis=1)
+    a, rows = negatives._reaching(q, negatives._tails(q), least, x, negatives._tails(x))
+    assert set(zip(*np.nonzero(scores >= least[:, None]))) <= set(zip(a, rows)) and len(a) < scores.size / 20
