@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from avalista.llm import bpe, chat, contamination, html_main, imatch, near_dups, negatives, passages, ranked, secrets, toxicity, url_rules
+from avalista.llm import bpe, chat, contamination, html_main, imatch, near_dups, negatives, passages, ranked, secrets, set_join, toxicity, url_rules
 from avalista.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,20 @@ QUALIFY rank <= 10
 def op11(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10, low=30, high=90, scale=256.0, label=label)
+
+
+JOINED_SQL = f"""
+WITH RECURSIVE sh AS ({SHINGLES_SQL.format(id="doc_id", k=4, word=r"[^\x20\x09-\x0D]+", table="documents")}),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 85 * (x.n + y.n - pairs.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.r = ways.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op12_jaccard_join", JOINED_SQL)
+def op12(spark, sf_dir):
+    return set_join.joined(table(spark, sf_dir, "documents"), words=4, threshold=85).select("doc_id", "n_shingles", "component_id")

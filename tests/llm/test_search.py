@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from check import compare, connect
 
-from avalista.llm import negatives, ranked
+from avalista.llm import negatives, ranked, set_join
 from avalista.llm.queries import QUERIES, SQL
 
 rng = random.Random(11)
@@ -41,7 +41,7 @@ def ranking(docs, queries, k=10):
     return out
 
 
-@pytest.mark.parametrize("name", ["op11_hard_negatives", "op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_jaccard_join", "op13_ranked_search"])
 def test_same_as_sql(spark, sf, name):
     assert compare(QUERIES[name](spark, sf), connect(sf), SQL[name]) == ""
 
@@ -119,3 +119,85 @@ def test_index_leaves_out_only_what_cannot_reach():
     least = np.quantile(scores, 0.995, axis=1)
     a, rows = negatives._reaching(q, negatives._tails(q), least, x, negatives._tails(x))
     assert set(zip(*np.nonzero(scores >= least[:, None]))) <= set(zip(a, rows)) and len(a) < scores.size / 20
+
+
+def classes(docs, k, threshold):
+    """(id, set size, smallest id of its component) of every row, by comparing all pairs."""
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) or frozenset([tuple(words)] if words else [])
+
+    sets = [(i, shingles(t)) for i, t in docs]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, (i, s) in enumerate(sets):
+        for y, (j, t) in enumerate(sets[:x]):
+            if s and t and None not in (i, j) and 100 * len(s & t) >= threshold * len(s | t):
+                root[find(x)] = find(y)
+    least = {}
+    for x, (i, _) in enumerate(sets):
+        least[find(x)] = i if i is None else min(least.get(find(x), i), i)
+    return sorted(((i, len(s), least[find(x)]) for x, (i, s) in enumerate(sets)), key=str)
+
+
+def families(n_words, changes, copies, seed):
+    """Copies of a text with some words replaced, dropped or put in: Jaccard on both sides of the threshold."""
+    r = random.Random(seed)
+    base = ["v%d" % r.randrange(3000) for _ in range(n_words)]
+    out = []
+    for _ in range(copies):
+        words = list(base)
+        for _ in range(r.randint(0, changes)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = ["v%d" % r.randrange(3000)] * r.randrange(2)
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("threshold,block", [(85, 1 << 23), (85, 300), (70, 1 << 23)])
+def test_jaccard_join(frame, monkeypatch, threshold, block):
+    """Components of every size band, of families around the threshold, in whole buckets and in blocks."""
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    texts = families(120, 7, 90, 1) + families(40, 2, 40, 2) + families(9, 1, 40, 3) + families(600, 30, 25, 4) + families(11, 2, 40, 5) + families(2500, 70, 4, 6)
+    shared = " ".join(f"s{i}" for i in range(60))  # a passage that makes up a part of many texts
+    texts += [shared + " " + t for t in families(25, 25, 30, 7)] + ["one", "ONE", "one two", "one  two", "a b c d", "a b c d e", "", " ", None]
+    docs = [(i, t, "x") for i, t in enumerate(texts)]
+    docs += [docs[3], docs[100], (None, texts[0], "x"), (None, None, "x"), (3, "another text of this id", "x")]
+    got = set_join.joined(frame(docs, "doc_id long, text string, node string"), threshold=threshold).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == classes([d[:2] for d in docs], 4, threshold)
+
+
+def test_jaccard_join_without_rows(frame):
+    schema = "doc_id long, text string"
+    assert set_join.joined(frame([], schema)).collect() == []
+    got = set_join.joined(frame([(1, None), (2, ""), (None, "a b"), (3, "a b")], schema)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == [("1", 0, 1), ("2", 0, 2), ("3", 1, 3), ("None", 1, None)]
+
+
+def test_every_allocation_is_exact():
+    """Whatever the counters say, a pair within the threshold meets under a key."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    starts = set_join.bands(85, 4000)
+    for n in (7, 9, 13, 30, 100, 700, 3000):
+        for _ in range(30):
+            h = int(set_join.difference(n, 85))
+            whole = np.sort(r.integers(0, 1 << 63, n + h, dtype=np.uint64) * np.uint64(2))
+            cut = r.permutation(len(whole))[:h]
+            x, y = np.delete(whole, cut[: h // 2]), np.delete(whole, cut[h // 2 :])  # differ in h
+            if 100 * (n + h - h) < 85 * (n + h):
+                continue
+            x, y = sorted((x, y), key=len)
+            filed = {k for _, s in set_join.Sets(x, np.array([0, len(x)]), starts, 85).filed() if s is not None for k in [*s.whole, *(s.without_one()[0] ^ set_join.LACKING)]}
+            sets = set_join.Sets(y, np.array([0, len(y)]), starts, 85)
+            rows, seg = next(sets.filed())
+            counts = r.integers(0, 50, set_join.SLOTS) ** 3
+            used, both = set_join.allocate(seg, sets.n[rows], counts, 85)
+            keys, place = seg.without_one()
+            assert filed & {*seg.whole[used], *(seg.whole[both] ^ set_join.LACKING), *keys[both[place]]}
