@@ -21,6 +21,7 @@ from avalista.operators.curves import auc
 from avalista.operators.encoding import with_class_weight, with_exact_fold, with_fold
 from avalista.operators.features import build_features, feature_select, filter_defaults
 from avalista.operators.metrics import evaluate_lgd
+from avalista.plans.boosting import fit_boosted
 from avalista.functions.pricing import gps_category
 from avalista.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from avalista.session import ensure_checkpoint_dir
@@ -31,7 +32,9 @@ MODEL_INPUTS = ["GrAppv", "Term"]
 
 # Full-size model settings. ``trees`` can be lowered for trial runs.
 PD_PRESETS = {
-    "boosted": {"trees": 600, "step": 0.02, "depth": 4, "rows": 0.8, "columns": "0.6", "gain": 0.2, "leaf": 5, "weights": "positive", "seed": 2024},
+    "boosted": {
+        "trees": 600, "step": 0.02, "depth": 4, "rows": 0.8, "columns": 0.6, "gain": 0.2, "leaf": 5, "alpha": 1.0, "reg_lambda": 2.0, "delta": 1.0,
+        "weights": "positive", "seed": 2024},
     "random_forest": {"trees": 200, "depth": 12, "leaf": 50, "weights": "balanced", "seed": 42},
     "logistic": {"c": 0.1, "iterations": 1000, "weights": "balanced"},
     "deep_forest": {"trees": 2500, "depth": 18, "leaf": 2, "columns": "sqrt", "weights": "balanced", "seed": 2024},
@@ -39,7 +42,8 @@ PD_PRESETS = {
     "example_boosted": {"trees": 100, "step": 0.1, "depth": 5, "rows": 1.0, "columns": "all", "weights": None, "seed": 42},
 }
 LGD_PRESETS = {
-    "boosted": {"trees": 200, "step": 0.05, "depth": 6, "rows": 0.8, "columns": "0.8", "leaf": 5, "seed": 42},
+    "boosted": {
+        "trees": 200, "step": 0.05, "depth": 6, "rows": 0.8, "columns": 0.8, "gain": 0.0, "leaf": 5, "alpha": 0.1, "reg_lambda": 1.0, "delta": 0.0, "seed": 42},
     "random_forest": {"trees": 200, "depth": 10, "leaf": 20, "seed": 42},
     "gradient_boosting": {"trees": 200, "step": 0.05, "depth": 5, "rows": 0.8, "columns": "all", "leaf": 20, "seed": 42},
     "example_forest": {"trees": 100, "depth": 10, "leaf": 1, "seed": 42},
@@ -140,14 +144,13 @@ def train_pd(vectors: DataFrame, algo: str = "boosted", label="Default", **param
         return LogisticRegression(
             **common, regParam=1.0 / (p["c"] * total), elasticNetParam=0.0, standardization=False, maxIter=p["iterations"]
         ).fit(rows)
+    if "reg_lambda" in p:
+        return fit_boosted(rows, label, "weight", True, **{k: v for k, v in p.items() if k != "weights"})
     if "step" in p:
         ensure_checkpoint_dir(vectors.sparkSession)
-        # the preset's gain is a sum over rows, the library's a mean
-        least_gain = p["gain"] / max(1, rows.count()) if p.get("gain") else 0.0
         return GBTClassifier(
             **common, maxIter=p["trees"], stepSize=p["step"], maxDepth=p["depth"], subsamplingRate=p["rows"],
-            featureSubsetStrategy=p["columns"], minInfoGain=least_gain, minInstancesPerNode=p.get("leaf", 1), seed=p["seed"],
-            checkpointInterval=10,
+            featureSubsetStrategy=p["columns"], minInstancesPerNode=p.get("leaf", 1), seed=p["seed"], checkpointInterval=10,
         ).fit(rows)
     return RandomForestClassifier(
         **common, numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
@@ -176,6 +179,8 @@ def train_lgd(vectors: DataFrame, algo: str = "random_forest", label="ChgOffPrin
     """Fit a loss model; give it defaulted loans only."""
     p = _settings(LGD_PRESETS, algo, params)
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": "lgd"}
+    if "reg_lambda" in p:
+        return fit_boosted(vectors.withColumn("weight", F.lit(1.0)), label, "weight", False, **p).setPredictionCol("lgd")
     if "step" in p:
         ensure_checkpoint_dir(vectors.sparkSession)
         return GBTRegressor(
