@@ -1,14 +1,14 @@
 """Running totals and exact quantiles over a total order, without a one-task window.
 
-Running totals: a bounded sample of the rows, drawn by hash, gives cut points over the *whole* sort key, so rows that tie on the
-first column still spread as long as a later key column tells them apart. A row's part is a function of its key and the cuts,
-not of where it happens to lie, so a recomputed task sees the same parts. Each part is summed before the shuffle and on its own
-behind it; a small table of part totals gives every part its starting offset. The rows are shuffled once.
-
-Quantiles: a one-pass sketch brackets each wanted rank. A second pass keeps the
-values inside the brackets and counts the rest as one row per gap, so only a
-thin slice of the data is sorted. Every rank is then checked to lie inside a
-bracket; if one does not, all values are ranked. The plan is the same at every size.
+Running totals: the narrow rows are written once to the checkpoint folder, as they are read three times. A sample of them, drawn by hash,
+gives cut points over the *whole* sort key, so rows that tie on the first column still spread as long as a later key column tells them apart. A row's part
+is a function of its key and the cuts, not of where it happens to lie, so a recomputed task sees the same parts. Each part is summed before
+the shuffle and on its own behind it; a small table of part totals gives every part its starting offset. The rows are
+shuffled once, and the number of parts follows their number.
+
+Quantiles: a one-pass sketch brackets each wanted rank. A second pass keeps the values inside the brackets and counts the rest as one row per gap, so
+only a thin slice of the data (some 4 / ``SKETCH`` of it for each rank) is written, and sorted in its group. Every rank is then checked to lie inside a
+bracket; if one does not, all values are ranked.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from avalista.session import cut_lineage
+from avalista.session import broadcast_if_small, cut_lineage
 
 PART = "_part"
 SKETCH = 10_000  # rank error of the bracketing sketch: 1 / SKETCH
 DRAWN = 32  # sampled rows per part
-MOST_PARTS = 2_000  # bound on the parts, and with it on the cut points and part totals
-MAX_GROUPS = 100_000  # up to so many groups, their brackets are broadcast
+PART_ROWS = 1 << 20  # at most about so many rows in a part
+LEAST_ROWS = 1 << 14  # and no fewer than so many, unless there is one part
 
 
 def _sort_keys(order) -> list[tuple[Column, bool, bool]]:
@@ -57,6 +57,8 @@ def part_of(df: DataFrame, order, parts: int) -> Column:
 
     The cut points come from the ``DRAWN * parts`` rows of the smallest hash, sorted.
     """
+    if parts == 1:
+        return F.lit(0)
     keys = _sort_keys(order)
     named = df.select(*[key.alias(f"k{i}") for i, (key, _, _) in enumerate(keys)])
     drawn = named.orderBy(F.xxhash64(*named.columns)).limit(DRAWN * parts)
@@ -82,11 +84,13 @@ def running_totals(
     """Add each measure's inclusive running total along ``order``, restarted per ``by`` group.
 
     With ``totals`` the group total is added as ``<name>_total``. ``parts`` fixes
-    the number of ranges; by default it follows the session's shuffle partitions.
+    the number of ranges; by default it follows the number of rows and the session's shuffle partitions.
     """
     order, by = list(order), list(by)
-    parts = parts or min(MOST_PARTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    narrow = df.withColumns({f"_{name}_in": expr for name, expr in measures.items()})
+    narrow = cut_lineage(df.withColumns({f"_{name}_in": expr for name, expr in measures.items()}))
+    if parts is None:
+        rows = narrow.count()
+        parts = max(ceil(rows / PART_ROWS), min(ceil(rows / LEAST_ROWS), 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
     placed = narrow.withColumn(PART, part_of(df, order, parts))
     inputs = {name: F.col(f"_{name}_in") for name in measures}
 
@@ -117,21 +121,21 @@ def running_totals(
     )
 
 
-def _bracket_table(data: DataFrame, probabilities, by, sketch: int) -> DataFrame:
-    """Low and high cut around each probability, twice the sketch's error apart, per group."""
+def _bracket_table(data: DataFrame, probabilities, by, sketch: int, also=()) -> DataFrame:
+    """Low and high cut around each probability, twice the sketch's error apart, and the aggregates ``also``, per group."""
     slack = 2.0 / sketch
     cuts = [edge for p in probabilities for edge in (max(0.0, p - slack), min(1.0, p + slack))]
-    return data.groupBy(*by).agg(F.percentile_approx("_value", cuts, sketch).alias("_cuts"))
+    return data.groupBy(*by).agg(F.percentile_approx("_value", cuts, sketch).alias("_cuts"), *also)
 
 
-def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None) -> DataFrame | None:
+def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None, table: DataFrame | None = None) -> DataFrame | None:
     """Add ``_place`` and ``_gap``: values near a wanted rank keep theirs, a gap between them shares one.
 
-    ``_place`` sorts like ``_value``. None when there is nothing to bracket, or
-    there are too many groups to broadcast their brackets.
+    ``_place`` sorts like ``_value``. ``table`` has the brackets of each group, if they are known already. None when there is nothing to bracket.
     """
     value = F.col("_value")
-    table = _bracket_table(data, probabilities, by, sketch or SKETCH)
+    if table is None:
+        table = cut_lineage(_bracket_table(data, probabilities, by, sketch or SKETCH))
     if not by:
         cuts = table.first()["_cuts"]
         if not cuts:
@@ -145,23 +149,26 @@ def thin_out(data: DataFrame, probabilities, by=(), sketch: int | None = None) -
         start = F.element_at(F.array(*[F.lit(float(x)) for x in [*starts, inf]]), at)
         return cell.withColumns({"_gap": gap, "_place": F.when(gap, start).otherwise(value)}).drop("_cell")
 
-    fixed = cut_lineage(table)
-    if fixed.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        return None
-    renamed = fixed.withColumnsRenamed({b: f"_by_{b}" for b in by})
+    renamed = table.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_cuts")
     same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
-    joined = data.join(F.broadcast(renamed), same).drop(*[f"_by_{b}" for b in by])
+    joined = data.join(broadcast_if_small(renamed, written=True), same).drop(*[f"_by_{b}" for b in by])
     pairs = [(F.col("_cuts")[2 * i], F.col("_cuts")[2 * i + 1]) for i in range(len(probabilities))]
     gap = ~reduce(lambda x, y: x | y, [(value >= low) & (value <= high) for low, high in pairs])
     below = F.greatest(F.lit(-inf), *[F.when(high < value, high) for _, high in pairs])
     return joined.withColumns({"_gap": gap, "_place": F.when(gap, below).otherwise(value)}).drop("_cuts")
 
 
-def _pick(counts: DataFrame, probabilities: dict[str, float], by) -> DataFrame:
-    """Interpolated quantiles from counted values; ``_unsure`` when a rank falls into a gap."""
-    ranked = running_totals(
-        counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True
-    )
+def _in_one_window(counts: DataFrame, by) -> DataFrame:
+    group, along = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_place", "_gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumns({"_upto": F.sum("_count").over(along), "_upto_total": F.sum("_count").over(group)})
+
+
+def _in_parts(counts: DataFrame, by) -> DataFrame:
+    return running_totals(counts, [F.col("_place").asc(), F.col("_gap").asc()], {"_upto": F.col("_count")}, by, totals=True)
+
+
+def _pick(ranked: DataFrame, probabilities: dict[str, float], by) -> DataFrame:
+    """Interpolated quantiles from ranked counts of values; ``_unsure`` when a rank falls into a gap."""
     first = F.col("_upto") - F.col("_count")
     covers = lambda rank: (first <= rank) & (rank < F.col("_upto"))
     measures, unsure = [], F.lit(False)
@@ -180,22 +187,33 @@ def _pick(counts: DataFrame, probabilities: dict[str, float], by) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), sketch: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), sketch: int | None = None, also=()) -> DataFrame:
     """Linearly interpolated quantiles, one column per name; one row per ``by`` group.
 
-    Equal values are counted before any shuffle, so a hot value costs one row.
+    Equal values are counted before any shuffle, so a hot value costs one row. ``also`` are further named aggregates of the
+    rows, taken in the same pass as the sketch; with them, groups without a value stay.
     """
-    by = list(by)
+    by, also = list(by), list(also)
     value = value if isinstance(value, Column) else F.col(value)
-    data = df.select(*by, value.cast("double").alias("_value")).filter(F.col("_value").isNotNull())
-    thin = thin_out(data, list(probabilities.values()), by, sketch)
+    data = df.select(*by, value.cast("double").alias("_value"))
+    data = data if also else data.filter(F.col("_value").isNotNull())
+    table = cut_lineage(_bracket_table(data, list(probabilities.values()), by, sketch or SKETCH, also))
+    data = data.filter(F.col("_value").isNotNull())
+    thin = thin_out(data, list(probabilities.values()), by, sketch, table)
+    found = None
     if thin is not None:
-        counts = thin.groupBy(*by, "_place", "_gap").agg(F.count("*").alias("_count"))
-        found = cut_lineage(_pick(counts, probabilities, by))
-        if not found.filter("_unsure").limit(1).count():
-            return found.drop("_unsure")
-    counts = data.groupBy(*by, F.col("_value").alias("_place")).agg(F.count("*").alias("_count"))
-    return _pick(counts.withColumn("_gap", F.lit(False)), probabilities, by).drop("_unsure")
+        counts = cut_lineage(thin.groupBy(*by, "_place", "_gap").agg(F.count("*").alias("_count")))
+        found = cut_lineage(_pick(_in_one_window(counts, by), probabilities, by))
+    if found is None or found.filter("_unsure").limit(1).count():
+        counts = data.groupBy(*by, F.col("_value").alias("_place")).agg(F.count("*").alias("_count"))
+        found = _pick(_in_parts(counts.withColumn("_gap", F.lit(False)), by), probabilities, by)
+    found = found.drop("_unsure")
+    if not also:
+        return found
+    more = table.drop("_cuts").withColumnsRenamed({b: f"_by_{b}" for b in by})
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+    return more.join(broadcast_if_small(found, written=True), same, "left").select(
+        *[F.col(f"_by_{b}").alias(b) for b in by], *[x for x in more.columns if not x.startswith("_by_")], *probabilities)
 
 
 def quantiles(df: DataFrame, value, probabilities: dict[str, float], by=(), accuracy: int | None = None) -> DataFrame:

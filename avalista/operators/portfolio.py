@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from avalista.functions import segments as seg
 from avalista.operators.lookups import complete_categories, with_sector_name, with_state_name
-from avalista.operators.ordered import quantiles
-from avalista.session import broadcast_if_small, with_totals
+from avalista.operators.ordered import exact_quantiles, quantiles
+from avalista.session import broadcast_if_small, cut_lineage, with_totals
 
 c = F.col
 
@@ -172,15 +172,15 @@ def describe(loans: DataFrame, columns, accuracy: int | None = None) -> DataFram
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
     pairs = ", ".join(f"'{x}', cast(`{x}` as double)" for x in columns)
     long = loans.select(F.expr(f"stack({len(columns)}, {pairs}) as (column_name, value)"))
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    cuts = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"], accuracy)
-    return moments.join(F.broadcast(cuts), "column_name", "left")  # one row per named column
+    moments = [
+        F.count("_value").alias("n"), F.avg("_value").alias("mean"), F.stddev_samp("_value").alias("std"),
+        F.min("_value").alias("min"), F.max("_value").alias("max"),
+    ]
+    points = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    if accuracy is None:
+        return exact_quantiles(long, "value", points, ["column_name"], also=moments)
+    cuts = [F.percentile_approx("_value", p, accuracy).alias(name) for name, p in points.items()]
+    return long.withColumnRenamed("value", "_value").groupBy("column_name").agg(*moments, *cuts)
 
 
 def null_counts(loans: DataFrame, columns) -> DataFrame:
@@ -258,9 +258,9 @@ def box_stats(loans: DataFrame, value: str, by: Column, name="segment", accuracy
 
     ``by`` must have a handful of groups, such as a size class.
     """
-    data = loans.select(by.alias(name), c(value).cast("double").alias("x")).filter(
+    data = cut_lineage(loans.select(by.alias(name), c(value).cast("double").alias("x")).filter(  # read three times below
         c(name).isNotNull() & c("x").isNotNull()
-    )
+    ))
     box = quantiles(data, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [name], accuracy)
     reach = 1.5 * (c("q3") - c("q1"))
     fences = box.withColumns({"_lo": c("q1") - reach, "_hi": c("q3") + reach})

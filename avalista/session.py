@@ -77,13 +77,13 @@ def with_totals(summary: DataFrame, **totals: Column) -> DataFrame:
     return summary.withColumns({name: total.over(Window.partitionBy()) for name, total in totals.items()})
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, written: bool = False) -> DataFrame:
     """Mark ``df`` for broadcast only after counting it; otherwise leave it to AQE.
 
-    Meant for aggregates whose size depends on the data (one row per segment).
-    The aggregate is written out first, so counting it does not run it twice.
+    Meant for aggregates whose size depends on the data (one row per segment). Unless it has been already (``written``),
+    the aggregate is written out first, so counting it does not run it twice.
     """
-    fixed = cut_lineage(df)
+    fixed = df if written else cut_lineage(df)
     if fixed.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(fixed)
     return fixed

@@ -52,6 +52,19 @@ def test_running_totals_with_nulls_in_the_order(spark):
         assert got == want
 
 
+def test_parts_follow_the_rows(hot, monkeypatch):
+    order = [c("el").desc(), c("LoanNr").asc()]
+    seen = []
+    part_of = ordered.part_of
+    monkeypatch.setattr(ordered, "part_of", lambda df, order, parts: seen.append(parts) or part_of(df, order, parts))
+    for least, most in ((1 << 14, 1 << 20), (100, 1 << 20), (10, 50)):
+        monkeypatch.setattr(ordered, "LEAST_ROWS", least)
+        monkeypatch.setattr(ordered, "PART_ROWS", most)
+        got = ordered.running_totals(hot, order, {"place": F.lit(1)}).orderBy(*order).select("place").toPandas()["place"]
+        assert list(got) == list(range(1, len(got) + 1))
+    assert seen == [1, 8, 60]
+
+
 def test_running_totals_by_group_with_null_group(hot):
     got = ordered.running_totals(hot, [c("LoanNr").asc()], {"place": F.lit(1)}, ["grp"], totals=True, parts=5)
     frame = got.toPandas().sort_values("LoanNr")
@@ -179,7 +192,7 @@ def test_thinning_leaves_few_rows(hot):
 
 
 def test_wrong_brackets_fall_back_to_all_values(hot, monkeypatch):
-    wrong = lambda data, probabilities, by, sketch: data.groupBy(*by).agg(
+    wrong = lambda data, probabilities, by, sketch, also=(): data.groupBy(*by).agg(
         F.array(F.lit(1.0), F.lit(2.0)).alias("_cuts")
     )
     monkeypatch.setattr(ordered, "_bracket_table", wrong)
@@ -188,15 +201,15 @@ def test_wrong_brackets_fall_back_to_all_values(hot, monkeypatch):
     assert grouped["a"] == 1499.0
 
 
-def test_many_groups_are_ranked_in_full(hot, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_GROUPS", 1)
+def test_many_groups_are_joined(hot, monkeypatch):
+    monkeypatch.setattr(ordered, "broadcast_if_small", lambda table, **_: table)  # too many groups to broadcast
     assert {r.grp: r.m for r in ordered.exact_quantiles(hot, "LoanNr", {"m": 0.5}, ["grp"]).collect()}["a"] == 1499.0
 
 
 @pytest.mark.parametrize("mode", ["thin", "broken"])
 def test_lift_equals_the_full_curve(hot, monkeypatch, mode):
     if mode == "broken":
-        wrong = lambda data, probabilities, by, sketch: data.agg(
+        wrong = lambda data, probabilities, by, sketch, also=(): data.agg(
             F.array(F.lit(-8.0), F.lit(-6.0)).alias("_cuts")
         )
         monkeypatch.setattr(ordered, "_bracket_table", wrong)
