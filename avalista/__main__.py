@@ -7,13 +7,13 @@ import argparse
 from pyspark import StorageLevel
 
 from avalista.operators.features import build_features
-from avalista.operators.quotes import parse_application_text, quote, validate_applications
 from avalista.plans.reports import model_analysis, portfolio_report
 from avalista.plans.training import TrainConfig, score_portfolio, train_risk_model, training_fold
+from avalista.schema import APPLICATION_SCHEMA
 from avalista.session import get_session
 from avalista.sources.artifacts import load_artifacts, save_artifacts
 from avalista.sources.loans import read_loans, write_loans
-from avalista.streaming.quotes import quote_stream, read_application_stream, write_quote_stream
+from avalista.streaming.quotes import TEXT_SCHEMA, check_and_quote, read_application_stream, write_checked_quotes
 
 
 def _write_tables(tables, folder):
@@ -31,7 +31,7 @@ def train(spark, a):
         pd_params={"trees": a.trees} if a.trees and a.pd != "logistic" else {},
         lgd_params={"trees": a.trees} if a.trees else {},
     )
-    model = train_risk_model(read_loans(spark, a.loans, a.format), config)
+    model = train_risk_model(read_loans(spark, a.loans, a.format), config, resume=a.resume)
     save_artifacts(model, a.model, spark)
     print(model.metadata | {"calibration_factor": model.factor})
 
@@ -55,10 +55,7 @@ def analyze(spark, a):
 def quotes(spark, a):
     """Applications come as text columns with a header and are parsed and checked first."""
     raw = spark.read.option("header", True).csv(a.applications)
-    checked = validate_applications(parse_application_text(raw))
-    checked.filter("NOT is_valid").write.mode("overwrite").parquet(f"{a.output}/rejected")
-    priced = quote(checked.filter("is_valid"), load_artifacts(spark, a.model), fee_mode=a.fee_mode, keep=_id(checked))
-    priced.write.mode("overwrite").parquet(f"{a.output}/quotes")
+    _write_tables(check_and_quote(raw, load_artifacts(spark, a.model), fee_mode=a.fee_mode, keep=_id(raw)), a.output)
 
 
 def _id(table):
@@ -66,9 +63,11 @@ def _id(table):
 
 
 def stream(spark, a):
-    applications = read_application_stream(spark, a.applications, a.format)
-    priced = quote_stream(applications, load_artifacts(spark, a.model), fee_mode=a.fee_mode, keep=["application_id"])
-    write_quote_stream(priced, f"{a.output}/quotes", f"{a.output}/checkpoint", available_now=not a.forever).awaitTermination()
+    """As quotes, on files that arrive in a folder: text columns in CSV, typed ones in parquet."""
+    applications = read_application_stream(spark, a.applications, a.format, TEXT_SCHEMA if a.format == "csv" else APPLICATION_SCHEMA)
+    write_checked_quotes(
+        applications, a.output, f"{a.output}/checkpoint", load_artifacts(spark, a.model), fee_mode=a.fee_mode, keep=_id(applications), available_now=not a.forever
+    ).awaitTermination()
 
 
 def main(argv=None):
@@ -87,6 +86,7 @@ def main(argv=None):
     training.add_argument("--pd", default="boosted")
     training.add_argument("--lgd", default="random_forest")
     training.add_argument("--trees", type=int, help="fewer trees than the preset, for trial runs")
+    training.add_argument("--resume", help="shared folder in which fitted stages are kept and taken up again")
     training.add_argument("--calibrate-on", default="train", choices=["train", "holdout"])
     job(score, "loans", "model", "output")
     job(portfolio, "loans", "output")

@@ -223,3 +223,9 @@ def _(spark, sf):
 @query("actual_vs_predicted_el", "SELECT LoanNr, el AS predicted, ChgOffPrinGr AS actual FROM scored")
 def _(spark, sf):
     return e.actual_vs_predicted(scored(spark, sf), "el")
+
+
+@query("actual_vs_predicted_sample", "SELECT LoanNr, el AS predicted, ChgOffPrinGr AS actual FROM scored WHERE substring(md5(LoanNr::VARCHAR || '|42'), 1, 8) < '19999999'")
+def _(spark, sf):
+    """A tenth of the pairs, drawn by digest of the loan id."""
+    return e.actual_vs_predicted(scored(spark, sf), "el", fraction=0.1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avalista.functions.segments import amount_bucket
+from avalista.operators.encoding import split_hash
 from avalista.operators.curves import area, auc, ranked_scores
 from avalista.operators.portfolio import histogram, histogram_by_class
 
@@ -184,7 +185,11 @@ def segment_accuracy(scored: DataFrame, segment: Column | None = None, name="seg
 
 
 def actual_vs_predicted(scored: DataFrame, what="lgd", fraction: float = 1.0, seed: int = 42, key="LoanNr", loss="ChgOffPrinGr") -> DataFrame:
-    """Pairs for a scatter plot: LGD on defaults, EL on all loans; sampled below fraction 1."""
+    """Pairs for a scatter plot: LGD on defaults, EL on all loans.
+
+    Below fraction 1 the loans whose digest is among that lowest share of all digests: the same on every run and layout.
+    """
     rows = scored.filter(c("Default") == 1) if what == "lgd" else scored
-    pairs = rows.select(key, c(what).alias("predicted"), c(loss).alias("actual"))
-    return pairs if fraction >= 1 else pairs.sample(False, fraction, seed)
+    if fraction < 1:
+        rows = rows.filter(F.substring(split_hash(key, seed), 1, 8) < F.lit(format(int(fraction * 2**32), "08x")))
+    return rows.select(key, c(what).alias("predicted"), c(loss).alias("actual"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from hashlib import md5
 from math import sqrt
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,23 +109,26 @@ def _settings(presets, algo, params):
 def preprocessor(features: DataFrame) -> PipelineModel:
     """Scale the numeric and one-hot the categorical columns into ``features``, fitted on the input.
 
-    The library's scaler divides by the sample deviation; the constant product
-    after it turns that into the population deviation.
+    One aggregate of the input gives means, population deviations and categories. The scaler is then fitted on two
+    rows that have this mean and deviation; neither it nor the indexers see the input again.
     """
-    n = features.count()
-    to_population = sqrt(n / (n - 1)) if n > 1 else 1.0
+    sums = features.agg(
+        *[F.avg(x).alias(f"mean_{x}") for x in NUMERIC_FEATURES], *[F.stddev_pop(x).alias(f"dev_{x}") for x in NUMERIC_FEATURES],
+        *[F.sort_array(F.collect_set(c(x).cast("string"))).alias(x) for x in CATEGORICAL_FEATURES]).first()
+    if sums[f"mean_{NUMERIC_FEATURES[0]}"] is None:
+        raise ValueError("no rows to prepare")
     index = [f"{x}_index" for x in CATEGORICAL_FEATURES]
     hot = [f"cat__{x}" for x in CATEGORICAL_FEATURES]
-    return Pipeline(stages=[
-        StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="num_raw"),
-        StandardScaler(inputCol="num_raw", outputCol="num_sample", withMean=True, withStd=True),
-        ElementwiseProduct(
-            inputCol="num_sample", outputCol="num", scalingVec=Vectors.dense([to_population] * len(NUMERIC_FEATURES))
-        ),
-        VectorAssembler(inputCols=["num", *hot], outputCol="features"),
-    ]).fit(features)
+    indexers = [StringIndexerModel.from_labels(sums[x], x, out, "keep") for x, out in zip(CATEGORICAL_FEATURES, index)]
+    assembler = VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="num_raw")
+    spark = features.sparkSession
+    middle = [float(sums[f"mean_{x}"]) for x in NUMERIC_FEATURES]
+    off = [float(sums[f"dev_{x}"]) / sqrt(2) for x in NUMERIC_FEATURES]  # of two rows, the sample deviation is their distance over sqrt(2)
+    two = spark.createDataFrame([(Vectors.dense([m + way * d for m, d in zip(middle, off)]),) for way in (-1, 1)], ["num_raw"])
+    scaler = StandardScaler(inputCol="num_raw", outputCol="num", withMean=True, withStd=True).fit(two)
+    none = PipelineModel(indexers).transform(features.limit(0))  # the encoder reads the categories from the columns' attributes
+    encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(none)
+    return PipelineModel([*indexers, encoder, assembler, scaler, VectorAssembler(inputCols=["num", *hot], outputCol="features")])
 
 
 def feature_names(vectors: DataFrame, column="features") -> list[str]:
@@ -193,11 +198,40 @@ def train_lgd(vectors: DataFrame, algo: str = "random_forest", label="ChgOffPrin
     ).fit(vectors)
 
 
-def train_risk_model(loans: DataFrame, config: TrainConfig | None = None) -> RiskModel:
+class Stages:
+    """Fitted stages of a training, kept under a key of configuration and input, so that a training can be taken up again.
+
+    A stage counts as kept only once its mark is written, which happens after the stage itself.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None, key: str = ""):
+        self.spark, self.folder = spark, folder and f"{folder}/{key}"
+
+    def get(self, name: str, fit):
+        if not self.folder:
+            return fit()
+        path, mark = f"{self.folder}/{name}", self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.done")
+        files = mark.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(mark):
+            return PipelineModel.load(path) if name == "preprocessor" else DefaultParamsReader.loadParamsInstance(path, self.spark)
+        model = fit()
+        model.write().overwrite().save(path)
+        files.create(mark).close()
+        return model
+
+
+def training_key(features: DataFrame, cfg: TrainConfig) -> str:
+    """A digest of the configuration and of all rows, whatever their order."""
+    mark = features.agg(F.count("*"), F.bit_xor(F.xxhash64(*features.columns)), F.sum(F.xxhash64(*features.columns).cast("decimal(38,0)"))).first()
+    return md5(f"{sorted(vars(cfg).items())}|{tuple(mark)}".encode()).hexdigest()
+
+
+def train_risk_model(loans: DataFrame, config: TrainConfig | None = None, resume: str | None = None) -> RiskModel:
     """Prepare, split, fit, calibrate and evaluate; returns the model with its figures.
 
-    ``calibrate_on='holdout'`` fits the probability map on the test fold instead
-    of the rows the classifier saw.
+    ``calibrate_on='holdout'`` fits the probability map on the test fold instead of the rows the classifier saw. With
+    ``resume``, a folder on shared storage, each fitted stage is saved there, and a training of the same configuration and loans
+    that stopped goes on behind its last saved stage.
     """
     cfg = config or TrainConfig()
     prepared = training_fold(build_features(loans), vars(cfg))
@@ -206,18 +240,18 @@ def train_risk_model(loans: DataFrame, config: TrainConfig | None = None) -> Ris
     features = features.repartition(c(cfg.key), c("GrAppv"), c("Term")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train, test = features.filter(c("fold") == "train"), features.filter(c("fold") == "test")
-        prep = preprocessor(train)
+        stages = Stages(loans.sparkSession, resume, training_key(features, cfg) if resume else "")
+        prep = stages.get("preprocessor", lambda: preprocessor(train))
         vectors = prep.transform(train).select("features", "Default", "ChgOffPrinGr")
-        pd_model = train_pd(vectors, cfg.pd_algo, **cfg.pd_params)
-        pd_model.setPredictionCol("pd_class")
+        pd_model = stages.get("pd_model", lambda: train_pd(vectors, cfg.pd_algo, **cfg.pd_params).setPredictionCol("pd_class"))
         if cfg.calibrate_on == "train":
             calibration_rows = vectors
         elif cfg.calibrate_on == "holdout":
             calibration_rows = prep.transform(test)
         else:
             raise ValueError(f"unknown calibrate_on {cfg.calibrate_on!r}")
-        calibrator = calibrate_isotonic(pd_model.transform(calibration_rows))
-        lgd_model = train_lgd(filter_defaults(vectors), cfg.lgd_algo, **cfg.lgd_params)
+        calibrator = stages.get("calibrator", lambda: calibrate_isotonic(pd_model.transform(calibration_rows)))
+        lgd_model = stages.get("lgd_model", lambda: train_lgd(filter_defaults(vectors), cfg.lgd_algo, **cfg.lgd_params))
         model = RiskModel(prep, pd_model, calibrator, lgd_model)
 
         on_train = model.score(train).select(*MODEL_INPUTS, "ChgOffPrinGr", "el")

@@ -81,7 +81,8 @@ def test_quotes_and_stream(spark, sf, folder):
     table.write.parquet(str(folder / "arriving"))
     main(["stream", str(folder / "arriving"), str(folder / "model"), str(folder / "streamed")])
     streamed = spark.read.parquet(str(folder / "streamed" / "quotes"))
-    assert streamed.count() == 1500
+    assert streamed.count() == priced.count()
+    assert spark.read.parquet(str(folder / "streamed" / "rejected")).count() == rejected.count()
     pairs = priced.join(
         streamed.select(c("application_id").cast("string").alias("application_id"), c("monthly_payment").alias("other")),
         "application_id",

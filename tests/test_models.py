@@ -102,6 +102,26 @@ def test_save_and_load(spark, model, table, tmp_path):
         load_artifacts(spark, str(tmp_path / "nothing"))
 
 
+def test_training_goes_on_where_it_stopped(table, model, tmp_path, monkeypatch):
+    """A training that is lost after the PD stage fits neither that nor the preparation again."""
+    fitted = []
+    for name in ("preprocessor", "train_pd", "calibrate_isotonic", "train_lgd"):
+        monkeypatch.setattr(m, name, lambda *a, _name=name, _fit=getattr(m, name), **k: fitted.append(_name) or _fit(*a, **k))
+    lost = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost"))
+    with monkeypatch.context() as now:
+        now.setattr(m, "calibrate_isotonic", lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            m.train_risk_model(table, SMALL, resume=str(tmp_path))
+    assert fitted == ["preprocessor", "train_pd"]
+    again = m.train_risk_model(table, SMALL, resume=str(tmp_path))
+    assert fitted == ["preprocessor", "train_pd", "calibrate_isotonic", "train_lgd"]
+    assert again.metadata["n_train"] == model.metadata["n_train"] and again.metadata["pd_auc"] == pytest.approx(model.metadata["pd_auc"])
+    m.train_risk_model(table, SMALL, resume=str(tmp_path))
+    assert len(fitted) == 4
+    m.train_risk_model(table.limit(900), SMALL, resume=str(tmp_path))  # other loans, other stages
+    assert len(fitted) == 8
+
+
 def test_quotes_from_a_model(spark, sf, model):
     raw = applications(spark, sf, customer=True).drop("pd", "lgd")
     got = quote(raw, model, keep=["application_id"])
