@@ -5,13 +5,14 @@ above them. A bidirectional LSTM in numpy reads, block by block, the hashed path
 sizes, and labels every block as main text or not with the whole page as context; blocks of one parent element share
 their mean logit. The main text is the blocks so labelled, in page order.
 
-The labeller is trained here, on a bounded sample of pages (``Settings.pages``, each at most ``page_chars`` long, drawn by hash of id and url). Pages that
+The labeller is trained here, on a bounded sample of pages (``Settings.pages``, each at most ``page_chars`` long, drawn by hash of the html, equal pages once). Pages that
 mark their article themselves (``article`` or ``main``) teach which blocks are main text; each is also re-dressed: its own blocks are
 dealt into layouts with other tags, class names and additional menus, notices, side bars, forms, adverts and reader comments, sometimes with names that tell
 nothing, so the labeller does not rest on one template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Scripts, styles, titles,
-form controls, comments and markup are never text. Broken markup is read as far as it goes; unclosed elements end with their parent. A null or
+form controls, comments and markup are never text. Broken markup is read as far as it goes; unclosed elements end with their parent, and of an
+unclosed button, object or the like only the text up to the next tag is left out. Of more than ``2 * FAR`` nested elements, the innermost and outermost ``FAR`` make the path. A null or
 blank html gives an empty text; rows are independent, so repeated rows and null ids are returned as they are; an empty table gives an empty result.
 """
 
@@ -21,6 +22,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -29,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PART = re.compile(r"[A-Za-z]+")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style template noscript title textarea select svg iframe object canvas audio video math button".split())
+RAW = frozenset("script style textarea title".split())  # without an end tag they run to the end of the page
+FAR = 32  # so many outermost and innermost elements make a path
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
@@ -59,10 +64,60 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+def _tag_end(page: str, at: int, dead: bytearray) -> int:
+    """Where the tag whose name ends at ``at`` ends: at the first ``>`` outside of quotes, else at the first one, else -1.
+
+    ``dead`` marks the places from which, outside of quotes, no such ``>`` follows; as no scan enters one twice, all scans of a page together are linear.
+    """
+    place, seen = at, []
+    while True:
+        quote = -1
+        if not dead[place]:
+            found = STOP.search(page, place)
+            if found is not None and found[0] == ">":
+                return found.start()
+            seen.append((place, found.start() if found else len(page)))
+            quote = page.find(found[0], found.end()) if found else -1
+        if quote < 0:
+            for start, end in seen:
+                dead[start : end + 1] = b"\1" * (end + 1 - start)
+            return page.find(">", at)
+        place = quote + 1
+
+
+def _tokens(page: str):
+    """(start, end, closing, tag, attributes) of the tags of a page, and of comments and declarations with a tag of None."""
+    at, last, dead = 0, page.rfind(">"), bytearray(len(page) + 2)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, None, ""
+        elif at > last:  # no tag ends from here on
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, False, None, ""
+        elif (m := TAG.match(page, at)) and (close := _tag_end(page, m.end(), dead)) >= 0:
+            end = close + 1
+            skip = yield at, end, bool(m[1]), m[2].lower(), page[m.end() : close]
+            if skip:
+                end = skip
+                yield
+        else:
+            end = at + 1
+        at = end
+
+
 def read_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page."""
+    """The leaf blocks of a page, in time linear in its length."""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int]] = [("", (), 0)]  # tag, names, number
+    opened: Counter[str] = Counter()  # elements of the stack by tag
+    ends: dict[str, int] = {}  # the last end tag of skipped elements
     made, links, held, in_link = 0, 0, [], 0
 
     def flush():
@@ -70,32 +125,36 @@ def read_blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                path = tuple(n for _, names, _ in stack for n in names)
+                above = stack if len(stack) <= 2 * FAR else stack[:FAR] + stack[-FAR:]
+                path = tuple(n for _, names, _ in above for n in names)
                 parent = stack[-2][2] if len(stack) > 1 else 0
                 blocks.append(Block(path, text, min(1.0, in_link / max(1, len(text))), parent))
         held, in_link = [], 0
 
-    def close(upto: int):
-        nonlocal links
-        flush()
+    def leave(upto: int):
+        opened.subtract(tag for tag, _, _ in stack[upto:])
         del stack[upto:]
 
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            break
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def innermost(tag: str, stop=()) -> int:
+        """The place of the innermost open element of a tag, 0 if there is none before an element of ``stop``."""
+        if opened[tag] > 0:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == tag:
+                    return i
+                if stack[i][0] in stop:
+                    break
+        return 0
+
+    at, tokens = 0, _tokens(page)
+    for start, end, closing, tag, attributes in tokens:
+        if start > at:
+            piece = page[at:start]
             held.append(piece)
             if links:
                 in_link += len(piece.strip())
-        at = m.end()
-        tag = m[2] or m[5]
+        at = end
         if tag is None:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -104,21 +163,26 @@ def read_blocks(page: str) -> list[Block]:
             held.append(" ")
             continue
         if closing:
+            flush()
             if tag in ("html", "body"):
-                flush()
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                flush()
+            if i := innermost(tag):
+                leave(i)
             links = 0
             continue
         if tag in SKIPPED:
             if not attributes.endswith("/"):
-                found = re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I).search(page, at)
-                at = found.end() if found else end
+                over = re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I)
+                if tag not in ends:
+                    ends[tag] = max((m.start() for m in over.finditer(page, at)), default=-1)
+                if ends[tag] >= at:
+                    at = over.search(page, at).end()
+                elif tag in RAW:
+                    at = len(page)
+                else:  # never closed: its own text, up to the next tag
+                    at = found if (found := page.find("<", at)) >= 0 else len(page)
+                if at > end:
+                    tokens.send(at)
             held.append(" ")
             continue
         flush()
@@ -126,16 +190,14 @@ def read_blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
+            leave(len(stack) - 1)
         elif tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SAME[tag]:
-                    break
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if i := innermost(tag, SAME[tag]):
+                leave(i)
         made += 1
         stack.append((tag, _names(tag, attributes), made))
+        opened[tag] += 1
+    held.append(page[at:])
     flush()
     return blocks
 
@@ -458,7 +520,7 @@ def dress(main: list[Block], rest: list[str], lines: list[str], rng: random.Rand
 
 def learn(pages: DataFrame, settings: Settings = Settings(), html_col: str = "html") -> dict[str, np.ndarray]:
     """Weights learned from a bounded sample of the pages. The driver holds at most ``pages`` pages of ``page_chars``."""
-    draw = pages.select(html_col).filter((F.length(html_col) > 0) & (F.length(html_col) <= settings.page_chars)).select(html_col, F.xxhash64(html_col, F.lit(settings.seed)).alias("draw"))
+    draw = pages.select(html_col).filter((F.length(html_col) > 0) & (F.length(html_col) <= settings.page_chars)).select(html_col, F.xxhash64(html_col, F.lit(settings.seed)).alias("draw")).distinct()
     rows = draw.orderBy("draw").limit(settings.pages).toArrow().to_pylist()
     rng = random.Random(settings.seed)
     taught = [(blocks, y) for r in rows if (blocks := read_blocks(r[html_col])) and (y := teach(blocks)) is not None and y.any()]

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,20 @@ def test_reading_blocks():
     assert "k" in " ".join(b.text for b in html_main.read_blocks("<a 'x" * 3 + "<p>k</p>"))  # quotes that never close
 
 
+@pytest.mark.parametrize("page", [
+    "<div " * 200_000, "<div>x" * 170_000, "<a \">\" " * 150_000, "<a '\"> " * 120_000, "<button>x" * 110_000, "<div>" * 80_000 + "</p>" * 150_000, "<script>" * 120_000, "<!--" * 250_000,
+], ids=["open", "nested", "quotes", "odd", "buttons", "ends", "scripts", "comments"])
+def test_long_broken_pages_are_read_in_linear_time(page):
+    start = time.perf_counter()
+    html_main.read_blocks(page)
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("page", ["<button class=x>Menu<article><p>One two.</p></article>", "<object data=x>Menu<article><p>One two.</p></article>", "<svg>Menu<div><p>One two.</p>"])
+def test_unclosed_elements_do_not_swallow_the_page(page):
+    assert [b.text for b in html_main.read_blocks(page)] == ["One two."]
+
+
 def test_other_layouts(spark, sf):
     pages = [html_main.read_blocks(r["html"]) for r in table(sf, "pages")]
     taught = [(b, html_main.teach(b)) for b in pages]
@@ -223,7 +238,12 @@ def test_pipeline(spark, sf):
 
 
 def test_stages_keep_columns(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_key", F.lit("clash")).withColumn("score", F.lit("clash"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns
+    """Names, types and values: no stage puts a column of its own in the place of one it was given."""
+    clashing = ["_key", "_spans", "score", "threshold", "toxic", "node", "h"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({x: F.lit(f"{x} clash") for x in clashing})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        same = [x for x in docs.columns if name != "secret_scan" or x not in ("text", "n_chars")]
+        assert out.count() and out.select(*same).exceptAll(docs.select(*same)).count() == 0
         assert stage(spark, docs.limit(0), sf).collect() == []
