@@ -24,6 +24,7 @@ other than id and text are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -85,18 +86,23 @@ def weak_parts(text: str, low: str, strong: list[tuple[str, int, int]]) -> list[
              for m in BARE.finditer(text))
     found += [("weak", *m.span()) for m, ok in zip(BARE.finditer(text), mixed) if ok]
     found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    taken, kept = strong, []
+    starts, ends, kept = [], [], []  # what is taken, as disjoint intervals in order
+    for _, start, end in sorted(strong, key=lambda s: s[1]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for part in sorted({*identifiers, *found}, key=lambda s: (KINDS.index(s[0]), s[1], s[2])):
-        if all(part[2] <= a or b <= part[1] for _, a, b in near(taken, part)):
+        at = bisect_right(ends, part[1])  # the first interval that ends behind the part's start
+        if at == len(ends) or starts[at] >= part[2]:
             kept.append(part)
-            taken = sorted([*taken, part], key=lambda s: s[1]) if part[0] != "endpoint" else taken
+            if part[0] != "endpoint":
+                starts.insert(at, part[1])
+                ends.insert(at, part[2])
     return kept
 
 
-def near(spans, part):
-    return (s for s in spans if s[1] < part[2] and part[1] < s[2])
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, ``text_key``, strong spans and candidate parts, in one pass over the texts."""
 

@@ -1,7 +1,9 @@
 """Secret spans against a plain reading of the patterns, and linking by scope."""
 
 import hashlib
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -86,3 +88,28 @@ def test_long_parts_meet_what_stands_on_either_side(frame):
         at = r.id // 4
         assert [("weak", 1812), ("weak", 1800), ("identifier", 1505), ("endpoint", 1818)][at] in got, (r.id, got)
         assert len(got) == (3 if at == 3 else 2)
+
+
+def test_long_logs_are_scanned_in_linear_time():
+    text = "\n".join(f"user=bob{i} pass=hunter{i}xx" for i in range(40_000))
+    start = time.perf_counter()
+    assert len(secrets.weak_parts(text, text.lower(), secrets.strong_spans(text, text.lower()))) == 80_000
+    assert time.perf_counter() - start < 5
+
+
+def test_linking_equals_all_pairs(frame):
+    """Parts in random places: linked if and only if a complement stands within the scope, all pairs compared."""
+    r = random.Random(4)
+    pieces = ["user=robin", "login: kim_1", "pass=hunter2xx", "pwd=longer-than-that", "https://example.net/api", "AKIA" + "Q" * 16, "filler words"]
+    docs = [(i, "".join(r.choice(pieces) + " " + "x " * r.choice([0, 3, 50, 119, 121, 130, 400]) for _ in range(r.randint(1, 12)))) for i in range(60)]
+    got = {row.id: sorted(tuple(s) for s in row.spans) for row in secrets.find_secrets(frame(docs, "doc_id long, text string")).collect()}
+    side = lambda kind: "id" if kind in ("identifier", "access") else "at" if kind == "endpoint" else "secret"
+    for i, text in docs:
+        strong = secrets.strong_spans(text, text.lower())
+        parts = secrets.weak_parts(text, text.lower(), strong)
+        want = set(strong)
+        for kind, a, b in parts:
+            near = {side(k) for k, c, d in [*strong, *parts] if max(c - b, a - d) <= secrets.SCOPE and side(k) != side(kind)}
+            if {"identifier": "secret" in near, "weak": "id" in near, "endpoint": {"id", "secret"} <= near}[kind]:
+                want.add((kind, a, b))
+        assert got[i] == sorted(want)
