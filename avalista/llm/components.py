@@ -33,5 +33,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        if mark["n"]:
+            raise RuntimeError(f"components are not settled after {STEPS} steps")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
