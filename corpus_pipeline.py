@@ -20,7 +20,8 @@ from avalista.session import scratch_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score reaches the threshold of their language."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+    scored = toxicity.score_documents(docs, model)
+    return scored.filter(~F.col(scored.columns[-1])).select(*docs.columns)  # its verdict is the last column, whatever the input's names
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
