@@ -10,13 +10,14 @@
    looked up with a difference of up to one (its own one-deletion subsets against filed ones, and itself against filed deletions) covers two. Which segments
    are left out and which are looked up in both ways is chosen by cost: how often subsets of this key occur, from a table of ``SLOTS`` counters over the
    filed subsets of all nodes. So frequent subsets (empty ones, boilerplate) are avoided where others can cover for them. Any such choice is exact.
-5. Sets that meet under a key are candidates. They are not all paired up: in every key's bucket its members are paired with one centre, and once more with
-   another one where the bucket still holds several components of the links found. What is then left are the buckets that hold members of
-   several components. Their members are dealt in blocks of about ``BLOCK`` shingles; each pair of blocks of a bucket is one task's work, which compares
-   the rows of different components. So no link between components is lost, and none is looked for within one.
-6. A pair goes on if its sizes allow the threshold and so do its *parity bitmaps* (as many bits as the set has shingles or up to twice that; each shingle flips
-   one): two bitmaps differ in no more bits than the sets have different shingles, so this excludes only what cannot link. What is left is verified
-   on the full sets.
+5. A pair of candidates goes on if its sizes allow the threshold and so do its *parity bitmaps* (as many bits as the set has shingles or up to twice that; each
+   shingle flips one): two bitmaps differ in no more bits than the sets have different shingles, so this excludes only what cannot link. What goes on is
+   verified on the full sets.
+6. Sets that meet under a key are not all paired up. In every key's bucket its members are paired with one centre, and the links found give
+   components. What is then left are the buckets that hold members of several components. Their members are dealt in blocks of about ``BLOCK`` shingles; each pair of
+   blocks of a bucket is one task's work. A first pass keeps the members whose bitmaps allow a link with a member of another component; a second one, over these
+   with their full sets, returns fewer links than it has rows, as what a link has joined is not compared again. So no link between components is lost, and
+   none is looked for within one.
 
 Odd cases: a row without words is linked with nothing; a null id takes no part and its component is null; rows of one id are texts of
 their own, each with the component of its text; an empty table gives an empty result; texts of any length are read whole; other columns are not read. Shingles are told apart by 64-bit hashes.
@@ -278,43 +279,99 @@ def _with_sides(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs
 
 
-def bucket_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a < b of rows of different components of a bucket whose sizes and bitmaps allow the threshold. ``rows`` has key, node, comp, n and bits."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks of its bucket that its own block is part of: low, high, and its own as ``mine``."""
     sizes = rows.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, F.col("key") == F.col("_key")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-
-    def compare(rows):
-        node, comp, mine, n = (rows[c].to_numpy() for c in ("node", "comp", "mine", "n"))
-        low, high, found = rows["low"][0].as_py(), rows["high"][0].as_py(), []
-        lists = rows["bits"].combine_chunks()
-        width, at, words = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        at_width = {w: np.full(len(n), -1) for w in np.unique(width).tolist()}
-        bits = {}
-        for w in at_width:  # every row that has w words, or twice as many, as w words
-            own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-            at_width[w][own], at_width[w][twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
-            folded = words[at[twice][:, None] + np.arange(w)] ^ words[at[twice][:, None] + w + np.arange(w)]
-            bits[w] = np.concatenate([words[at[own][:, None] + np.arange(w)], folded])
-        left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
-        for i in left:
-            js = right[comp[right] != comp[i]]
-            js = js[js > i] if low == high else js
-            js = js[100 * np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i])]
-            for w in {min(x, width[i]) for x in np.unique(width[js]).tolist()}:
-                ks = js[np.minimum(width[js], width[i]) == w]
-                for k in range(0, len(ks), 4096):
-                    part = ks[k : k + 4096]
-                    differ = np.bitwise_count(bits[w][at_width[w][part]] ^ bits[w][at_width[w][i]]).sum(1, dtype=np.int64)
-                    part = part[(100 + threshold) * differ <= (100 - threshold) * (n[part] + n[i])]
-                    if len(part):
-                        found.append((np.minimum(node[part], node[i]), np.maximum(node[part], node[i])))
+    return dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("_key", "blocks", "other")
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and their offsets."""
+    column = column.combine_chunks()
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
+
+
+class Bucket:
+    """The rows of a pair of blocks: for a row, those of other components that sizes and bitmaps allow."""
+
+    def __init__(self, rows: pa.Table, threshold: int):
+        self.node, self.comp, mine, self.n = (rows[c].to_numpy() for c in ("node", "comp", "mine", "n"))
+        self.comp, self.threshold = self.comp.copy(), threshold
+        self.low, self.high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        self.left, self.right = np.flatnonzero(mine == self.low), np.flatnonzero(mine == self.high)
+        words, at = _lists(rows["bits"])
+        words, self.width = words.view(np.uint64), np.diff(at)
+        self.bits, self.place = {}, {}
+        for w in np.unique(self.width).tolist():  # every row of w words, or of twice as many, as w words
+            own, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            self.place[w] = np.full(len(self.n), -1)
+            self.place[w][own], self.place[w][twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            one = np.arange(w)
+            self.bits[w] = np.concatenate([words[at[own][:, None] + one], words[at[twice][:, None] + one] ^ words[at[twice][:, None] + w + one]])
+
+    def partners(self, i: int) -> np.ndarray:
+        n, t, out = self.n, self.threshold, []
+        js = self.right[self.comp[self.right] != self.comp[i]]
+        js = js[js > i] if self.low == self.high else js
+        js = js[100 * np.minimum(n[js], n[i]) >= t * np.maximum(n[js], n[i])]
+        shorter = np.minimum(self.width[js], self.width[i])
+        for w in np.unique(shorter).tolist():
+            ks = js[shorter == w]
+            for k in range(0, len(ks), 4096):
+                part = ks[k : k + 4096]
+                differ = np.bitwise_count(self.bits[w][self.place[w][part]] ^ self.bits[w][self.place[w][i]]).sum(1, dtype=np.int64)
+                out.append(part[(100 + t) * differ <= (100 - t) * (n[part] + n[i])])
+        return np.concatenate(out) if out else js
+
+
+BUCKET = ["key", "low", "high", "node", "comp", "mine", "n", "bits"]
+
+
+def bucket_members(rows: DataFrame, threshold: int) -> DataFrame:
+    """Of ``rows`` (key, node, comp, n, bits), those that may link with a row of another component of their bucket."""
+
+    def keep(rows):
+        if len(set(rows["comp"].to_pylist())) > 1:
+            bucket, found = Bucket(rows, threshold), np.zeros(len(rows), bool)
+            for i in bucket.left:
+                js = bucket.partners(i)
+                found[js] = True
+                found[i] |= len(js) > 0
+            yield from rows.filter(pa.array(found)).select(["key", "node", "comp", "n", "bits"]).to_batches()
+
+    return by_group(_dealt(rows).select(*BUCKET), ["key", "low", "high"], ["node"], keep, "key bigint, node bigint, comp bigint, n bigint, bits array<bigint>")
+
+
+def bucket_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links a, b that join the components within each bucket, as far as they can be joined. ``rows`` has key, node, comp, n, bits and values."""
+
+    def link(rows):
+        bucket, found = Bucket(rows, threshold), []
+        values, at = _lists(rows["values"])
+        codes = np.unique(values, return_inverse=True)[1]
+        held = np.zeros(len(values) + 1, bool)
+        comp, n = bucket.comp, bucket.n
+        for i in bucket.left:
+            js = bucket.partners(i)
+            if not len(js):
+                continue
+            held[codes[at[i] : at[i + 1]]] = True
+            ends = np.cumsum(n[js])
+            total = np.concatenate([[0], np.cumsum(held[codes[np.arange(ends[-1]) + np.repeat(at[js] - (ends - n[js]), n[js])]])])
+            shared = total[ends] - total[ends - n[js]]
+            held[codes[at[i] : at[i + 1]]] = False
+            for j in js[100 * shared >= threshold * (n[js] + n[i] - shared)]:
+                if comp[j] != comp[i]:
+                    found.append((bucket.node[i], bucket.node[j]))
+                    comp[comp == comp[j]] = comp[i]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    columns = ["key", "low", "high", "node", "comp", "mine", "n", "bits"]
-    return by_group(dealt.select(*columns), ["key", "low", "high"], ["node"], compare, "a bigint, b bigint")
+    return by_group(_dealt(rows).select(*BUCKET, "values"), ["key", "low", "high"], ["node"], link, "a bigint, b bigint")
 
 
 def joined(docs: DataFrame, words: int = 4, threshold: int = 85) -> DataFrame:
@@ -323,44 +380,32 @@ def joined(docs: DataFrame, words: int = 4, threshold: int = 85) -> DataFrame:
     known = marks.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     nodes = cut_lineage(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("bits", "doc_id").alias("bits")))
     n_nodes, most = nodes.agg(F.count("*"), F.max("n")).first()
-    labels = None
-
-    def comps(df, node, to):
-        if labels is None:
-            return df.withColumn(to, F.col(node))
-        side = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        return df.join(side, F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_l", node)).drop("_n", "_l")
+    whole = nodes.select("node", "rep", F.col("node").alias("root"))
 
-    def verified(pairs):
-        """Links among the pairs; those that are not excluded beforehand are compared on their sets."""
-        pairs = cut_lineage(pairs)
-        used = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-        sets = cut_lineage(full_sets(docs, nodes.join(used, F.col("node") == F.col("w")).select("node", F.col("rep").alias("doc_id")), words))
-        return cut_lineage(confirm(pairs, sets, threshold))
+    def sets_of(used):
+        """The full sets of the nodes in the column ``w``."""
+        return cut_lineage(full_sets(docs, nodes.join(used.distinct(), F.col("node") == F.col("w")).select("node", F.col("rep").alias("doc_id")), words))
 
-    def starred(rows):
-        pairs = rows.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        return _with_sides(pairs, nodes).filter(allowed(threshold)).select("a", "b")
+    def with_label(df, labels, node, to):
+        return df.join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col(node) == F.col("_n"), "left").withColumn(to, F.coalesce("_l", node)).drop("_n", "_l")
 
     if n_nodes > 1:
         members = candidates(docs, nodes, n_nodes, most, words, threshold)
-        links = verified(starred(members))
-        labels = connected_components(links)
-
-        def apart():
-            """Members of buckets that hold several components, with another centre."""
-            rows = comps(members.select("key", "node"), "node", "comp")
-            split = rows.groupBy(F.col("key").alias("_key")).agg(
-                F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node")).alias("c")).filter("lo < hi")
-            return rows.join(split, F.col("key") == F.col("_key")).select("key", "node", "comp", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
-
-        links = links.unionByName(verified(starred(apart().filter("comp <> centre_comp"))))
-        labels = connected_components(links)
-        rows = apart().join(nodes.select(F.col("node").alias("_node"), "n", "bits"), F.col("node") == F.col("_node")).drop("_node", "centre", "centre_comp")
-        links = links.unionByName(verified(bucket_pairs(rows, threshold).distinct()))
-        labels = connected_components(links)
-
-    whole = comps(nodes.select("node", "rep"), "node", "root")
+        stars = members.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        stars = cut_lineage(_with_sides(stars, nodes).filter(allowed(threshold)).select("a", "b"))
+        labels = connected_components(confirm(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("w"))), threshold))
+
+        rows = with_label(members.select("key", "node"), labels, "node", "comp")
+        split = rows.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        rows = rows.join(split, F.col("key") == F.col("_key")).select("key", F.col("node").alias("_node"), "comp")
+        rows = rows.join(nodes.select("node", "n", "bits"), F.col("node") == F.col("_node")).drop("_node")
+        rows = cut_lineage(bucket_members(rows, threshold))
+        sets = sets_of(rows.select(F.col("node").alias("w"))).withColumnRenamed("node", "_node")
+        links = bucket_links(rows.join(sets, F.col("node") == F.col("_node")).drop("_node"), threshold)
+        links = with_label(with_label(links, labels, "a", "a_comp"), labels, "b", "b_comp")  # between the components of before
+        joins = connected_components(links.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+        whole = with_label(with_label(nodes.select("node", "rep"), labels, "node", "comp"), joins, "comp", "root")
+
     ids = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = whole.join(ids.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id")
     return marks.join(named, F.col("node") == F.col("_node"), "left").select(
