@@ -330,8 +330,8 @@ class Bucket:
 BUCKET = ["key", "low", "high", "node", "comp", "mine", "n", "bits"]
 
 
-def bucket_members(rows: DataFrame, threshold: int) -> DataFrame:
-    """Of ``rows`` (key, node, comp, n, bits), those that may link with a row of another component of their bucket."""
+def bucket_members(rows: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """Of ``rows`` (key, node, comp, n), those that may link with a row of another component of their bucket, with their bitmaps from ``nodes``."""
 
     def keep(rows):
         if len(set(rows["comp"].to_pylist())) > 1:
@@ -342,7 +342,8 @@ def bucket_members(rows: DataFrame, threshold: int) -> DataFrame:
                 found[i] |= len(js) > 0
             yield from rows.filter(pa.array(found)).select(["key", "node", "comp", "n", "bits"]).to_batches()
 
-    return by_group(_dealt(rows).select(*BUCKET), ["key", "low", "high"], ["node"], keep, "key bigint, node bigint, comp bigint, n bigint, bits array<bigint>")
+    dealt = _dealt(rows).join(nodes.select(F.col("node").alias("_node"), "bits"), F.col("node") == F.col("_node"))  # bitmaps travel once
+    return by_group(dealt.select(*BUCKET), ["key", "low", "high"], ["node"], keep, "key bigint, node bigint, comp bigint, n bigint, bits array<bigint>")
 
 
 def bucket_links(rows: DataFrame, threshold: int) -> DataFrame:
@@ -395,11 +396,10 @@ def joined(docs: DataFrame, words: int = 4, threshold: int = 85) -> DataFrame:
         stars = cut_lineage(_with_sides(stars, nodes).filter(allowed(threshold)).select("a", "b"))
         labels = connected_components(confirm(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("w"))), threshold))
 
-        rows = with_label(members.select("key", "node"), labels, "node", "comp")
+        rows = with_label(members.select("key", "node", "n"), labels, "node", "comp")
         split = rows.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        rows = rows.join(split, F.col("key") == F.col("_key")).select("key", F.col("node").alias("_node"), "comp")
-        rows = rows.join(nodes.select("node", "n", "bits"), F.col("node") == F.col("_node")).drop("_node")
-        rows = cut_lineage(bucket_members(rows, threshold))
+        rows = rows.join(split, F.col("key") == F.col("_key")).select("key", "node", "comp", "n")
+        rows = cut_lineage(bucket_members(rows, nodes, threshold))
         sets = sets_of(rows.select(F.col("node").alias("w"))).withColumnRenamed("node", "_node")
         links = bucket_links(rows.join(sets, F.col("node") == F.col("_node")).drop("_node"), threshold)
         links = with_label(with_label(links, labels, "a", "a_comp"), labels, "b", "b_comp")  # between the components of before
