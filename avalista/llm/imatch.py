@@ -5,28 +5,37 @@ Terms are runs of letters and digits in lower case. The lexicon holds the terms
 frequencies are counted over all documents in ``2**BUCKET_BITS`` hash buckets, so both the count's shuffle and the lexicon, a
 bitmap of buckets, have a fixed size at any corpus size.
 
-A classic I-Match digest changes with any one term. Here each of ``FAMILIES`` families draws a random bit pattern; its lexicon subsets are the
-terms whose hash begins with the pattern's first bits, each longer prefix keeping about half of the terms. A text uses, of each family, the
-sparsest subset in which it still has a term, and hashes its sorted distinct terms of that subset. The
-fingerprint is the family digests in order; likeness is the share of families that agree. A text with no lexicon term uses all its terms.
-
-Null texts count as empty: their digests are those of no terms. Equal texts have equal fingerprints. Rows with a null id come first in the
-order of documents; equal ids are ordered by their texts. An empty table gives an empty result.
+A classic I-Match digest changes with any one term. Here each of ``FAMILIES`` families draws a random bit pattern, which fixes
+``len(LEVELS)`` random subsets of the lexicon: the terms whose hash begins with the pattern's first 2, 3, ... 12 bits, so about a quarter, an
+eighth, ... a 4096th of it. The subsets are the same for every text. A text's fingerprint holds one digest of each subset, over all of the
+text's sorted distinct terms in it (0 where it has none), and one of the whole lexicon. As usual with randomised lexicons, one equal digest is a
+match: likeness is the share of families in which some subset gives both texts the same digest, not counting empty ones, and 1 where
+the digests of the whole lexicon are equal. Dense subsets tell near copies of short texts, sparse ones those of long texts or after many edits.
+A text with no lexicon term uses all its terms.
+
+Null texts count as empty: their digests are those of no terms, all 0. Equal texts have equal fingerprints. Rows with a null id come first in the
+order of documents; equal ids are ordered by the hash of their texts, repeated rows are each returned. An empty table gives an empty result. Very
+long texts are used whole. Columns are added beside those of the input; helper columns take names that the input does not have.
 """
 
 from __future__ import annotations
 
 import random
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from avalista.llm.common import free_names, shuffle_partitions
+from avalista.operators.ordered import part_of
+from avalista.session import broadcast_if_small
 
 BAND = (0.0005, 0.03)
 BUCKET_BITS = 19
-FAMILIES = 24
+FAMILIES = 16
+LEVELS = range(2, 13)  # leading bits that a subset fixes
+PART_ROWS = 1 << 14  # rows of a range of ids
 _draw = random.Random(31)
 PATTERNS = [_draw.getrandbits(62) for _ in range(FAMILIES)]
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -53,56 +62,55 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
 
 
 def with_fingerprint(df: DataFrame, text_col: str, known: Column, into: str) -> DataFrame:
-    """Add the family digests (an array of 32-bit numbers) of a text column. ``known`` comes from ``lexicon``."""
+    """Add the digests of a text column: ``whole`` (the lexicon) and ``families`` (an array of its subsets' digests for each). ``known`` comes from ``lexicon``."""
     mask = (1 << BUCKET_BITS) - 1
     word = lambda h: F.get(known, F.shiftright(h.bitwiseAND(F.lit(mask)), 6).cast("int"))
     inside = lambda h: F.bit_get(word(h), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    all_, in_, kept_, cuts_ = free_names(df, "_all", "_in", "_kept", "_cuts")
+    all_, in_, kept_, wide_ = free_names(df, "_all", "_in", "_kept", "_wide")
     out = df.withColumn(all_, F.transform(F.filter(_terms(F.col(text_col)), lambda t: t != ""), lambda t: F.xxhash64(t)))
     out = out.withColumn(in_, F.filter(all_, inside))
     out = out.withColumn(kept_, F.array_sort(F.transform(F.when(F.size(in_) > 0, F.col(in_)).otherwise(F.col(all_)), lambda h: F.shiftrightunsigned(h, 2))))
-    nearest = lambda c: F.array_min(F.transform(kept_, lambda h: h.bitwiseXOR(c)))
-    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
-    out = out.withColumn(cuts_, F.transform(F.array(*map(F.lit, PATTERNS)), lambda c: F.struct(c.alias("c"), power(F.length(F.bin(nearest(c)))).alias("below"))))
-    digest = lambda s: F.xxhash64(F.filter(kept_, lambda h: h.bitwiseXOR(s["c"]) < s["below"])).bitwiseAND(F.lit(0xFFFFFFFF))
-    return out.withColumn(into, F.transform(cuts_, digest)).drop(all_, in_, kept_, cuts_)
+    subset = lambda terms, pattern, below: F.filter(terms, lambda h: h.bitwiseXOR(pattern) < below)
+    digest = lambda terms: F.shiftright(F.xxhash64(terms), 32).cast("int")  # noqa: E731  (the hash of no terms is its small seed, so 0 here)
+    below = [F.lit(1 << (62 - bits)) for bits in LEVELS]
+    widest = F.transform(F.array(*map(F.lit, PATTERNS)), lambda c: F.struct(c.alias("c"), subset(F.col(kept_), c, below[0]).alias("terms")))
+    families = lambda w: F.transform(F.array(*below), lambda b: digest(subset(w["terms"], w["c"], b)))
+    out = out.withColumn(wide_, widest)
+    return out.withColumn(into, F.struct(digest(F.col(kept_)).alias("whole"), F.transform(wide_, families).alias("families"))).drop(all_, in_, kept_, wide_)
 
 
-def written(digests: Column) -> Column:
-    return F.array_join(F.transform(digests, lambda d: F.lower(F.lpad(F.hex(d), 8, "0"))), "")
+def written(mark: Column) -> Column:
+    """The digests in order, eight hexadecimal digits each."""
+    digits = lambda d: F.lower(F.lpad(F.hex(d.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.concat(digits(mark["whole"]), F.array_join(F.transform(F.flatten(mark["families"]), digits), ""))
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Share of the families that agree."""
-    agree = F.aggregate(F.zip_with(one, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return agree / F.lit(float(FAMILIES))
+    """Share of the families in which a subset's digest agrees; 1 if that of the whole lexicon does."""
+    agrees = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda same: same).cast("int")
+    agree = F.aggregate(F.zip_with(one["families"], other["families"], agrees), F.lit(0), lambda s, x: s + x)
+    return F.when(one["whole"] == other["whole"], F.lit(1.0)).otherwise(agree / F.lit(float(FAMILIES)))
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, columns: dict[str, str], parts: int | None = None) -> DataFrame:
     """Add columns of the next row in ascending order of id (after the last: the first), under new names.
 
-    Rows are dealt to ranges of the id, cut at its approximate quantiles, and looked up inside a range. The first row of a
-    range is also sent, as a marked copy, to the end of the range before it; so no window spans more than a range.
-    The driver sees the cuts and the ranges' first ids, as many as ranges.
+    Rows are dealt to ranges of id and text hash, so rows of one id spread over ranges too, and looked up inside a range; there are as many
+    ranges as the rows need. The first row of a range is also sent, as a marked copy, to the end of the range before it;
+    so no window spans more than a range. The driver sees a sample of keys for the cuts.
     """
-    key_, part_, spot_ = free_names(df, "_key", "_part", "_spot")
-    parts = parts or min(2000, 2 * shuffle_partitions(df.sparkSession))
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key_))) if cuts else F.lit(0)
-    placed = df.withColumn(key_, key).withColumn(part_, part)
-    heads = sorted(tuple(r) for r in placed.groupBy(part_).agg(F.min(key_)).collect())
-    if not heads:
-        return df.select("*", *[F.col(c).alias(n) for c, n in columns.items()])
-    firsts, before = [h[1] for h in heads], [heads[i - 1][0] for i in range(len(heads))]
-    at = F.array_position(F.array(*map(F.lit, firsts)), F.col(key_))
-    spot = lambda part, copy: F.struct(part.cast("int").alias("part"), F.lit(copy).alias("copy"))
-    own = spot(F.col(part_), 0)
-    spots = F.when(at > 0, F.array(own, spot(F.get(F.array(*map(F.lit, before)), (at - 1).cast("int")), 1))).otherwise(F.array(own))
-    dealt = placed.withColumn(spot_, F.explode(spots))
-    order = Window.partitionBy(F.col(spot_)["part"]).orderBy(F.col(spot_)["copy"], key_, F.xxhash64(text_col), text_col)
-    out = dealt.withColumns({n: F.lead(c).over(order) for c, n in columns.items()}).filter(F.col(spot_)["copy"] == 0)
-    return out.drop(key_, part_, spot_)
+    key_, hash_, part_, copy_, head_ = free_names(df, "_key", "_hash", "_part", "_copy", "_head")
+    parts = parts or max(2 * shuffle_partitions(df.sparkSession), ceil(df.count() / PART_ROWS))
+    keyed = df.withColumns({key_: F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), hash_: F.xxhash64(text_col)})
+    placed = keyed.withColumn(part_, part_of(keyed, [F.col(key_).asc(), F.col(hash_).asc()], parts))
+    heads = placed.groupBy(part_).agg(F.min(F.struct(key_, hash_)).alias(head_))  # one row per range
+    earlier = F.coalesce(F.lag(part_).over(Window.orderBy(part_)), F.max(part_).over(Window.partitionBy(F.lit(0))))
+    heads = broadcast_if_small(heads.select(head_, earlier.alias(part_)))
+    first = placed.drop(part_).withColumn(copy_, F.lit(1)).join(heads, F.struct(key_, hash_) == F.col(head_)).drop(head_)
+    dealt = placed.withColumn(copy_, F.lit(0)).unionByName(first).repartition(parts, part_)
+    order = Window.partitionBy(part_).orderBy(copy_, key_, hash_)
+    out = dealt.withColumns({n: F.lead(c).over(order) for c, n in columns.items()}).filter(F.col(copy_) == 0)
+    return out.drop(key_, hash_, part_, copy_)
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -4,13 +4,17 @@ import hashlib
 import html
 import random
 import re
+import struct
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -33,19 +37,49 @@ def edit(text, following):
     return text[: len(text) - half] + following[:half]
 
 
+def xxh(data, seed=42):
+    return xxhash.xxh64(data, seed=seed).intdigest()
+
+
+def plain_prints(texts):
+    """Fingerprints of texts over the lexicon of the first list, term by term."""
+    terms = lambda text: {t for t in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if t}
+    counts = Counter(xxh(t.encode()) % (1 << imatch.BUCKET_BITS) for text in texts for t in terms(text))
+    low, high = (share * len(texts) for share in imatch.BAND)
+
+    def digest(hashes):
+        seed = 42
+        for h in sorted(hashes):
+            seed = xxh(struct.pack("<q", h), seed)
+        return f"{seed >> 32:08x}"
+
+    def of(text):
+        found = [xxh(t.encode()) for t in terms(text)]
+        kept = [h >> 2 for h in [h for h in found if low <= counts[h % (1 << imatch.BUCKET_BITS)] <= high] or found]
+        subsets = [[h for h in kept if h >> (62 - bits) == pattern >> (62 - bits)] for pattern in imatch.PATTERNS for bits in imatch.LEVELS]
+        return "".join(map(digest, [kept, *subsets]))
+
+    return of
+
+
+def plain_likeness(one, other):
+    one, other = (re.findall(".{8}", x) for x in (one, other))
+    same, n = [a == b != "0" * 8 for a, b in zip(one[1:], other[1:])], len(imatch.LEVELS)
+    return 1.0 if one[0] == other[0] else np.mean([any(same[i : i + n]) for i in range(0, len(same), n)])
+
+
 def test_imatch_query(spark, sf):
     docs = sorted(table(sf, "documents"), key=lambda r: r["doc_id"])
     rows = {r.doc_id: r for r in QUERIES["op4_imatch"](spark, sf).collect()}
     assert len(rows) == len(docs)
-    prints = {}
+    plain = plain_prints([r["text"] for r in docs])
     for r, following in zip(docs, docs[1:] + docs[:1]):
         got, changed = rows[r["doc_id"]], edit(r["text"] or "", following["text"] or "")
         assert got.n_chars == len(r["text"] or "")
         assert got.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        for text, mark in ((r["text"], got.fingerprint), (changed, got.edited_fingerprint)):
-            assert prints.setdefault(text, mark) == mark and len(mark) == 8 * imatch.FAMILIES
-        same = [a == b for a, b in zip(*(re.findall(".{8}", x) for x in (got.fingerprint, rows[following["doc_id"]].fingerprint)))]
-        assert got.near_next == pytest.approx(np.mean(same))
+        assert (got.fingerprint, got.edited_fingerprint) == (plain(r["text"]), plain(changed))
+        assert got.near_next == pytest.approx(plain_likeness(got.fingerprint, rows[following["doc_id"]].fingerprint))
+        assert got.near_edited == pytest.approx(plain_likeness(got.fingerprint, got.edited_fingerprint))
     near, far = [r.near_edited for r in rows.values()], [r.near_next for r in rows.values()]
     assert np.mean(near) > 0.2 > 0.05 > np.mean(far) and np.mean(np.array(near) > np.array(far)) > 0.9
 
@@ -71,7 +105,7 @@ def test_next_row(frame, parts):
 def test_imatch_edges(frame):
     docs = frame([(1, None, "c", "en"), (2, "", "c", "en"), (3, "x", "c", "en"), (4, "word " * 100_000 + "end", "c", "en"), (4, "word " * 100_000 + "end", "c", "en")], DOCS)
     rows = imatch.with_fingerprint(docs, "text", imatch.lexicon(docs), "mark").collect()
-    marks = {r.doc_id: tuple(r.mark) for r in rows}
+    marks = {r.doc_id: (r.mark.whole, *map(tuple, r.mark.families)) for r in rows}
     assert marks[1] == marks[2] != marks[3] != marks[4] and len(rows) == 5
     empty = frame([], DOCS)
     assert imatch.with_next(imatch.with_fingerprint(empty, "text", imatch.lexicon(empty), "mark"), "doc_id", "text", {"text": "after"}).collect() == []
