@@ -99,15 +99,18 @@ def with_next(df: DataFrame, id_col: str, text_col: str, columns: dict[str, str]
     ranges as the rows need. The first row of a range is also sent, as a marked copy, to the end of the range before it;
     so no window spans more than a range. The driver sees a sample of keys for the cuts.
     """
-    key_, hash_, part_, copy_, head_ = free_names(df, "_key", "_hash", "_part", "_copy", "_head")
+    key_, hash_, part_, copy_, head_, before_, spot_ = free_names(df, "_key", "_hash", "_part", "_copy", "_head", "_before", "_spot")
     parts = parts or max(2 * shuffle_partitions(df.sparkSession), ceil(df.count() / PART_ROWS))
     keyed = df.withColumns({key_: F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), hash_: F.xxhash64(text_col)})
     placed = keyed.withColumn(part_, part_of(keyed, [F.col(key_).asc(), F.col(hash_).asc()], parts))
     heads = placed.groupBy(part_).agg(F.min(F.struct(key_, hash_)).alias(head_))  # one row per range
     earlier = F.coalesce(F.lag(part_).over(Window.orderBy(part_)), F.max(part_).over(Window.partitionBy(F.lit(0))))
-    heads = broadcast_if_small(heads.select(head_, earlier.alias(part_)))
-    first = placed.drop(part_).withColumn(copy_, F.lit(1)).join(heads, F.struct(key_, hash_) == F.col(head_)).drop(head_)
-    dealt = placed.withColumn(copy_, F.lit(0)).unionByName(first).repartition(parts, part_)
+    heads = broadcast_if_small(heads.select(head_, earlier.alias(before_)))
+    spot = lambda part, copy: F.struct(F.col(part).cast("int").alias("part"), F.lit(copy).alias("copy"))
+    marked = placed.join(heads, F.struct(key_, hash_) == F.col(head_), "left")  # one pass: copies are made from the rows, not read again
+    spots = F.when(F.col(head_).isNull(), F.array(spot(part_, 0))).otherwise(F.array(spot(part_, 0), spot(before_, 1)))
+    dealt = marked.withColumn(spot_, F.explode(spots)).withColumns({part_: F.col(spot_)["part"], copy_: F.col(spot_)["copy"]})
+    dealt = dealt.drop(head_, before_, spot_).repartition(parts, part_)
     order = Window.partitionBy(part_).orderBy(copy_, key_, hash_)
     out = dealt.withColumns({n: F.lead(c).over(order) for c, n in columns.items()}).filter(F.col(copy_) == 0)
     return out.drop(key_, hash_, part_, copy_)
