@@ -74,8 +74,11 @@ def with_fingerprint(df: DataFrame, text_col: str, known: Column, into: str) ->
     digest = lambda terms: F.shiftright(F.xxhash64(terms), 32).cast("int")  # noqa: E731  (the hash of no terms is its small seed, so 0 here)
     below = [F.lit(1 << (62 - bits)) for bits in LEVELS]
     widest = F.transform(F.array(*map(F.lit, PATTERNS)), lambda c: F.struct(c.alias("c"), subset(F.col(kept_), c, below[0]).alias("terms")))
-    families = lambda w: F.transform(F.array(*below), lambda b: digest(subset(w["terms"], w["c"], b)))
-    out = out.withColumn(wide_, widest)
+    dense = lambda w: F.transform(F.array(*below[:3]), lambda b: digest(subset(w["terms"], w["c"], b)))
+    sparse = lambda w: F.transform(F.array(*below[3:]), lambda b: digest(subset(w["few"], w["c"], b)))
+    families = lambda w: F.concat(dense(w), sparse(w))
+    narrowed = lambda w: F.struct(w["c"].alias("c"), w["terms"].alias("terms"), subset(w["terms"], w["c"], below[3]).alias("few"))
+    out = out.withColumn(wide_, F.transform(widest, narrowed))  # the sparse subsets lie inside the fourth, so they are looked for there
     return out.withColumn(into, F.struct(digest(F.col(kept_)).alias("whole"), F.transform(wide_, families).alias("families"))).drop(all_, in_, kept_, wide_)
 
 
