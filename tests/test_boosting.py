@@ -109,3 +109,19 @@ def test_many_tasks_are_added_up_in_groups(data, monkeypatch):
     monkeypatch.setattr(b, "FAN_IN", 2)
     two = b.fit_boosted(rows.repartition(7), "y", "w", True, 2, 0.3, 3)
     assert np.allclose(one.margins(x), two.margins(x))
+
+
+@pytest.mark.parametrize("classifier", [True, False])
+def test_one_task_and_many_grow_the_same_trees(data, spark, monkeypatch, classifier):
+    """Few rows take one job for many trees; more take one per level, and the driver gets no tables of sums."""
+    rows, x, *_ = data
+    fit = lambda: b.fit_boosted(rows, "y" if classifier else "z", "w", classifier, 4, 0.3, 3, columns=0.8, seed=5, **PENALTIES[0])
+    spark.sparkContext.setJobGroup("one task", "")
+    one = fit()
+    spark.sparkContext.setJobGroup("many tasks", "")
+    monkeypatch.setattr(b, "PART_ROWS", 128)
+    many = fit()
+    spark.sparkContext.setJobGroup("others", "")
+    assert np.allclose(one.margins(x), many.margins(x))
+    jobs = [len(spark.sparkContext.statusTracker().getJobIdsForGroup(g)) for g in ("one task", "many tasks")]
+    assert jobs[0] + 8 < jobs[1]
