@@ -182,3 +182,14 @@ def test_example_model_decides_like_its_saved_copy(spark, table, tmp_path):
     assert a.filter((c("pd") >= 0.15) & (c("decision") != "RECHAZAR - Riesgo alto")).count() == 0
     with pytest.raises(Exception, match="unseen Bank"):
         fitted.decide(table.withColumn("Bank", F.lit("Otro"))).collect()
+
+
+def test_forests_are_fitted_on_all_cores(table, monkeypatch):
+    """Narrow rows come in one partition; a forest goes over them many times, so they are spread first."""
+    vectors = table.select("Default", "ChgOffPrinGr").coalesce(1)
+    monkeypatch.setattr(m, "TREE_PART_ROWS", 200)
+    with m._even(vectors, "Default") as even:
+        assert even.rdd.getNumPartitions() == min(8, -(-vectors.count() // 200)) > 1 and even.columns == ["Default"]
+    many = vectors.repartition(40)
+    with m._even(many, "Default") as even:
+        assert even.rdd.getNumPartitions() <= 8 and even.count() == many.count()
