@@ -217,6 +217,40 @@ def test_toxicity_edges(spark, frame):
     assert toxicity.score_documents(docs.limit(0), none).collect() == []
 
 
+def test_every_labelled_row_is_learned_from(spark, frame, monkeypatch):
+    texts = [(i, "x " * (31_000 if i < 40 else 1) + ("vile" if i % 2 else "w"), "c", "en") for i in range(7000)]  # some of over 60,000 characters
+    docs, labels = frame(texts, DOCS), frame([(i, i % 2) for i in range(7000)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "_epoch", lambda shards, weights, *_: seen.append(shards.count()) or weights)
+    monkeypatch.setattr(toxicity, "_calibrate_rows", lambda model, rows: seen.append(rows.count()))
+    toxicity.learn(docs, labels)
+    assert len(set(seen[:-1])) == 1 and seen[0] + seen[-1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(7000))
+    assert len(seen) == 1 + 8 and 0.2 < seen[-1] / (seen[0] + seen[-1]) < 0.3
+
+
+def test_shards_learn_together(frame, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 256)
+    monkeypatch.setattr(toxicity, "WINDOW", 64)
+    rows = made_up(2400, 1)
+    docs, labels = frame([(i, t, "c", lang) for i, (t, _, lang) in enumerate(rows)], DOCS), frame([(i, y) for i, (_, y, _) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    other = made_up(400, 2)
+    p, y = toxicity.scores([r[0] for r in other], model), np.array([r[1] for r in other])
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.97 and set(model.thresholds) == {"", "en", "fr"}
+
+
+def test_cuts_have_the_fewest_errors(frame):
+    draw = random.Random(5)
+    rows = [(lang, int(draw.random() < 0.3), round(draw.random(), 3)) for lang in ("en", "fr", None, "") for _ in range(200)] + [("xx", 1, 0.2)] * 5
+    got = {r.lang: r.cut for r in toxicity.best_cuts(frame(rows, "lang string, y int, p double"), 20).collect()}
+    assert set(got) == {"en", "fr"}
+    for lang, cut in got.items():
+        mine = [(y, p) for x, y, p in rows if x == lang]
+        errors = [sum((p >= c / toxicity.CUTS) != (y == 1) for y, p in mine) for c in range(toxicity.CUTS + 1)]
+        best = [c / toxicity.CUTS for c, e in enumerate(errors) if e == min(errors)]
+        assert abs(cut - 0.5) == min(abs(c - 0.5) for c in best) and cut in best
+
+
 # --- BPE ---
 
 ODD = ["Hello, World's <|endoftext|>it''s   x\x1cy É İ ΣΑΣ ﬁ 12½ _a_ <|startoftext|>end", None, "", "  ", "é́ Å ǅ ß ẞ 中文字 한국어 　x ①² ª№", "\x85a\xa0b​c d﻿ e­f",
