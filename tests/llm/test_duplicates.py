@@ -279,3 +279,25 @@ def test_passage_of_two_frequent_pieces(frame):
     docs += [prose(300 + i, 40) + one + two + prose(400 + i, 40) for i in range(2)]
     found = passages.repeated_passages(frame([(i, " ".join(words), "en", 1, "k", 2) for i, words in enumerate(docs)], DOCS)).collect()
     assert [(r.other_id, r.doc_id) for r in found if r.start <= 40 and r.end >= 100 and r.doc_id > r.other_id] == [(60, 61)]
+
+
+def test_passage_of_three_frequent_pieces(frame):
+    one, two, three = prose(1, 22), prose(2, 22), prose(3, 22)
+    docs = [prose(100 + i, 40) + (one + two if i % 2 else two + three) + prose(300 + i, 40) for i in range(120)]
+    docs += [prose(500 + i, 40) + one + two + three + prose(600 + i, 40) for i in range(2)]
+    found = passages.repeated_passages(frame([(i, " ".join(words), "en", 1, "k", 2) for i, words in enumerate(docs)], DOCS)).collect()
+    assert [(r.other_id, r.doc_id) for r in found if r.start <= 40 and r.end >= 106] == [(120, 121)]
+
+
+def test_both_documents_of_a_passage_are_named(spark, tmp_path):
+    passage = prose(1, 80)
+    rows = [(i, " ".join(prose(10 + i, 30) + passage + prose(20 + i, 30)), "en", 1, "k", 2) for i in range(2)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.other_id) for r in QUERIES["op1_repeated_passages"](spark, str(tmp_path)).collect()}
+    assert found == {(0, 1), (1, 0)}
+
+
+def test_words_to_skip():
+    x, y = np.arange(20, dtype="<u4"), np.arange(100, 120, dtype="<u4")
+    y[3:9] = x[2:8]
+    assert passages.resume(x, y) == (2, 3) and passages.resume(x[:4], y[:4]) is None and passages.resume(x[:2], y) is None
