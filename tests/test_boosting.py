@@ -125,3 +125,44 @@ def test_one_task_and_many_grow_the_same_trees(data, spark, monkeypatch, classif
     assert np.allclose(one.margins(x), many.margins(x))
     jobs = [len(spark.sparkContext.statusTracker().getJobIdsForGroup(g)) for g in ("one task", "many tasks")]
     assert jobs[0] + 8 < jobs[1]
+
+
+def test_one_task_adds_up_columns_together(data):
+    """One-hot features, equal columns and columns of few codes take few passes over the rows; each gets its own sums."""
+    r = np.random.default_rng(8)
+    kind, other = r.integers(0, 12, 500), r.integers(0, 9, 500)
+    wide = r.integers(0, 200, 500)
+    x = np.stack([wide, other, wide, *[kind == k for k in range(12)], r.integers(0, 2, 500), other, r.integers(0, 3, 500)]).astype(np.uint8)
+    size = [200, 9, 200, *[2] * 12, 2, 9, 3]
+    first = np.concatenate([[0], np.cumsum(size)])
+    y, w = r.integers(0, 2, 500).astype(float), r.integers(1, 4, 500).astype(float)
+    parts = [slice(0, 300), slice(300, 500)]
+    blocks = [b._Block(b.pa.RecordBatch.from_arrays(
+        [b.pa.array([i]), b.pa.array([len(y[s])]), *[b.pa.array([v.tobytes()], b.pa.binary()) for v in (x[:, s], y[s], w[s], np.zeros(len(y[s])))]],
+        ["id", "n", "x", "y", "w", "m"]), 0, [], 0.1) for i, s in enumerate(parts)]
+    rows = b._Rows(blocks, first, [], 0.1)
+    assert len(rows.groups) <= 3
+    used = np.array([0, 1, 2, 4, 9, 14, 15, 16, 17])
+    rows.start(True, 0.7, [5, 1], (2.0**-40, 2.0**-40), used, 3)
+    assert len(rows.taken) <= len(rows.groups)
+    rows.node[:] = r.integers(0, 3, 500)
+    got = rows.sums(np.array([1, -1, 0]), 2, sum(size[f] for f in used))
+    assert 300 < len(rows.drawn) < 400
+    lo = 0
+    for f in used:
+        want = np.zeros((2, size[f], 2))
+        for i, at in enumerate(rows.drawn):
+            if rows.node[at] != 1:
+                want[int(rows.node[at] == 0), x[f, at]] += [v[i] for v in rows.derivatives]
+        assert np.array_equal(got[:, lo : lo + size[f]], want)
+        lo += size[f]
+
+
+@pytest.mark.parametrize("classifier", [True, False])
+def test_trees_of_many_nodes_go_down_in_one_step(data, monkeypatch, classifier):
+    rows, x, *_ = data
+    fit = lambda: b.fit_boosted(rows, "y" if classifier else "z", "w", classifier, 3, 0.3, 6, leaf=1, seed=5)
+    one = fit()
+    want = one.margins(x)
+    monkeypatch.setattr(b, "FEW_NODES", 2)
+    assert np.array_equal(want, one.margins(x)) and np.array_equal(want, fit().margins(x))
