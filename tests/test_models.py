@@ -1,5 +1,7 @@
 """Training: figures, calibration identities, saving, library parity."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -193,3 +195,19 @@ def test_forests_are_fitted_on_all_cores(table, monkeypatch):
     many = vectors.repartition(40)
     with m._even(many, "Default") as even:
         assert even.rdd.getNumPartitions() <= 8 and even.count() == many.count()
+
+
+def test_the_loss_model_does_not_wait_for_the_classifier(spark, sf, monkeypatch):
+    started, fit_pd, fit_lgd = threading.Event(), m.train_pd, m.train_lgd
+
+    def train_pd(*args, **params):
+        assert started.wait(60), "the loss model waits"
+        return fit_pd(*args, **params)
+
+    def train_lgd(*args, **params):
+        started.set()
+        return fit_lgd(*args, **params)
+
+    monkeypatch.setattr(m, "train_pd", train_pd)
+    monkeypatch.setattr(m, "train_lgd", train_lgd)
+    assert m.train_risk_model(loans(spark, sf, customer=True), SMALL).metadata["n_train"] > 0
