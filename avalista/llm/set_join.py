@@ -72,6 +72,7 @@ class Segments:
         self.name = mix((np.repeat(band, self.parts).astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
         self.flexible = (number % FLEXIBLE == 0) | (parts <= FLEXIBLE)
         self.whole = self._keys(self.sums, self.sizes, self.name)
+        self.lacking = None
 
     @staticmethod
     def _keys(sums, sizes, name):
@@ -79,9 +80,11 @@ class Segments:
 
     def without_one(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the one-deletion subsets of flexible segments, and the segment of each."""
-        which = np.flatnonzero(self.flexible[self.place])
-        place = self.place[which]
-        return self._keys(self.sums[place] - self.marks[which], self.sizes[place] - 1, self.name[place]), place
+        if self.lacking is None:
+            which = np.flatnonzero(self.flexible[self.place])
+            place = self.place[which]
+            self.lacking = self._keys(self.sums[place] - self.marks[which], self.sizes[place] - 1, self.name[place]), place
+        return self.lacking
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -208,7 +211,7 @@ def subset_counts(docs: DataFrame, sent, words: int, starts: np.ndarray, thresho
 
 
 def entries(docs: DataFrame, sent, words: int, starts: np.ndarray, threshold: int, counts, lacking=None) -> DataFrame:
-    """key, node, n, probe: what the nodes file (probe false) and look up (true).
+    """key, node, n, filed, probe: what the nodes file and look up; a subset that is both is one row.
 
     ``lacking`` is a bitmap of the keys looked up among filed deletions; others of those are left out. Without it, only these look-ups are returned.
     """
@@ -218,28 +221,27 @@ def entries(docs: DataFrame, sent, words: int, starts: np.ndarray, threshold: in
         for batch in batches:
             for _, values, at in _sets(batch, hasher, words, sent.value):
                 sets, out = Sets(values, at, starts, threshold), []
-                rows, seg = next(sets.filed())  # a set is looked up in its own band
-                if seg is not None:
-                    used, both = allocate(seg, sets.n[rows], counts.value, threshold)
-                    owner = np.repeat(rows, seg.parts)
-                    out.append((seg.whole[both] ^ LACKING, owner[both], True))
-                    if lacking is not None:
-                        out.append((seg.whole[used], owner[used], True))
-                        keys, place = seg.without_one()
-                        out.append((keys[both[place]], owner[place[both[place]]], True))
-                for rows, seg in sets.filed() if lacking is not None else ():
-                    if seg is not None:
-                        owner = np.repeat(rows, seg.parts)
-                        out.append((seg.whole, owner, False))
-                        keys, place = seg.without_one()
-                        known = passes((keys ^ LACKING).view(np.int64), lacking.value)
-                        out.append((keys[known] ^ LACKING, owner[place[known]], False))
-                for keys, owner, probe in out:
+                for own, (rows, seg) in zip((True, False), sets.filed()):
+                    if seg is None:
+                        continue
+                    owner, used = np.repeat(rows, seg.parts), np.zeros(len(seg.whole), bool)
+                    if own:  # a set is looked up in its own band
+                        used, both = allocate(seg, sets.n[rows], counts.value, threshold)
+                        out.append((seg.whole[both] ^ LACKING, owner[both], False, True))
+                    if lacking is None:
+                        break
+                    keys, place = seg.without_one()
+                    if own:
+                        out.append((keys[both[place]], owner[place[both[place]]], False, True))
+                    out.append((seg.whole, owner, True, used))
+                    known = passes((keys ^ LACKING).view(np.int64), lacking.value)
+                    out.append((keys[known] ^ LACKING, owner[place[known]], True, False))
+                for keys, owner, filed, probe in out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(sets.nodes[owner].view(np.int64)), pa.array(sets.n[owner]), pa.array(np.full(len(keys), probe))],
-                        ["key", "node", "n", "probe"])
+                        [pa.array(keys.view(np.int64)), pa.array(sets.nodes[owner].view(np.int64)), pa.array(sets.n[owner]), *[pa.array(np.full(len(keys), x)) for x in (filed, probe)]],
+                        ["key", "node", "n", "filed", "probe"])
 
-    return _passed(docs).mapInArrow(tasks, "key bigint, node bigint, n bigint, probe boolean")
+    return _passed(docs).mapInArrow(tasks, "key bigint, node bigint, n bigint, filed boolean, probe boolean")
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, n_nodes: int, most: int, words: int, threshold: int) -> DataFrame:
@@ -252,7 +254,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, n_nodes: int, most: int, words
     key = Window.partitionBy("key")
     found = entries(docs, sent, words, starts, threshold, counts, lacking).withColumns({
         "lo": F.min("node").over(key), "hi": F.max("node").over(key), "asked": F.bool_or("probe").over(key),
-        "centre": F.min(F.when(~F.col("probe"), F.col("node"))).over(key)})
+        "centre": F.min(F.when(F.col("filed"), F.col("node"))).over(key)})
     found = cut_lineage(found.filter("lo < hi AND asked AND centre IS NOT NULL").select("key", "node", "n", "centre").distinct())
     for held in (sent, counts, lacking):
         held.destroy()

@@ -201,3 +201,15 @@ def test_every_allocation_is_exact():
             used, both = set_join.allocate(seg, sets.n[rows], counts, 85)
             keys, place = seg.without_one()
             assert filed & {*seg.whole[used], *(seg.whole[both] ^ set_join.LACKING), *keys[both[place]]}
+
+
+def test_a_subset_that_is_filed_and_looked_up_is_one_row(spark, frame):
+    """A row per key and node, whichever of the two it stands for, so nothing travels twice."""
+    import numpy as np
+
+    docs = frame([(i, " ".join(f"{i % 3}w{j}" for j in range(60 + i))) for i in range(9)], "doc_id long, text string")
+    send = spark.sparkContext.broadcast
+    everything = np.full(1 << 10, -1)
+    rows = set_join.entries(docs, send(everything), 4, set_join.bands(85, 80), 85, send(np.ones(set_join.SLOTS, np.int64)), send(everything)).collect()
+    assert len({(r["key"], r["node"]) for r in rows}) == len(rows)
+    assert any(r["filed"] and r["probe"] for r in rows) and any(r["filed"] and not r["probe"] for r in rows)
