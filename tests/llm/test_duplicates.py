@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -301,3 +302,26 @@ def test_words_to_skip():
     x, y = np.arange(20, dtype="<u4"), np.arange(100, 120, dtype="<u4")
     y[3:9] = x[2:8]
     assert passages.resume(x, y) == (2, 3) and passages.resume(x[:4], y[:4]) is None and passages.resume(x[:2], y) is None
+
+
+def test_seeds_are_counted_in_shares(frame, monkeypatch):
+    """Bitmaps of the seeds of two and of three documents or more, whatever a task deals at once; a seed counts once a document."""
+    monkeypatch.setattr(passages, "SEED_ROWS", 40)
+    texts = [prose(i % 4, 90) + prose(10 + i % 6, 60) + prose(100 + i, 30) * 2 for i in range(12)]
+    known = Counter()
+    for words in texts:
+        hasher = passages.WordHasher()
+        [(_, words, offsets)] = hasher.groups(pa.array([" ".join(words)]))
+        known.update(set(passages.find_seeds(words, offsets)[2].tolist()))
+    two, more = passages.shared_seeds(frame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string"))
+    for found, least in ((two, 2), (more, 3)):
+        bits = {h % passages.SEED_BITS for h, n in known.items() if n >= least}
+        assert set(np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")).tolist()) == bits and bits
+
+
+def test_only_copies_have_their_words_counted(frame, capsys):
+    docs = frame([(1, "a  b\tc"), (2, "x y"), (3, "a  b\tc"), (4, None), (5, None), (6, ""), (7, ""), (None, "x y")], "doc_id long, text string")
+    again, _ = passages.copies(docs)
+    assert {tuple(r) for r in again.collect()} == {(3, 1, 3), (7, 6, 0)}
+    again.explain(True)
+    assert "regexp" not in capsys.readouterr().out
