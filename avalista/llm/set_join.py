@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from avalista.llm.common import bitmap, by_group, cut_lineage, passes
+from avalista.llm.common import bitmap, by_group, cut_lineage, free_shuffles, passes
 from avalista.llm.components import connected_components
 from avalista.llm.near_dups import confirm, full_sets, set_keys
 from avalista.llm.shingles import WordHasher, distinct, mix, shingle_hashes
@@ -394,18 +394,23 @@ def joined(docs: DataFrame, words: int = 4, threshold: int = 85) -> DataFrame:
 
     if n_nodes > 1:
         members = candidates(docs, nodes, n_nodes, most, words, threshold)
+        free_shuffles(docs.sparkSession)  # here and below: what is written is behind a checkpoint, and the next shuffles are large
         stars = members.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         stars = cut_lineage(_with_sides(stars, nodes).filter(allowed(threshold)).select("a", "b"))
+        free_shuffles(docs.sparkSession)
         labels = connected_components(confirm(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("w"))), threshold))
+        free_shuffles(docs.sparkSession)
 
         rows = with_label(members.select("key", "node", "n"), labels, "node", "comp")
         split = rows.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         rows = rows.join(split, F.col("key") == F.col("_key")).select("key", "node", "comp", "n")
         rows = cut_lineage(bucket_members(rows, nodes, threshold))
+        free_shuffles(docs.sparkSession)
         sets = sets_of(rows.select(F.col("node").alias("w"))).withColumnRenamed("node", "_node")
         links = bucket_links(rows.join(sets, F.col("node") == F.col("_node")).drop("_node"), threshold)
         links = with_label(with_label(links, labels, "a", "a_comp"), labels, "b", "b_comp")  # between the components of before
         joins = connected_components(links.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+        free_shuffles(docs.sparkSession)
         whole = with_label(with_label(nodes.select("node", "rep"), labels, "node", "comp"), joins, "comp", "root")
 
     ids = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
