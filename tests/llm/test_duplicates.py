@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from avalista.llm import components, contamination, near_dups, passages
 from avalista.llm.queries import QUERIES
@@ -325,3 +326,26 @@ def test_only_copies_have_their_words_counted(frame, capsys):
     assert {tuple(r) for r in again.collect()} == {(3, 1, 3), (7, 6, 0)}
     again.explain(True)
     assert "regexp" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("crowd", [passages.CROWD, 16])
+def test_passages_whose_anchors_hold_only_a_piece(frame, monkeypatch, crowd):
+    """Every piece of the passage is frequent, changed words break up what the two documents share, and neither is an anchor."""
+    monkeypatch.setattr(passages, "CROWD", crowd)  # small blocks deal one seed over many tasks
+    ids = [r.i for r in frame([(i,) for i in range(102)], "i long").orderBy(F.xxhash64("i")).collect()]  # the first ones are anchors
+    pieces = [prose(8000 + i, 13) for i in range(5)]
+    docs = [(i, prose(8100 + i, 80) + pieces[k % 5] + prose(8300 + i, 80)) for k, i in enumerate(ids[:-2])]
+    both = sorted(ids[-2:])
+    for other, i in enumerate(both, 1):
+        passage = [w for j, piece in enumerate(pieces) for w in [*piece, f"x{other}{j}"]]
+        docs.append((i, prose(8600 + i, 70 * other) + passage + prose(8700 + i, 60)))
+    found = passages.repeated_passages(frame([(i, " ".join(words), "en", 1, "k", 2) for i, words in docs], DOCS)).collect()
+    assert [[r.other_id, r.doc_id] for r in found] == [both]
+    assert found[0].n_equal >= 60 and 128 <= found[0].start <= 142 and found[0].end >= 200
+
+
+def test_long_repeats_of_one_word_meet(frame):
+    """An exact run in two documents, while the anchors of its seed hold shorter ones."""
+    docs = [(i, prose(9100 + i, 40) + ["der"] * (20 if i < 60 else 70) + prose(9300 + i, 40)) for i in range(62)]
+    found = passages.repeated_passages(frame([(i, " ".join(words), "en", 1, "k", 2) for i, words in docs], DOCS)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(61, 60)} and max(r.n_equal for r in found) >= 70
