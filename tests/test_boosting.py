@@ -166,3 +166,33 @@ def test_trees_of_many_nodes_go_down_in_one_step(data, monkeypatch, classifier):
     want = one.margins(x)
     monkeypatch.setattr(b, "FEW_NODES", 2)
     assert np.array_equal(want, one.margins(x)) and np.array_equal(want, fit().margins(x))
+
+
+@pytest.mark.parametrize("classifier", [True, False])
+def test_processes_that_share_the_rows_grow_the_same_trees(data, monkeypatch, classifier):
+    """More rows than one process should take are shared by several, in the same one task."""
+    rows, x, *_ = data
+    fit = lambda: b.fit_boosted(rows, "y" if classifier else "z", "w", classifier, 12, 0.3, 4, rows=0.8, columns=0.8, seed=5, **PENALTIES[0])
+    one = fit()
+    monkeypatch.setattr(b, "ALONE_ROWS", 100)
+    monkeypatch.setattr(b, "FOLD_ALONE", 8)
+    shared = fit()
+    assert np.array_equal(one.margins(x), shared.margins(x))
+
+
+def test_processes_add_up_their_tables():
+    crew = b._Crew(3, 4)
+    sums = [crew.of_all(np.array([[float(crew.rank + turn), 1.0]])) for turn in range(5)]
+    if crew.rank:
+        b.os._exit(0)
+    crew.end()
+    assert [s.tolist() for s in sums] == [[[3.0 + 3 * turn, 3.0]] for turn in range(5)]
+
+
+def test_a_process_that_ends_fails_the_others():
+    crew = b._Crew(2, 4)
+    if crew.rank:
+        b.os._exit(1)
+    with pytest.raises((RuntimeError, BrokenPipeError)):
+        crew.of_all(np.zeros(2))
+    crew.end()
