@@ -196,3 +196,30 @@ def test_a_process_that_ends_fails_the_others():
     with pytest.raises((RuntimeError, BrokenPipeError)):
         crew.of_all(np.zeros(2))
     crew.end()
+
+
+def test_forest_of_means(data, spark, monkeypatch, tmp_path):
+    """Each tree splits where the variance falls most, its leaves are means of the rows drawn, and it does not matter which process grows it."""
+    rows, x, _, z, _ = data
+    forest = b.fit_forest(rows, "z", 12, 4, 5, 7)
+    monkeypatch.setattr(b, "_executor_cores", lambda spark: 1)
+    one = b.fit_forest(rows, "z", 12, 4, 5, 7)
+    assert np.array_equal(forest.margins(x), one.margins(x)) and len(forest.trees) == 12
+    assert np.corrcoef(forest.margins(x), z)[0, 1] > 0.95 and z.min() <= forest.margins(x).min() and forest.margins(x).max() <= z.max()
+    assert all((t.feature >= 0).any() and len(t.feature) <= 31 for t in forest.trees) and len({t.value.tobytes() for t in forest.trees}) == 12
+    forest.setPredictionCol("lgd").write().overwrite().save(str(tmp_path / "f"))
+    assert np.array_equal(b.BoostedTrees.load(str(tmp_path / "f")).margins(x), forest.margins(x))
+    same = spark.createDataFrame([(Vectors.dense(1.0), 3.0)] * 5, ["features", "z"])
+    assert np.allclose(b.fit_forest(same, "z", 3, 4, 1, 7).margins(np.ones((2, 1))), 3.0)
+
+
+def test_a_tree_of_the_forest_takes_the_best_split(spark):
+    r = np.random.default_rng(2)
+    x, y = r.integers(0, 20, 300).astype(float), np.zeros(300)
+    y[x > 12] = 100.0
+    y += r.normal(size=300)
+    rows = spark.createDataFrame([(Vectors.dense(u), float(v)) for u, v in zip(x, y)], ["features", "z"])
+    forest = b.fit_forest(rows, "z", 20, 1, 1, 3)
+    assert {float(t.threshold[0]) for t in forest.trees} == {12.0}
+    got = forest.margins(np.array([[0.0], [19.0]]))
+    assert abs(got[0] - y[x <= 12].mean()) < 0.5 and abs(got[1] - y[x > 12].mean()) < 0.5
